@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import mixing, quality, secrets, tokens, toxicity
 from .common import table
 
 # --- 2: secret scans ----------------------------------------------------------------------
@@ -105,5 +105,37 @@ taken AS (SELECT *, whole + CASE WHEN whole < {MIX_EPOCHS} AND sum(n) OVER (PART
 SELECT {columns}, copies::BIGINT AS copies FROM taken WHERE copies > 0"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_secret_scans": op2_secret_scans, "op8_source_mix": op8_source_mix}
+# --- 3: token counts ------------------------------------------------------------------------
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of every document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_tokens", F.octet_length("text").alias("n_bytes"))
+
+
+# --- 5: toxicity ------------------------------------------------------------------------------
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that aren't held out."""
+    found = toxicity.tag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "toxic_spans")
+
+
+# --- 6: quality classifier --------------------------------------------------------------------
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and the verdict."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"), "accepted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
+    "op3_token_counts": op3_token_counts,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
+    "op8_source_mix": op8_source_mix,
+}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_source_mix": mix_sql()}
