@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, tokens, toxicity
+from . import mixing, quality, secrets, substrings, tokens, toxicity
 from .common import table
 
 # --- 2: secret scans ----------------------------------------------------------------------
@@ -131,11 +131,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"), "accepted")
 
 
+# --- 10: substring dedup ------------------------------------------------------------------------
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, those removed as repeats, and a digest of what stays."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i+19], ' ')) AS h FROM s),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE r > 1),
+x AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda word, j: gone IS NULL OR NOT list_contains(gone, j)), ' ')) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
     "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op8_source_mix": op8_source_mix,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_source_mix": mix_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_source_mix": mix_sql(), "op10_substring_dedup": SUBSTRING_SQL}

@@ -22,7 +22,7 @@ _EDGES = re.compile(r"^\W+|\W+$")
 def features_of(word: str) -> list[int]:
     """Places of a token's features: the word without its edges' signs, its beginnings, its end."""
     w = _EDGES.sub("", word.lower())
-    named = ["w" + w, "4" + w[:4] if len(w) > 4 else "", "5" + w[:5] if len(w) > 5 else "", "6" + w[:6] if len(w) > 6 else "", "e" + w[-3:]]
+    named = ["w" + w, "4" + w[:4] if len(w) > 4 else "", "6" + w[:6] if len(w) > 6 else "", "8" + w[:8] if len(w) > 8 else "", "e" + w[-3:]]
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in named if n]
 
 
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str
 
     The sample is the first by a hash of the id. Token labels: a token is toxic where its
     document is and one of its features occurs in ``seen`` or more sampled documents, all but a
-    twentieth of them toxic. Each round adds up the partitions' gradients and takes an adaptive
+    tenth of them toxic. Each round adds up the partitions' gradients and takes an adaptive
     step; at the end a logistic fit turns the sample's summaries into document scores.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(doc_id).agg(F.max(toxic).alias("_toxic"))
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str
             yield pd.DataFrame(rows, columns=["f", "y"], dtype="int64")
 
     counts = sample.mapInPandas(features, "f long, y long").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    marks = frozenset(r["f"] for r in counts.where((F.col("y") >= seen) & (F.col("y") >= 0.95 * F.col("n"))).select("f").collect())  # at most 2**BITS
+    marks = frozenset(r["f"] for r in counts.where((F.col("y") >= seen) & (F.col("y") >= 0.9 * F.col("n"))).select("f").collect())  # at most 2**BITS
 
     def tagged(b: pd.DataFrame) -> list[tuple[list[str], np.ndarray]]:
         out = []
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str
     return field
 
 
-def tag(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = 2000, rounds: int = 12) -> DataFrame:
+def tag(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = 1500, rounds: int = 10) -> DataFrame:
     """``docs`` with ``held_out``, ``score``, ``predicted`` and ``toxic_spans``.
 
     The field learns only from labelled rows whose crc32(doc_id as text) mod 5 is not 0, and
