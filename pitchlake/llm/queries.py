@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, substrings, tokens, toxicity
+from . import decontaminate, mixing, quality, secrets, substrings, tokens, toxicity
 from .common import table
 
 # --- 2: secret scans ----------------------------------------------------------------------
@@ -131,6 +131,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("limit", 4).alias("limit"), "accepted")
 
 
+# --- 9: benchmark decontamination -----------------------------------------------------------------
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage of a benchmark item in a document: a row for each."""
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = marked.select("doc_id", F.explode("leaks").alias("m"))
+    return rows.select("doc_id", F.col("m.item").cast("long").alias("item_id"), F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), F.col("m.edits").cast("long").alias("edits"))
+
+
 # --- 10: substring dedup ------------------------------------------------------------------------
 
 
@@ -157,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op8_source_mix": op8_source_mix,
+    "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_source_mix": mix_sql(), "op10_substring_dedup": SUBSTRING_SQL}
