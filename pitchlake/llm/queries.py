@@ -7,9 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, substrings, tokens, toxicity
+from . import decontaminate, embeddings, mixing, ngram_join, quality, secrets, substrings, tokens, toxicity
 from .common import table
 
+# --- 1: embedding near-dedup --------------------------------------------------------------
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links, component, and whether it stays."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN m ON v.vec_id = m.a LEFT JOIN n ON v.vec_id = n.x"""
+
 # --- 2: secret scans ----------------------------------------------------------------------
 
 
@@ -52,6 +70,26 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN joined USING (id)"""
 
 
+# --- 7: n-gram Jaccard join ------------------------------------------------------------------
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component of similar documents."""
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"))
+
+
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 90 * (total - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON s.doc_id = m.a"""
+
+
 # --- 8: mixing sources to target weights ----------------------------------------------------
 
 #: The target weights: domains (the source's number modulo 4), languages, sources.
@@ -162,12 +200,14 @@ FROM d LEFT JOIN x ON d.doc_id = x.doc_id"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op3_token_counts": op3_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_ngram_join": op7_ngram_join,
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_source_mix": mix_sql(), "op10_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_SQL, "op2_secret_scans": _secrets_sql(), "op7_ngram_join": NGRAM_SQL, "op8_source_mix": mix_sql(), "op10_substring_dedup": SUBSTRING_SQL}
