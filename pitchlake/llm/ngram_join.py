@@ -210,3 +210,12 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     components = connected_components(same.union(found))
     out = rows.select("id", "n").join(components, rows["id"] == F.col("node"), "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (distinct ids), null ids included.
+
+    The ids are broadcast if they are few enough; more of them are joined by a shuffle.
+    """
+    gone = cut(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, doc_id, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, mixing, ngram_join, quality, secrets, substrings, tokens, toxicity
+from . import decontaminate, embeddings, mixing, ngram_join, pii, quality, secrets, substrings, tokens, toxicity
 from .common import table
 
 # --- 1: embedding near-dedup --------------------------------------------------------------
@@ -151,6 +151,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_tokens", F.octet_length("text").alias("n_bytes"))
 
 
+# --- 4: personal data -----------------------------------------------------------------------
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base kinds, all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    kinds = [g.kind for g in pii.GENERATORS]
+    base = F.filter("pii", lambda s: s["sure"])
+    number = lambda i: F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        "doc_id",
+        *[number(i).alias(f"n_{k}") for i, k in enumerate(kinds[: pii.BASE_KINDS])],
+        F.sha2(secrets.as_text(base, kinds), 256).alias("base_sha256"),
+        secrets.as_text(F.col("pii"), kinds).alias("spans"),
+    )
+
+
 # --- 5: toxicity ------------------------------------------------------------------------------
 
 
@@ -203,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_secret_scans": op2_secret_scans,
     "op3_token_counts": op3_token_counts,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
