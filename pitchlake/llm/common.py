@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df`` (narrow rows) worked out and, if it has at most ``most`` rows, broadcast in joins.
+
+    A larger one is joined by a shuffle.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_of(col: str = "text") -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

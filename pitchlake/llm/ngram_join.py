@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import cut, text_of
+from .common import cut, lookup, text_of
 from .components import connected_components
 
 CLASS_BITS = 18  # token classes are the first bits of the tokens' hashes
@@ -217,5 +217,4 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
 
     The ids are broadcast if they are few enough; more of them are joined by a shuffle.
     """
-    gone = cut(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, doc_id, "left_anti")
+    return docs.join(lookup(gone, BROADCAST_ROWS), doc_id, "left_anti")
