@@ -1,0 +1,496 @@
+"""Each operator on a small table with nulls, repeats, empty and odd texts, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pitchlake.llm import decontaminate, embeddings, mixing, ngram_join, pii, quality, secrets, substrings, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base(n, seed=1):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    return rng, [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 120))) for _ in range(n)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, f"src{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows], SCHEMA)
+
+
+def collected(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+ODD = [(900, None), (901, ""), (902, "   \n\t"), (903, "one"), (904, "one two"), (905, "x" * 30000), (906, "İstanbul 😀 naïve ﬁn"), (None, "a text without an id"), (907, "repeated row"), (907, "repeated row")]
+
+
+# --- 1
+
+
+def test_embeddings_find_the_links_of_brute_force(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((400, 24))
+    x[200:260] = x[0] + 0.12 * rng.standard_normal((60, 24))
+    x[300:304] = x[10]
+    rows = [(i, [float(v) for v in r], i % 5) for i, r in enumerate(x)]
+    rows += [(400, None, 1), (401, [0.0] * 24, 1), (402, [float("nan")] + [1.0] * 23, 1), (403, [1.0] * 3, 1), (None, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in collected(embeddings.near_duplicates(df, leaf=64)) if r["vec_id"] is not None}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9) & ~np.eye(400, dtype=bool)
+    want = links.sum(1)
+    n = np.array([got[i]["n_links"] for i in range(400)])
+    assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
+    assert got[201]["component_id"] == min([0, *range(200, 260)]) or not links[0, 201]
+    assert got[303]["component_id"] == 10 and got[303]["kept"] is False and got[10]["kept"] is True
+    for i in (400, 401, 402, 403):
+        assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] is True
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+# --- 2
+
+
+def brute_spans(text, rules):
+    out = []
+    for k, (rx, ok) in enumerate(rules):
+        out += [(m.start(), k, m.end()) for m in re.finditer(rx, text) if ok(m)]
+    return sorted(out)
+
+
+SECRET_RULES = [
+    (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 12),
+    (r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 18),
+    (r"[0-9a-f]+", lambda m: len(m.group()) >= 16),
+]
+
+
+def secret_texts():
+    return [
+        "password = 'abcdefghijklmnop' and more", "token=secret:abcdefghijklmnop", "API_KEY: short", "apikey=" + "A" * 12 + " passwd:" + "b" * 40,
+        "AKIA" + "Q" * 16, "AKIA" + "Q" * 5, "xAKIAAKIA" + "1" * 14, "deadbeef" * 4 + " " + "0" * 15, "😀 Secret=\"" + "z" * 20 + "\"", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36,
+        "http://user:pass@host/ eyJabcdefgh.ijklmnopqrst.uvwxyz012345",
+    ]
+
+
+def test_secrets_match_the_regexes(spark):
+    rows = [(i, t) for i, t in enumerate(secret_texts())] + ODD
+    got = collected(secrets.scan(frame(spark, rows).withColumn("secrets", F.lit(1))))
+    assert len(got) == len(rows)
+    for r in got:
+        spans = [(s["start"], s["kind"], s["end"]) for s in r["secrets"] if s["kind"] < 3]
+        assert spans == brute_spans(r["text"] or "", SECRET_RULES), r["text"]
+    kinds = {s["kind"] for r in got for s in r["secrets"]}
+    assert {3, 4, 6, 7} <= kinds
+    assert secrets.scan(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_trigram_queries_hold_for_every_match():
+    def holds(q, s):
+        if q is True:
+            return True
+        if isinstance(q, str):
+            return q in s
+        return (all if q[0] == "and" else any)(holds(x, s) for x in q[1])
+
+    for rule in secrets.RULES:
+        q = secrets.trigram_query(rule.pattern)
+        for t in secret_texts():
+            for m in re.finditer(rule.pattern, t):
+                assert holds(q, t.lower())
+    assert secrets.trigram_query("[0-9a-f]+") is True
+    assert secrets.trigrams(secrets.trigram_query("ab(cd|ef)?g")) == {"abc", "bcd", "cdg", "abe", "bef", "efg", "abg"}
+
+
+def test_redaction_joins_overlaps(spark):
+    df = spark.createDataFrame([("abcdefgh", [(1, 3), (2, 4), (6, 7)]), ("none", []), (None, [])], "t string, s array<struct<start:int,end:int>>")
+    assert [r[0] for r in df.select(secrets.redacted(F.col("t"), F.col("s"), "#")).collect()] == ["a#ef#h", "none", None]
+
+
+# --- 3
+
+
+def test_token_counts_equal_a_plain_search(spark):
+    pieces, byte = tokens.pieces_of()
+
+    def best(word):
+        score, count = [0.0], [0]
+        for e in range(1, len(word) + 1):
+            options = [(score[b] + pieces[word[b:e]], -(count[b] + 1)) for b in range(e) if word[b:e] in pieces]
+            if word[e - 1] not in pieces:
+                n = len(word[e - 1].encode())
+                options.append((score[e - 1] + n * byte, -(count[e - 1] + n)))
+            s, c = max(options)
+            score.append(s)
+            count.append(-c)
+        return count[-1]
+
+    _, texts = base(20)
+    rows = list(enumerate(texts)) + [o for o in ODD if o[1] is None or len(o[1]) < 1000] + [(950, "The quick 日本語 fox's naïve—dash"), (951, "x" * 300)]
+    got = collected(tokens.count_tokens(frame(spark, rows), trie_words=50))
+    assert len(got) == len(rows)
+    for r in got:
+        words = WORDS.findall(r["text"] or "")
+        assert r["n_words"] == len(words)
+        assert r["n_tokens"] == sum(best("▁" + w) for w in words), r["text"]
+
+
+def test_prefix_scores_are_shared():
+    pieces = {"a": -1.0, "b": -1.0, "ab": -1.5}
+    assert tokens.forward_counts(["a", "ab", "aba", "b", "bé"], pieces, -3.0) == [1, 1, 2, 1, 3]
+
+
+# --- 4
+
+PII_RULES = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.group().split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda m: luhn(re.sub(r"\D", "", m.group()))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"\D", "", m.group())) <= 15),
+]
+
+
+def luhn(d):
+    v = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+    return 12 <= len(d) <= 19 and sum(x - 9 if x > 9 else x for x in v) % 10 == 0
+
+
+def test_pii_base_spans_match_the_regexes(spark):
+    rng, texts = base(60)
+    extra = ["a@b.c_d@e.f", "x@localhost y.z@host.example.org.", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112", "call +1 (555) 010-9999 or +44 20 7946 0958.", "+1 2", "9" * 50, "1 2 3 4", "me [at] host [dot] org 078-05-1120"]
+    cards = [" ".join(str(rng.randint(0, 9)) for _ in range(16)) for _ in range(80)]
+    ips = [".".join(str(rng.randint(0, 400)) for _ in range(4)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts + extra + cards + ips)] + ODD
+    got = collected(pii.detect(frame(spark, rows)))
+    assert len(got) == len(rows)
+    for r in got:
+        sure = [(s["start"], s["kind"], s["end"]) for s in r["pii"] if s["sure"]]
+        assert sure == brute_spans(r["text"] or "", PII_RULES), r["text"]
+    assert pii.detect(frame(spark, rows).limit(0)).count() == 0
+
+
+# --- 5
+
+
+def test_toxicity_learns_and_leaves_held_out_rows_alone(spark):
+    rng, texts = base(600, 3)
+    bad = ["idiotic", "wretch", "vermin"]
+    rows, labels = [], []
+    for i, t in enumerate(texts):
+        toxic = i % 4 == 0
+        words = t.split()
+        if toxic:
+            for _ in range(2):
+                words.insert(rng.randint(0, len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    lab = spark.createDataFrame(labels + [(None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    got = collected(toxicity.tag(frame(spark, rows + ODD), lab))
+    assert len(got) == len(rows) + len(ODD)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 600]
+    right = sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held)
+    assert right >= 0.97 * len(held) and 60 < len(held) < 180
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    spans = [r["text"][int(s.split(":")[0]) : int(s.split(":")[1])] for r in held for s in r["toxic_spans"].split(",") if s]
+    assert spans and sum(s in bad for s in spans) >= 0.95 * len(spans)
+    none = toxicity.tag(frame(spark, rows[:5]), lab.limit(0)).collect()
+    assert len({r["score"] for r in none}) == 1
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(1)
+    scores, moves = rng.standard_normal(5), rng.standard_normal((2, 2))
+    total, marks = 0.0, np.zeros(5)
+    for k in range(32):
+        tags = [(k >> i) & 1 for i in range(5)]
+        w = math.exp(sum(s for s, t in zip(scores, tags) if t) + sum(moves[a, b] for a, b in zip(tags, tags[1:])))
+        total += w
+        marks += w * np.array(tags)
+    got = toxicity.forward_backward(np.concatenate([scores, scores[:2]]), np.array([5, 2]), moves)[2]
+    assert np.allclose(got[:5], marks / total)
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    field = toxicity.Field()
+    field.moves += [[0.2, -0.3], [0.1, 0.4]]
+    words, tags = ["aa", "bb", "aa", "cc"], np.array([0.0, 1.0, 1.0, 0.0])
+
+    def likelihood(f):
+        e = [f.emission(w) for w in words]
+        path = lambda t: sum(x for x, y in zip(e, t) if y) + sum(f.moves[int(a), int(b)] for a, b in zip(t, t[1:]))
+        return path(tags) - math.log(sum(math.exp(path([(k >> i) & 1 for i in range(4)])) for k in range(16)))
+
+    g = toxicity._gradient([(words, tags)], field)
+    for i, at in ((len(field.weights) - 1, field.weights), (toxicity.features_of("bb")[0], field.weights)):
+        before = likelihood(field)
+        at[i] += 1e-5
+        assert abs((likelihood(field) - before) / 1e-5 - g[i]) < 1e-3
+        at[i] -= 1e-5
+    field.moves[1, 1] += 1e-5
+    after = likelihood(field)
+    field.moves[1, 1] -= 1e-5
+    assert abs((after - likelihood(field)) / 1e-5 - g[-1]) < 1e-3
+
+
+# --- 6
+
+
+def test_quality_keeps_the_like_of_trusted_text(spark):
+    _, texts = base(300, 5)
+    junk = ["".join(chr(33 + (i * 7 + j * j) % 90) for j in range(200)) for i in range(20)]
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(junk)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 0, 0) for i in range(20)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in collected(quality.classify(frame(spark, rows + ODD), labels))}
+    assert sum(got[i]["accepted"] for i in range(300)) >= 295
+    assert not any(got[1000 + i]["accepted"] for i in range(20))
+    assert got[900]["accepted"] is False and got[901]["accepted"] is False and got[900]["perplexity"] is None
+    everything = quality.classify(frame(spark, rows[:4]), labels.limit(0))
+    assert all(r["accepted"] for r in everything.collect())
+
+
+def test_kneser_ney_probabilities_are_those_of_the_formulas(spark):
+    """Interpolated probabilities equal those of the plain formulas."""
+    texts = ["abracadabra", "abba cadaver", "banana band", "a cab and a bad cad"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    order = 3
+    model = quality.Model(quality.kneser_ney(quality.count_grams(df, order=order), order), order, 18)
+    counts = defaultdict(int)
+    for t in texts:
+        padded = quality.PAD * (order - 1) + t
+        for i in range(len(t)):
+            counts[padded[i : i + order]] += 1
+    tables = {order: dict(counts)}
+    for n in range(order - 1, 0, -1):
+        tables[n] = defaultdict(int)
+        for g in tables[n + 1]:
+            tables[n][g[1:]] += 1
+
+    def plain(gram):
+        if not gram:
+            return 1e-5
+        table = tables[len(gram)]
+        n1, n2, n3, n4 = (sum(c == k for c in table.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d = [0.5, 0.75, 0.9] if min(n1, n2, n3) == 0 else [min(max(x, 0.05), k) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        same = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        lower = plain(gram[1:])
+        if not same:
+            return lower
+        off = lambda c: d[min(c, 3) - 1]
+        own = table.get(gram, 0)
+        return ((own - off(own)) if own else 0) / sum(same) + sum(map(off, same)) / sum(same) * lower
+
+    for gram in ("abr", "ban", "ana", "zza", " ca", "abz", "qqq"):
+        assert model.log_probabilities(quality._codes(gram))[-1] == pytest.approx(math.log(plain(gram)), rel=1e-4)
+    got = {r["gram"]: r["n"] for r in quality.count_grams(df, order=order).collect()}
+    assert got == dict(counts)
+
+
+# --- 7
+
+
+def brute_components(rows, size, percent):
+    sets = {}
+    for n, (i, t) in enumerate(rows):
+        w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[n] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and None not in (rows[a][0], rows[b][0]) and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(rows[a][0]), find(rows[b][0])
+                root[max(p, q)] = min(p, q)
+    return [len(sets[n]) for n in range(len(rows))], {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize("size, percent, bits", [(3, 90, 18), (3, 90, 4), (5, 80, 6)])
+def test_the_join_finds_the_components_of_brute_force(spark, size, percent, bits):
+    rng, texts = base(60, 7)
+    rows = list(enumerate(texts))
+    for k in range(60, 260):
+        words = texts[rng.randint(0, 11)].split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["zz", "yy", "xx"])
+        rows.append((k, " ".join(words).upper() if k % 2 else "  ".join(words)))
+    rows += ODD
+    n, want = brute_components(rows, size, percent)
+    got = collected(ngram_join.join_similar(frame(spark, rows), size=size, percent=percent, class_bits=bits))
+    assert sorted(r["n_shingles"] for r in got) == sorted(n)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["component_id"] == want[r["doc_id"]], r
+    assert ngram_join.join_similar(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE", 16)
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    rng, texts = base(4, 9)
+    seed = " ".join(texts).split()[:150]
+    rows = []
+    for k in range(90):
+        words = list(seed)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(["zz", "yy", "xx"])
+        rows.append((k, " ".join(words)))
+    _, want = brute_components(rows, 3, 90)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_similar(frame(spark, rows), class_bits=4).collect()}
+    assert got == want
+
+
+# --- 8
+
+
+def test_the_mix_follows_the_plan_by_hand(spark):
+    _, texts = base(120, 11)
+    rows = [(i, t) for i, t in enumerate(texts)] + ODD
+    df = frame(spark, rows).withColumn("copies", F.lit("clash"))
+    levels = [F.lit("all"), F.col("lang"), F.col("source")]
+    out = collected(mixing.mix(df, levels, [{}, {"en": 3, "": 1}, {"src0": 2}], 50, 2, 5))
+    n = lambda t: len(WORDS.findall(t or ""))
+    total = sum(n(t) for _, t in rows)
+    leaves = defaultdict(list)
+    for r in collected(df):
+        leaves[(r["lang"] or "", r["source"] or "")].append(r)
+
+    def share(budget, children):  # name: (cap, weight)
+        given, left, todo = {}, budget, sorted(children, key=lambda c: (children[c][0] / children[c][1], c))
+        weights = sum(children[c][1] for c in todo)
+        while todo and children[todo[0]][0] * weights <= left * children[todo[0]][1]:
+            c = todo.pop(0)
+            given[c] = children[c][0]
+            left -= children[c][0]
+            weights -= children[c][1]
+        return given | {c: left * children[c][1] // weights for c in todo}
+
+    cap = lambda k: 2 * sum(n(r["text"]) for x, rs in leaves.items() if x[: len(k)] == k for r in rs)
+    langs = {x[0] for x in leaves}
+    by_lang = share(share(total * 50 // 100, {"all": (cap(()), 1)})["all"], {g: (cap((g,)), 3 if g == "en" else 1) for g in langs})
+    taken = defaultdict(int)
+    for r in out:
+        taken[(r["lang"] or "", r["source"] or "")] += r["copies"] * n(r["text"])
+    for g in langs:
+        by_source = share(by_lang[g], {x[1]: (cap(x), 2 if x[1] == "src0" else 1) for x in leaves if x[0] == g})
+        for s, budget in by_source.items():
+            longest = max(n(r["text"]) for r in leaves[(g, s)])
+            assert budget - longest < taken[(g, s)] <= budget or taken[(g, s)] == cap((g, s))
+            whole = sum(n(r["text"]) for r in leaves[(g, s)])
+            epoch, rest = divmod(budget, whole)
+            if epoch < 2:
+                order = sorted(leaves[(g, s)], key=lambda r: (hashlib.md5(f"5:{epoch}:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), hashlib.md5((r["text"] or "").encode()).hexdigest()))
+                run, want = 0, 0
+                for r in order:
+                    run += n(r["text"])
+                    want += n(r["text"]) * (epoch + (run <= rest))
+                assert want == taken[(g, s)]
+    assert mixing.mix(df.limit(0), levels, [{}, {}, {}], 50).count() == 0
+
+
+# --- 9
+
+
+def test_benchmark_passages_are_found_and_clean_texts_left(spark):
+    rng, texts = base(40, 13)
+    items = [" ".join(rng.choice(texts).split()[:40]) + f" item{i} " + " ".join(rng.choice(texts).split()[:30]) for i in range(8)]
+    rng2, clean = base(60, 99)
+    bench = spark.createDataFrame(list(enumerate(items)) + [(100, None), (101, ""), (102, "short")], "item_id long, text string")
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], ["q"], [t[k], "q"]])
+        return "".join(t)
+
+    rows = [(i, f"{clean[i]} {items[i % 8].upper()}\n {clean[i + 1]}") for i in range(16)]
+    rows += [(20 + i, clean[i] + "  " + edited(items[i], len(items[i]) // 50) + " " + clean[i]) for i in range(8)]
+    rows += [(40 + i, t) for i, t in enumerate(clean)] + ODD
+    got = collected(decontaminate.mark(frame(spark, rows).withColumn("leaks", F.lit(0)), bench))
+    assert len(got) == len(rows)
+    for r in got:
+        found = {int(m["item"]) for m in r["leaks"]}
+        i = r["doc_id"]
+        if i is not None and i < 16:
+            assert i % 8 in found
+            m = next(m for m in r["leaks"] if int(m["item"]) == i % 8)
+            assert r["text"][m["start"] : m["end"]].lower().split() == items[i % 8].lower().split()
+        elif i is not None and 20 <= i < 28:
+            assert i - 20 in found
+        else:
+            assert not found
+    assert all(r["leaks"] == [] for r in collected(decontaminate.mark(frame(spark, rows[:3]), bench.limit(0))))
+
+
+def test_alignment_is_the_least_edit_distance():
+    rng = random.Random(2)
+    for _ in range(200):
+        p = np.array([rng.randint(0, 2) for _ in range(rng.randint(1, 12))])
+        r = np.array([rng.randint(0, 2) for _ in range(rng.randint(0, 16))])
+        row = [0] * (len(r) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, x in enumerate(r, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != c)))
+            row = new
+        for most in (0, 1, 3):
+            got = decontaminate.align(p, r, most)
+            assert (got[0] if got else None) == (min(row) if min(row) <= most else None)
+
+
+# --- 10
+
+
+def brute_repeats(rows, window):
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1] or ""))
+    seen, out = set(), {}
+    for k in order:
+        w = WORDS.findall(rows[k][1] or "")
+        gone = set()
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if key in seen:
+                gone |= set(range(i, i + window))
+            seen.add(key)
+        out[k] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("window, phrase", [(20, 10), (6, 3)])
+def test_repeated_passages_go(spark, window, phrase):
+    rng, texts = base(80, 17)
+    shared = " ".join(texts[k] for k in range(3))
+    rows = []
+    for i, t in enumerate(texts):
+        words = t.split()
+        if i % 3 == 0:
+            at = rng.randint(0, len(words))
+            cut = shared.split()[rng.randint(0, 20) : rng.randint(40, 120)]
+            words[at:at] = cut
+        rows.append((i, " ".join(words)))
+    rows += [(200, texts[5] + " " + texts[5]), (201, "same " * 100), (202, texts[7])] + [o for o in ODD if o[0] is not None]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(frame(spark, rows), window=window, phrase=phrase).collect())
+    want = brute_repeats(rows, window)
+    assert got == sorted((rows[k][0], *want[k]) for k in range(len(rows)))
+
+
+def test_rows_without_an_id_come_last(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(frame(spark, [(None, t), (5, t)])).collect()}
+    assert got == {5: 0, None: 30}
+    assert substrings.remove_repeats(frame(spark, [(5, t)]).limit(0)).count() == 0
