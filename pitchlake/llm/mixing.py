@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, text_of
 
 BIG = "decimal(38,0)"
+FEW_LEAVES = 10_000  # of a tree, up to which its budgets are broadcast
 
 
 def weight_of(level: Column, weights: Mapping[str, int], default: int) -> Column:
@@ -99,7 +100,8 @@ def mix(
     plan = leaves.join(given, keys).withColumn("_whole", F.expr("if(_tokens > 0, cast(budget div _tokens as long), 0)"))
     plan = cut(plan.select(*keys, "_whole", (F.col("budget") - F.col("_whole") * F.col("_tokens")).cast("long").alias("_rest")))
 
-    placed = flat.join(plan, keys).withColumn("_order", F.expr(f"if(_whole < {max_epochs}, _md5[int(_whole)], '')"))
+    few = F.broadcast if plan.count() <= FEW_LEAVES else lambda table: table  # else a shuffled join
+    placed = flat.join(few(plan), keys).withColumn("_order", F.expr(f"if(_whole < {max_epochs}, _md5[int(_whole)], '')"))
     placed = placed.withColumn("_b1", F.substring("_order", 1, 2)).withColumn("_b2", F.substring("_order", 3, 2))
     sums = cut(placed.where("_order <> ''").groupBy(*keys, "_rest", "_b1", "_b2").agg(F.sum("_n").alias("_n")))
 
@@ -116,7 +118,7 @@ def mix(
     second = boundary(inside, "_b2", "_b1_sum")
     ends = cut(first.join(second, keys).select(*keys, "_b1_end", "_b2_end", "_b2_sum"))
 
-    placed = placed.join(ends, keys, "left")
+    placed = placed.join(few(ends), keys, "left")
     end = F.concat("_b1_end", "_b2_end")
     here = F.concat("_b1", "_b2")
     sure = (F.col("_order") == "") | F.col("_b1_end").isNull() | (here != end)
