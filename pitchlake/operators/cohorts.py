@@ -73,8 +73,8 @@ def spaced_velocities(df: DataFrame, player: str, date: str, value: str, apart:
         piece = F.struct(acc["d"].alias("start"), x["d"].alias("end"), ((x["v"] - acc["v"]) / (days / F.lit(365.25))).alias("velocity"))
         return F.when(days >= apart, F.struct(x["d"].alias("d"), x["v"].alias("v"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(acc)
 
-    pieces = series.select(player, F.explode(F.aggregate(F.slice("s", 2, F.size("s")), first, step)["out"]).alias("p"))
-    return pieces.select(player, "p.start", "p.end", "p.velocity")
+    pieces = series.select(player, F.explode(F.aggregate(F.slice("s", 2, F.size("s")), first, step)["out"]).alias("_p"))
+    return pieces.select(player, "_p.start", "_p.end", "_p.velocity")
 
 
 def own_velocity(df: DataFrame, player: str, date: str, value: str, apart: int = 150) -> DataFrame:

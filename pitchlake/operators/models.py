@@ -120,8 +120,8 @@ def shrunk_rates(df: DataFrame, groups: Sequence[str], player: str, count: str,
 
     @F.pandas_udf("struct<low:double,high:double,next_low:long,next_high:long>")
     def intervals(a: pd.Series, b: pd.Series, e: pd.Series) -> pd.DataFrame:
-        rows = [(gamma_quantile(0.1, x, r), gamma_quantile(0.9, x, r), negative_binomial_quantile(0.1, x, r / (r + t)), negative_binomial_quantile(0.9, x, r / (r + t))) for x, r, t in zip(a, b, e)]
-        return pd.DataFrame(rows, columns=["low", "high", "next_low", "next_high"])
+        nb = [[negative_binomial_quantile(p, x, r / (r + t)) for x, r, t in zip(a, b, e)] for p in (0.1, 0.9)]
+        return pd.DataFrame({"low": gamma_quantile(0.1, a.to_numpy(), b.to_numpy()), "high": gamma_quantile(0.9, a.to_numpy(), b.to_numpy()), "next_low": nb[0], "next_high": nb[1]})
 
     j = s.join(prior, list(groups)).withColumn("i", intervals(F.col("a") + F.col("y"), F.col("b") + F.col("e"), F.col("e")))
     return j.select(*groups, player, (F.col("y") / F.col("e")).alias("raw"), ((F.col("a") + F.col("y")) / (F.col("b") + F.col("e"))).alias("estimate"), (F.col("e") / (F.col("b") + F.col("e"))).alias("weight"), "i.*")

@@ -34,10 +34,10 @@ def half_quantiles(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
 
     def median(a: Column) -> Column:
         n = F.size(a)
-        return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
+        return (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2 + 1).cast("int"))) / 2
 
-    half = F.floor(F.size("v") / 2).cast("int")
-    low, high = F.slice("v", 1, F.greatest(half, F.lit(1))), F.slice("v", F.greatest(F.size("v") - half + 1, F.lit(1)), F.greatest(half, F.lit(1)))
+    half = F.greatest(F.floor(F.size("v") / 2).cast("int"), F.lit(1))
+    low, high = F.slice("v", 1, half), F.slice("v", F.size("v") - half + 1, half)
     return lists.select(*groups, median(low).alias("p25"), median(F.col("v")).alias("p50"), median(high).alias("p75"), F.size("v").cast("long").alias("n"))
 
 

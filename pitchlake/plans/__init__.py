@@ -1,7 +1,7 @@
 """The registered queries: operators on adapters of the given tables, with their SQL."""
 
-from . import growth, league, results
+from . import forecasts, growth, league, results
 
-_PARTS = (growth, league, results)
+_PARTS = (growth, league, results, forecasts)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
