@@ -244,3 +244,14 @@ def timing_shift(readings: DataFrame, points: DataFrame, group: str, player: str
     g = fitted.where("_c is not null").groupBy(player, "shift").agg(F.avg(r).alias("size"), F.var_pop(r).alias("var"), F.count("*").alias("n"))
     g = g.withColumn("loss", F.col("var") * F.col("n") + penalty * F.col("shift") * F.col("shift"))
     return g.groupBy(player).agg(F.min_by(F.struct("shift", "size", "loss"), F.struct("loss", F.abs("shift"), "shift")).alias("b")).select(player, "b.*")
+
+
+def tree_forecast(known: DataFrame, new: DataFrame, features: Sequence[str], last: str, target: str, trees: int = 20) -> DataFrame:
+    """``new`` with ``guess``: the last value plus a boosted forecast of the change."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    v = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="skip")
+    rows = v.transform(known.withColumn("_y", (F.col(target) - F.col(last)).cast("double")))
+    model = GBTRegressor(featuresCol="_v", labelCol="_y", maxIter=trees, maxDepth=4, seed=3).fit(rows)
+    return model.transform(v.transform(new)).withColumn("guess", F.col(last) + F.col("prediction")).drop("_v", "prediction")

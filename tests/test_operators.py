@@ -322,3 +322,31 @@ def test_entry_imports_without_the_training_data_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
+def test_a_match_feed(spark):
+    """One small match: goals 2-1 with a penalty, an own goal and a shootout that counts for nothing."""
+    from pitchlake.operators import feed
+
+    ev = [
+        (1, "p1", "Pass", 1, 10, 1, 11, None, "Throw-in", None, None, False),
+        (1, "p2", "Pass", 1, 20, 1, 12, None, None, None, None, True),
+        (1, "s1", "Shot", 1, 20, 1, 11, "Goal", None, 0.4, "p2", False),
+        (1, "p3", "Pass", 1, 30, 1, 12, "Incomplete", None, None, None, False),
+        (1, "s2", "Shot", 2, 80, 1, 13, "Goal", "Penalty", 0.76, None, False),
+        (1, "o1", "Own Goal For", 2, 60, 2, 21, None, None, None, None, False),
+        (1, "d1", "Duel", 2, 60, 2, 21, "Won", None, None, None, False),
+        (1, "d2", "Dribble", 2, 61, 2, 21, "Complete", None, None, None, False),
+    ]
+    names = "match_id int, event_id string, type string, period int, minute int, team_id int, player_id int, outcome string, kind string, xg double, key_pass_id string, goal_assist boolean"
+    e = spark.createDataFrame(ev, names).withColumn("possession_team_id", F.col("team_id")).withColumn("duration", F.lit(2.0))
+    p = {r["player_id"]: r for r in feed.player_lines(e).collect()}
+    assert (p[11]["shots"], p[11]["goals"], p[11]["xg"], p[11]["passes"]) == (1, 1, 0.4, 0)
+    assert (p[12]["passes"], p[12]["passes_completed"], p[12]["xa"], p[12]["assists"]) == (2, 1, 0.4, 1)
+    assert (p[13]["xg"], p[13]["npxg"]) == (0.76, 0.0) and (p[21]["duels_won"], p[21]["take_ons_won"]) == (1, 1)
+    t = {r["team_id"]: r for r in feed.team_lines(e).collect()}
+    assert (t[1]["goals"], t[1]["goals_against"], t[1]["points"], t[1]["goals_late"]) == (2, 1, 3, 1)
+    assert (t[2]["goals"], t[2]["points"], t[2]["possession_s"]) == (1, 0, 6.0)
+    lines = spark.createDataFrame([(1, 1, [(11, [("Striker", "00:00", None, 1, "Starting XI")]), (12, [("Keeper", "00:00", "60:00", 1, "Starting XI"), ("Keeper", "00:00", None, 5, "x")]), (13, [("Wing", "60:00", None, 2, "Sub")])])], "match_id int, team_id int, lineup array<struct<player_id:int,positions:array<struct<position:string,`from`:string,`to`:string,from_period:int,start_reason:string>>>>")
+    m = {r["player_id"]: (r["position"], r["minutes"], r["started"]) for r in feed.minutes_played(lines, spark.createDataFrame([(1, 5400.0)], "match_id int, end_s double")).collect()}
+    assert m == {11: ("Striker", 90, True), 12: ("Keeper", 60, True), 13: ("Wing", 30, False)}
