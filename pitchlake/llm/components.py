@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,19 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("the components have not settled")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Enough links of a symmetric matrix to connect what it links: a tree for each component."""
+    waiting, out = linked.any(axis=1), []
+    for start in np.flatnonzero(waiting):
+        if waiting[start]:
+            waiting[start] = False
+            queue = [int(start)]
+            while queue:
+                near = np.flatnonzero(linked[queue[-1]] & waiting)
+                at = queue.pop()
+                waiting[near] = False
+                out += [(at, int(k)) for k in near]
+                queue += near.tolist()
+    return out

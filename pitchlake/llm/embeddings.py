@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .components import connected_components
+from .common import cut, lookup
+from .components import connected_components, forest_edges
 
 SAMPLE = 50_000  # vectors that the trees' thresholds are fitted on
 LEAF = 1024  # vectors that a leaf, or one side of a block of a larger leaf, holds
@@ -87,38 +87,32 @@ def _compare(key, g: pd.DataFrame, least: float) -> pd.DataFrame:
     (a, null, n): n further vectors linked to a; (a, b, 0): enough links to connect the block.
     """
     leaf, i, j = key
-    x, ids, weight, side = unit(g["v"]), g["id"].to_numpy(), g["weight"].to_numpy(), g["block"].to_numpy()
-    earlier = sorted({k for m in g["leaves"] for k in m if k < leaf})
-    column = {k: c for c, k in enumerate(earlier)}
-    seen = np.zeros((len(g), max(1, len(earlier))), dtype=np.float32)
-    for r, m in enumerate(g["leaves"]):
-        seen[r, [column[k] for k in m if k < leaf]] = 1
+    x = np.frombuffer(b"".join(g["v"])).reshape(len(g), -1)
+    ids, weight, side = g["id"].to_numpy(), g["weight"].to_numpy(), g["block"].to_numpy()
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     linked = x[left] @ x[right].T >= least
     if i == j:
         np.fill_diagonal(linked, False)
-    new = linked & (seen[left] @ seen[right].T == 0) if linked.any() else linked
+    if not linked.any():
+        return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64), "n": np.zeros(0, dtype=np.int64)})
+    numbers = np.frombuffer(b"".join(g["leaves"]), dtype=np.int32)
+    owner = np.repeat(np.arange(len(g)), [len(m) // 4 for m in g["leaves"]])
+    earlier = numbers < leaf
+    column = np.unique(numbers[earlier], return_inverse=True)[1]
+    seen = np.zeros((len(g), int(column.max(initial=0)) + 1), dtype=np.float32)
+    seen[owner[earlier], column] = 1
+    new = linked & (seen[left] @ seen[right].T == 0)
     n = np.zeros(len(g), dtype=np.int64)
     n[left] += new @ weight[right]
     if i != j:
         n[right] += weight[left] @ new
-    root = list(range(len(g)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    edges = []
-    for p, q in zip(*np.nonzero(linked)):
-        a, b = find(int(left[p])), find(int(right[q]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            edges.append((ids[left[p]], ids[right[q]]))
+    whole = np.zeros((len(g), len(g)), dtype=bool)
+    whole[np.ix_(left, right)] = linked
+    edges = np.array(forest_edges(whole | whole.T), dtype=np.int64).reshape(-1, 2)
     counted = np.flatnonzero(n)
-    out = pd.DataFrame({"a": np.concatenate([ids[counted], [e[0] for e in edges]]), "b": [None] * len(counted) + [e[1] for e in edges], "n": np.concatenate([n[counted], np.zeros(len(edges), dtype=np.int64)])})
-    return out.astype({"a": "int64", "b": "Int64", "n": "int64"})
+    b = pd.array(np.concatenate([np.zeros(len(counted), dtype=np.int64), ids[edges[:, 1]]]), dtype="Int64")
+    b[: len(counted)] = pd.NA
+    return pd.DataFrame({"a": np.concatenate([ids[counted], ids[edges[:, 0]]]), "b": b, "n": np.concatenate([n[counted], np.zeros(len(edges), dtype=np.int64)])})
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, trees: int = 6, seed: int = 11, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
@@ -149,7 +143,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     reps = rows.where("ok").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select("id", "v", "weight")
     reps = cut(reps)
     total = reps.count()
-    chosen = reps.orderBy(F.xxhash64(F.lit(13), "id"), "id").limit(sample).select("v").toPandas()["v"]
+    hashed = reps.withColumn("h", F.xxhash64(F.lit(13), "id"))
+    chosen = hashed.join(lookup(hashed.select("h").orderBy("h").limit(sample)), "h", "left_semi").select("v").toPandas()["v"]
     forest = reps.sparkSession.sparkContext.broadcast(plant(unit(chosen), total, trees, seed, leaf))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,17 +152,23 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             if not len(b):
                 continue
             x = unit(b["v"])
-            where = [(number, sides, r) for tree in forest.value for k, r in tree.route(x) for number, sides in [tree.leaves[k]]]
-            members: list[list[int]] = [[] for _ in range(len(b))]
-            for number, _, r in where:
-                for k in r:
-                    members[k].append(number)
-            for number, sides, r in where:
-                if len(r):
-                    part = b.iloc[r]
-                    yield pd.DataFrame({"leaf": number, "sides": sides, "id": part["id"], "v": part["v"], "weight": part["weight"], "leaves": [members[k] for k in r]})
-
-    placed = reps.mapInPandas(routed, "leaf int, sides int, id long, v array<double>, weight long, leaves array<int>")
+            where = [(*tree.leaves[k], r) for tree in forest.value for k, r in tree.route(x) if len(r)]
+            size = [len(r) for _, _, r in where]
+            row = np.concatenate([r for _, _, r in where])
+            number = np.repeat(np.array([k for k, _, _ in where], dtype=np.int32), size)
+            sides = np.repeat(np.array([k for _, k, _ in where], dtype=np.int32), size)
+            by_row = np.argsort(row, kind="stable")
+            ends = np.cumsum(np.bincount(row, minlength=len(b)))
+            sorted_numbers = number[by_row]
+            members, vectors = np.empty(len(b), dtype=object), np.empty(len(b), dtype=object)
+            members[:] = [sorted_numbers[s:e].tobytes() for s, e in zip(np.concatenate([[0], ends[:-1]]), ends)]
+            vectors[:] = [v.tobytes() for v in x]
+            ids, weights = b["id"].to_numpy(), b["weight"].to_numpy()
+            for at in range(0, len(row), 20_000):
+                r = row[at : at + 20_000]
+                yield pd.DataFrame({"leaf": number[at : at + 20_000], "sides": sides[at : at + 20_000], "id": ids[r], "v": vectors[r], "weight": weights[r], "leaves": members[r]})
+
+    placed = reps.mapInPandas(routed, "leaf int, sides int, id long, v binary, weight long, leaves binary")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("sides")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     blocks = placed.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "weight", "leaves")
