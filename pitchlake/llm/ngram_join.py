@@ -7,16 +7,17 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
 from .common import cut, lookup, text_of
-from .components import connected_components
+from .components import connected_components, forest_edges
 
 CLASS_BITS = 18  # token classes are the first bits of the tokens' hashes
 SHARED = 3  # tokens that similar sets share in their extended prefixes
 MOST_COMBINED = 48  # frequent tokens of a prefix that are indexed by pairs
+SKETCH_BITS = 10  # of a place in a set's sketch, which has 1024 bits
 SMALL = 32  # rows of a key up to which its pairs are listed
 SIDE = 256  # documents on each side of a block of comparisons
 BROADCAST_ROWS = 1_000_000  # of two longs
@@ -86,8 +87,19 @@ def index_keys(s: np.ndarray, counts: np.ndarray, limit: float, percent: int) ->
     return np.concatenate([rare, pairs]), alone
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """A bit by place of a hash: whether an odd number of the set's tokens has the place.
+
+    A token that only one of two sets has turns one bit, so two sketches differ in at most as
+    many bits as tokens are in one set alone.
+    """
+    places = (words.mix(s) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(places, minlength=1 << SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def described(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, keys, seeks) of each document: its set's size, digest and keys."""
+    """(id, n, s1, s2, keys, seeks, sketch) of each document: its set's size, digest and keys."""
     mean = counts.mean()
     shared, limit = docs.sparkSession.sparkContext.broadcast(counts), mean + 8 * np.sqrt(mean) + 32
 
@@ -99,29 +111,69 @@ def described(docs: DataFrame, doc_id: str, text: str, size: int, percent: int,
                 s = shingles(t, known, size)
                 keys, seeks = index_keys(s, shared.value, limit, percent)
                 with np.errstate(over="ignore"):
-                    out.append((len(s), int(words.mix(s).sum(dtype=np.uint64).astype(np.int64)), int(words.mix(s * words.FACTOR).sum(dtype=np.uint64).astype(np.int64)), keys.astype(np.int64), seeks.astype(np.int64)))
-            yield pd.DataFrame({"id": b["id"], **{c: [r[i] for r in out] for i, c in enumerate(("n", "s1", "s2", "keys", "seeks"))}})
+                    out.append((len(s), int(words.mix(s).sum(dtype=np.uint64).astype(np.int64)), int(words.mix(s * words.FACTOR).sum(dtype=np.uint64).astype(np.int64)), keys.astype(np.int64), seeks.astype(np.int64), sketch(s)))
+            yield pd.DataFrame({"id": b["id"], **{c: [r[i] for r in out] for i, c in enumerate(("n", "s1", "s2", "keys", "seeks", "sketch"))}})
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, keys array<long>, seeks array<long>")
+    return docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).mapInPandas(rows, f"id {kind}, n long, s1 long, s2 long, keys array<long>, seeks array<long>, sketch array<long>")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) of sets that share two tokens or a pair of frequent ones in their prefixes.
-
-    Keys of one set only go first. The pairs of keys with few rows are listed and counted. A key
-    of many rows ties all of them to its least one, which keeps them in one cluster.
+def _plausible(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of blocks whose sketches are near enough: enough of them to connect such pairs."""
+    out = []
+    for (_, i, j), g in pdf.groupby(["key", "i", "j"], sort=False):
+        bits = np.unpackbits(np.stack(g["sketch"].to_numpy()).astype(np.int64).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        ids, side, n = g["id"].to_numpy(), g["block"].to_numpy(), g["n"].to_numpy()
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        differ = ((1 << SKETCH_BITS) - bits[left] @ bits[right].T) / 2
+        near = differ * (100 + percent) <= (n[left][:, None] + n[right][None, :]) * (100 - percent)
+        whole = np.zeros((len(g), len(g)), dtype=bool)
+        whole[np.ix_(left, right)] = near
+        np.fill_diagonal(whole, False)
+        edges = np.array(forest_edges(whole | whole.T), dtype=np.int64).reshape(-1, 2)
+        out.append(pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]}))
+    return pd.concat(out)
+
+
+def blocks(rows: DataFrame, group: str, sides: Column, total: int) -> DataFrame:
+    """``rows`` of groups cut into sides by id: columns block, i, j, g; a pair of sides of a
+    group is together in one g, which holds about SIDE rows or one such pair."""
+    rows = rows.withColumn("_sides", sides).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_sides")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_sides") - 1)))
+    rows = rows.withColumn("i", F.least("block", "_other")).withColumn("j", F.greatest("block", "_other"))
+    return rows.withColumn("g", F.pmod(F.xxhash64(group, "i", "j"), F.lit(max(1, total // SIDE)))).drop("_sides", "_other")
+
+
+def candidates(sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that connect the sets that share two tokens, or a pair of frequent ones, in their
+    prefixes, and whose sketches differ in no more bits than similar sets of their sizes can.
+
+    Keys of one set only go first. The pairs of keys with few rows are listed and counted. Those
+    of keys with many rows are never listed: a key's sketches are compared in blocks, and each
+    block gives only what connects its near pairs; keys of the same rows are done once.
     """
     index = sets.select("id", F.explode("keys").alias("key"), F.lit(2).alias("role"))
     seek = sets.select("id", F.explode("seeks").alias("key"), F.lit(1).alias("role"))
     posted = index.union(seek)
-    used = posted.groupBy("key").agg(F.count("*").alias("rows"), F.max("role").alias("top"), F.min(F.when(F.col("role") == 2, F.col("id"))).alias("least"))
-    posted = posted.join(used.where("rows > 1 and top = 2").select("key", "rows", "least"), "key")
-    few = posted.where(F.col("rows") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("id", "role")).alias("m"))
+    used = posted.groupBy("key").agg(F.count("*").alias("rows"), F.max("role").alias("top"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("mark"))
+    used = cut(used.where("rows > 1 and top = 2"))
+    few = posted.join(used.where(F.col("rows") <= SMALL).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("id", "role")).alias("m"))
     few = few.select("key", F.explode("m").alias("x"), "m").select("key", "x", F.explode("m").alias("y"))
     few = few.where("x.id < y.id and greatest(x.role, y.role) = 2").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("1 + (key & 1)").alias("w"))
-    many = posted.where((F.col("rows") > SMALL) & (F.col("id") != F.col("least"))).select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"), F.lit(2).alias("w"))
-    return few.union(many).groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
+    pairs = few.groupBy("a", "b").agg(F.sum("w").alias("w")).where("w > 1").select("a", "b")
+    of = lambda side: rows.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    near = both.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+
+    many = cut(used.where(F.col("rows") > SMALL).groupBy("rows", "least", "mark").agg(F.min("key").alias("key")))
+    total = many.agg(F.sum("rows")).first()[0] or 0
+    if not total:
+        return near
+    hot = posted.join(lookup(many.select("key", "rows")), "key").join(rows.select("id", "n", "sketch"), "id")
+    hot = blocks(hot.select("id", "key", "rows", "n", "sketch"), "key", F.ceil(F.col("rows") / SIDE).cast("int"), total)
+    kind = dict(sets.dtypes)["id"]
+    return near.union(hot.groupBy("g").applyInPandas(partial(_plausible, percent=percent), f"a {kind}, b {kind}"))
 
 
 def _linked(pdf: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
@@ -145,20 +197,12 @@ def _linked(pdf: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
             both += x[left] @ x[right].T
         both = np.rint(both).astype(np.int64)
         similar = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (both > 0)
-        root = list(range(len(sets)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for p, q in zip(*(x.tolist() for x in np.nonzero(similar))):
-            a, b = find(left[p]), find(right[q])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((ids[left[p]], ids[right[q]]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64" if not out else None)
+        whole = np.zeros((len(sets), len(sets)), dtype=bool)
+        whole[np.ix_(left, right)] = similar
+        np.fill_diagonal(whole, False)
+        edges = np.array(forest_edges(whole | whole.T), dtype=np.int64).reshape(-1, 2)
+        out.append(pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]}))
+    return pd.concat(out)
 
 
 def links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
@@ -174,13 +218,9 @@ def links(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, size: int,
     member = clusters.join(sizes, "component", "left").select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.coalesce(F.ceil(F.col("count") / SIDE), F.lit(1)).cast("int").alias("sides"))
     member = F.broadcast(member) if total <= BROADCAST_ROWS else member
     rows = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).join(member, "id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("sides")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rows = rows.select("id", "text", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    groups = max(1, total // SIDE)
-    group = F.when(F.col("cluster").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)))
+    rows = blocks(rows, "cluster", F.col("sides"), total)
     kind = dict(docs.dtypes)[doc_id]
-    return rows.groupBy(group.alias("g")).applyInPandas(partial(_linked, size=size, percent=percent), f"a {kind}, b {kind}")
+    return rows.groupBy("g").applyInPandas(partial(_linked, size=size, percent=percent), f"a {kind}, b {kind}")
 
 
 def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, class_bits: int = CLASS_BITS) -> DataFrame:
@@ -206,7 +246,7 @@ def join_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     classes = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     same = full.select("id", "n", "s1", "s2").join(classes.where("rows > 1"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     reps = full.groupBy("n", "s1", "s2").agg(F.min_by(F.struct("id", "keys", "seeks"), "id").alias("r")).select("r.*")
-    found = links(docs, candidates(reps), doc_id, text, size, percent)
+    found = links(docs, candidates(reps, full, percent), doc_id, text, size, percent)
     components = connected_components(same.union(found))
     out = rows.select("id", "n").join(components, rows["id"] == F.col("node"), "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
