@@ -127,6 +127,7 @@ def _plausible(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
         differ = ((1 << SKETCH_BITS) - bits[left] @ bits[right].T) / 2
         near = differ * (100 + percent) <= (n[left][:, None] + n[right][None, :]) * (100 - percent)
+        near &= 100 * np.minimum.outer(n[left], n[right]) >= percent * np.maximum.outer(n[left], n[right])
         whole = np.zeros((len(g), len(g)), dtype=bool)
         whole[np.ix_(left, right)] = near
         np.fill_diagonal(whole, False)
@@ -164,7 +165,8 @@ def candidates(sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     of = lambda side: rows.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    near = both.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")  # else no similarity of percent
+    near = both.where(alike & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
 
     many = cut(used.where(F.col("rows") > SMALL).groupBy("rows", "least", "mark").agg(F.min("key").alias("key")))
     total = many.agg(F.sum("rows")).first()[0] or 0
