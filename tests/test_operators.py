@@ -100,6 +100,17 @@ def test_monthly_ratings_start_at_the_beginning(spark):
     assert got[(3, D(2024, 3, 1))]["deviation"] > 350
 
 
+def test_the_rating_query_takes_the_whole_history(spark, tmp_path):
+    from pitchlake.plans import results
+
+    orders = [(i, (D(1995, 1, 3), D(1998, 6, 3), D(2001, 1, 3))[i % 3]) for i in range(30)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, s, 10.0 * s) for i, _ in orders for s in (1, 2, 3)], "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = results.m2_glicko_ratings(spark, str(tmp_path)).collect()
+    assert {r["month"] for r in got} == {D(1995, 1, 1), D(1998, 6, 1), D(2001, 1, 1)}
+    assert all(r["rating"] != 1500 for r in got if r["month"] == D(2001, 1, 1) and r["player_id"] != 2)
+
+
 def test_point_ratings_recover_the_edge(spark):
     df = spark.createDataFrame([(1, 2, 60, 40)] * 30, "winner long, loser long, high int, low int")
     t = {r["player_id"]: r["theta"] for r in matches.bradley_terry(df, prior=10.0).collect()}
