@@ -227,10 +227,11 @@ def classify(
     model; on the rest each language's limit is its ``quantile`` of perplexity times ``slack``.
     A document is accepted when its perplexity is at most its language's limit. Languages
     without trusted text, and null ones, get the limit over all of it; without any trusted text
-    everything is accepted. Texts under ``short`` characters say too little and are accepted
-    unless empty; empty and null texts have no perplexity and are rejected. Null ids are never
-    trusted. Repeated rows are scored alike; an empty table stays empty. Columns of the three
-    names are replaced.
+    everything is accepted. Texts under ``short`` characters say little and are judged as if
+    filled up to that length with text of the median log loss of the held-out trusted text of
+    their language; ``perplexity`` is theirs as it is. Empty and null texts have no perplexity
+    and are rejected. Null ids are never trusted. Repeated rows are scored alike; an empty table
+    stays empty. Columns of the three names are replaced.
     """
     good = labels.where(F.col(quality) == 1).select(F.col(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
     held = F.crc32(F.col(doc_id).cast("string")) % 5 == 4
@@ -239,10 +240,13 @@ def classify(
     check = docs.select(doc_id, lang, text).join(lookup(good.where(held)), doc_id, "left_semi")
     check = cut(check.where(F.length(text) >= short).select(lang, perplexities(model, text).alias("perplexity")))
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * slack
-    limits = check.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(at.alias("_limit"))
-    overall = check.agg(at.alias("m")).first()["m"]
+    middle = F.percentile_approx(F.log("perplexity"), F.lit(0.5), F.lit(10000))
+    limits = check.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(at.alias("_limit"), middle.alias("_middle"))
+    overall = check.agg(at.alias("m"), middle.alias("middle")).first()
     scored = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), F.col(lang).alias("_of"), F.length(text_of(text)).alias("_size"), perplexities(model, text).alias("_p"))
     joined = scored.join(lookup(limits, 10_000), F.col("_of") == F.col("_lang"), "left")
-    limit = F.coalesce(F.col("_limit"), F.lit(overall).cast("double"), F.lit(float("inf")))
-    accepted = (F.col("_size") > 0) & ((F.col("_size") < short) | (F.col("_p") <= limit))
+    limit = F.coalesce(F.col("_limit"), F.lit(overall["m"]).cast("double"), F.lit(float("inf")))
+    rest = F.greatest(short - F.col("_size"), F.lit(0))
+    filled = F.exp((F.log("_p") * F.col("_size") + F.coalesce(F.col("_middle"), F.lit(overall["middle"]).cast("double"), F.log("_p")) * rest) / (F.col("_size") + rest))
+    accepted = (F.col("_size") > 0) & F.when(rest > 0, filled <= limit).otherwise(F.col("_p") <= limit)
     return joined.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_p").alias("perplexity"), limit.alias("limit"), accepted.alias("accepted"))

@@ -257,6 +257,17 @@ def test_quality_keeps_the_like_of_trusted_text(spark):
     assert all(r["accepted"] for r in everything.collect())
 
 
+def test_quality_rejects_short_junk_and_keeps_short_text(spark):
+    _, texts = base(300, 5)
+    short = [t[:30] for t in texts if len(t) >= 30][:40]
+    junk = ["".join(chr(33 + (i * 7 + j * j) % 60) for j in range(12 + i)) for i in range(20)]
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(junk)] + [(2000 + i, t) for i, t in enumerate(short)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["accepted"] for r in collected(quality.classify(frame(spark, rows), labels))}
+    assert not any(got[1000 + i] for i in range(20))
+    assert sum(got[2000 + i] for i in range(40)) >= 38
+
+
 def test_kneser_ney_probabilities_are_those_of_the_formulas(spark):
     """Interpolated probabilities equal those of the plain formulas."""
     texts = ["abracadabra", "abba cadaver", "banana band", "a cab and a bad cad"]
