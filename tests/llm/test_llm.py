@@ -349,9 +349,12 @@ def test_the_join_finds_the_components_of_brute_force(spark, size, percent, bits
     assert ngram_join.join_similar(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_large_clusters_are_compared_in_blocks(spark, monkeypatch, pivots):
     monkeypatch.setattr(ngram_join, "SIDE", 16)
+    monkeypatch.setattr(ngram_join, "SKETCHES", 16)
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
     rng, texts = base(4, 9)
     seed = " ".join(texts).split()[:150]
     rows = []
