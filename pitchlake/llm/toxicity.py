@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_of
 
 BITS = 18  # places of the feature weights
-TOKENS = re.compile(r"\S+")
+NONE = 1 << BITS  # the place of no feature, whose weight stays 0
+TOKENS = re.compile(r"\S+")  # what str.split() gives, with places
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -30,27 +32,102 @@ class Field:
     """A chain of the tags clean and toxic: feature weights, a bias and transition scores."""
 
     def __init__(self) -> None:
-        self.weights = np.zeros((1 << BITS) + 1)  # the last is the bias
+        self.weights = np.zeros(NONE + 2)  # the last is the bias
         self.moves = np.zeros((2, 2))
         self.scale = np.array([-2.0, 1.0, 0.0])  # of the document score
 
-    def emission(self, word: str) -> float:
-        """Score of the tag toxic against clean at a token."""
-        return float(self.weights[-1] + self.weights[features_of(word)].sum())
+    def emissions(self, places: np.ndarray) -> np.ndarray:
+        """Scores of the tag toxic against clean at tokens, by rows of the places of features."""
+        return self.weights[-1] + self.weights[places].sum(axis=1)
 
 
-class Emissions(dict):
-    """Emission scores by word, worked out once for each kept word."""
+class Tokens(dict):
+    """Numbers of different tokens in order of appearance, with the places of their features."""
 
-    def __init__(self, field: Field, most: int = 1 << 18) -> None:
+    def __init__(self) -> None:
         super().__init__()
+        self.rows: list[list[int]] = []
+
+    def __missing__(self, word: str) -> int:
+        places = features_of(word)
+        self.rows.append(places + [NONE] * (5 - len(places)))
+        self[word] = n = len(self.rows) - 1
+        return n
+
+    def of(self, split: list[list[str]]) -> np.ndarray:
+        """The tokens' numbers, one text after the other."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
+
+    def places(self) -> np.ndarray:
+        return np.array(self.rows, dtype=np.int64).reshape(-1, 5)
+
+
+class Emissions:
+    """Emission scores by token, worked out once for each kept token; at most ``most`` are kept."""
+
+    def __init__(self, field: Field, most: int = 1 << 18) -> None:
         self.field, self.most = field, most
+        self.tokens, self.scores = Tokens(), np.zeros(0)
+
+    def of(self, split: list[list[str]]) -> np.ndarray:
+        """The tokens' emissions, one text after the other."""
+        if len(self.tokens) > self.most:
+            self.tokens, self.scores = Tokens(), np.zeros(0)
+        numbers = self.tokens.of(split)
+        new = self.tokens.rows[len(self.scores) :]
+        if new:
+            self.scores = np.concatenate([self.scores, self.field.emissions(np.array(new, dtype=np.int64))])
+        return self.scores[numbers]
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = e = self.field.emission(word)
-        return e
+
+def _chained(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, size: int = 64) -> np.ndarray:
+    """Log odds of the tag toxic at each token given the tokens up to it.
+
+    A step multiplies the pair (toxic, clean) by a 2 x 2 matrix. Texts are cut into runs of
+    ``size`` tokens whose products are worked out side by side; a text's runs are then chained,
+    and a second pass fills in the tokens. So a long text takes few steps, with the same result.
+    """
+    out = np.empty(len(scores))
+    e, m = np.exp(np.clip(scores, -60, 60)), np.exp(moves - moves.max())
+    runs = -(-lengths // size)
+    if not runs.sum():
+        return out
+    first = np.cumsum(runs) - runs
+    number = np.arange(runs.sum()) - np.repeat(first, runs)  # of a run in its text
+    begin = np.repeat(np.cumsum(lengths) - lengths, runs) + size * number
+    length = np.minimum(size, np.repeat(np.cumsum(lengths), runs) - begin)
+    order = np.argsort(-length, kind="stable")
+    active = np.searchsorted(-length[order], -np.arange(size), side="left")  # runs longer than t
+    head = number == 0
+
+    def step(t: int, toxic: np.ndarray, clean: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = e[begin[at] + t]
+        a, b = x * (m[0, 1] * clean + m[1, 1] * toxic), m[0, 0] * clean + m[1, 0] * toxic
+        if t == 0:
+            a, b = np.where(head[at], x, a), np.where(head[at], 1.0, b)
+        return a, b
+
+    columns = [(np.ones(len(begin)), np.zeros(len(begin))), (np.zeros(len(begin)), np.ones(len(begin)))]
+    if runs.max() > 1:
+        for t in range(int(active.astype(bool).sum())):
+            at = order[: active[t]]
+            got = [step(t, toxic[at], clean[at], at) for toxic, clean in columns]
+            scale = sum(a + b for a, b in got)
+            for (toxic, clean), (a, b) in zip(columns, got):
+                toxic[at], clean[at] = a / scale, b / scale
+    toxic, clean = np.full(len(begin), 0.5), np.full(len(begin), 0.5)  # before each run
+    texts = np.argsort(-runs, kind="stable")
+    for k in range(1, int(runs.max())):
+        at = first[texts[: np.searchsorted(-runs[texts], -k, side="left")]] + k  # texts of more than k runs
+        a = columns[0][0][at - 1] * toxic[at - 1] + columns[1][0][at - 1] * clean[at - 1]
+        b = columns[0][1][at - 1] * toxic[at - 1] + columns[1][1][at - 1] * clean[at - 1]
+        toxic[at], clean[at] = a / (a + b), b / (a + b)
+    for t in range(int(active.astype(bool).sum())):
+        at = order[: active[t]]
+        a, b = step(t, toxic[at], clean[at], at)
+        toxic[at], clean[at] = a / (a + b), b / (a + b)
+        out[begin[at] + t] = np.log(a) - np.log(b)
+    return out
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,24 +136,8 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray)
     ``scores``: the texts' emissions one after the other. Returns the forward log odds, the
     backward ones, and the marginals of the tag toxic.
     """
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
-    most = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(most), side="left")  # texts longer than t
-    m = moves
-    forward, backward = np.empty(len(scores)), np.zeros(len(scores))
-    for t in range(most):
-        at = starts[: active[t]] + t
-        if t == 0:
-            forward[at] = scores[at]
-        else:
-            r = forward[at - 1]
-            forward[at] = scores[at] + np.logaddexp(m[0, 1], r + m[1, 1]) - np.logaddexp(m[0, 0], r + m[1, 0])
-    for t in range(most - 2, -1, -1):
-        at = starts[: active[t + 1]] + t
-        r = scores[at + 1] + backward[at + 1]
-        backward[at] = np.logaddexp(m[1, 0], m[1, 1] + r) - np.logaddexp(m[0, 0], m[0, 1] + r)
+    forward = _chained(scores, lengths, moves)
+    backward = _chained(scores[::-1], lengths[::-1], moves.T)[::-1] - np.clip(scores, -60, 60)
     with np.errstate(over="ignore"):
         return forward, backward, 1.0 / (1.0 + np.exp(-(forward + backward)))
 
@@ -92,30 +153,24 @@ def summaries(marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gradient(texts: list[tuple[list[str], np.ndarray]], field: Field) -> np.ndarray:
-    """Gradient of the log-likelihood of tagged texts: weights and bias, then the four moves."""
+def _gradient(split: list[list[str]], toxic: np.ndarray, marks: np.ndarray, field: Field) -> np.ndarray:
+    """Gradient of the log-likelihood of texts: weights, none's place and bias, then the four moves.
+
+    A token's tag is toxic where its text is and ``marks`` has one of its features.
+    """
     n = len(field.weights)
     out = np.zeros(n + 4)
-    known: dict[str, list[int]] = {}
-    for words, _ in texts:
-        for w in words:
-            if w not in known:
-                known[w] = features_of(w)
-    emission = {w: float(field.weights[-1] + field.weights[f].sum()) for w, f in known.items()}
-    lengths = np.array([len(w) for w, _ in texts])
-    scores = np.array([emission[w] for words, _ in texts for w in words])
-    tags = np.concatenate([t for _, t in texts]) if texts else np.zeros(0)
+    tokens = Tokens()
+    numbers = tokens.of(split)
+    places = tokens.places()
+    lengths = np.array([len(w) for w in split], dtype=np.int64)
+    scores = field.emissions(places)[numbers]
+    tags = (marks[places].any(axis=1)[numbers] & np.repeat(toxic.astype(bool), lengths)).astype(np.float64)
     forward, backward, marginals = forward_backward(scores, lengths, field.moves)
     error = tags - marginals
-    by_word: dict[str, float] = {}
-    i = 0
-    for words, _ in texts:
-        for w in words:
-            by_word[w] = by_word.get(w, 0.0) + error[i]
-            i += 1
-    for w, e in by_word.items():
-        np.add.at(out, known[w], e)
-    out[n - 1] = error.sum()
+    by_token = np.bincount(numbers, weights=error, minlength=len(places))
+    out[:n] = np.bincount(places.reshape(-1), weights=np.repeat(by_token, 5), minlength=n)
+    out[NONE], out[n - 1] = 0.0, error.sum()
     starts = np.cumsum(lengths) - lengths
     second = np.ones(len(scores), dtype=bool)
     second[starts[lengths > 0]] = False
@@ -130,54 +185,56 @@ def _gradient(texts: list[tuple[list[str], np.ndarray]], field: Field) -> np.nda
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, most: int, rounds: int, seen: int = 4) -> Field:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, most: int, rounds: int, seen: int = 4, parts: int = 8) -> Field:
     """A field learnt from at most ``most`` toxic and twice as many clean labelled documents.
 
-    The sample is the first by a hash of the id. Token labels: a token is toxic where its
-    document is and one of its features occurs in ``seen`` or more sampled documents, all but a
-    tenth of them toxic. Each round adds up the partitions' gradients and takes an adaptive
-    step; at the end a logistic fit turns the sample's summaries into document scores.
+    The sample is the first by a hash of the id; of an id's texts the first by a hash is taken.
+    Only the sample's texts move. Token labels: a token is toxic where its document is and one
+    of its features occurs in ``seen`` or more sampled documents, all but a tenth of them toxic.
+    Each round adds up the gradients of ``parts`` parts and takes an adaptive step; at the end a
+    logistic fit turns the sample's summaries into document scores.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(doc_id).agg(F.max(toxic).alias("_toxic"))
     order = F.xxhash64(F.lit(5), F.col(doc_id).cast("string"))
-    chosen = known.where("_toxic = 1").orderBy(order, doc_id).limit(most).union(known.where("_toxic = 0").orderBy(order, doc_id).limit(2 * most))
-    sample = cut(docs.select(doc_id, text_of(text).alias("_text")).dropDuplicates([doc_id]).join(chosen, doc_id).select("_text", "_toxic").repartition(8))
+    first = lambda y, n: known.where(F.col("_toxic") == y).orderBy(order, doc_id).limit(n)
+    chosen = cut(first(1, most).union(first(0, 2 * most)))  # so few that they are broadcast
+    found = docs.select(doc_id, text_of(text).alias("_text")).join(F.broadcast(chosen), doc_id)
+    one = found.groupBy(doc_id).agg(F.min_by(F.struct("_text", "_toxic"), F.struct(F.xxhash64("_text"), "_text")).alias("_one"))
+    sample = cut(one.select("_one.*").repartition(parts))
     field = Field()
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, n, bad = Tokens(), np.zeros(NONE + 1, dtype=np.int64), np.zeros(NONE + 1, dtype=np.int64)
         for b in batches:
-            rows = [(f, y) for t, y in zip(b["_text"], b["_toxic"]) for f in {f for w in set(TOKENS.findall(t)) for f in features_of(w)}]
-            yield pd.DataFrame(rows, columns=["f", "y"], dtype="int64")
-
-    counts = sample.mapInPandas(features, "f long, y long").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    marks = frozenset(r["f"] for r in counts.where((F.col("y") >= seen) & (F.col("y") >= 0.9 * F.col("n"))).select("f").collect())  # at most 2**BITS
-
-    def tagged(b: pd.DataFrame) -> list[tuple[list[str], np.ndarray]]:
-        out = []
-        for t, y in zip(b["_text"], b["_toxic"]):
-            words = TOKENS.findall(t)
-            tags = np.array([float(bool(y) and not marks.isdisjoint(features_of(w))) for w in words])
-            if words:
-                out.append((words, tags))
-        return out
+            for t, y in zip(b["_text"], b["_toxic"]):
+                numbers = np.unique(tokens.of([t.split()]))
+                own = np.unique(np.array([tokens.rows[k] for k in numbers], dtype=np.int64))
+                n[own] += 1
+                bad[own] += y
+        at = np.flatnonzero(n[:NONE])
+        yield pd.DataFrame({"f": at, "n": n[at], "y": bad[at]})
+
+    counts = sample.mapInPandas(features, "f long, n long, y long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    marks = np.zeros(NONE + 1, dtype=bool)
+    marks[[r["f"] for r in counts.where((F.col("y") >= seen) & (F.col("y") >= 0.9 * F.col("n"))).select("f").collect()]] = True  # at most 2**BITS
 
     def step_over(now: Field):
         def gradients(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((1 << BITS) + 5)
+            total = np.zeros(len(now.weights) + 4)
             for b in batches:
-                for at in range(0, len(b), 200):
-                    total += _gradient(tagged(b.iloc[at : at + 200]), now)
+                for at in range(0, len(b), 500):
+                    total += _gradient([t.split() for t in b["_text"].iloc[at : at + 500]], b["_toxic"].to_numpy()[at : at + 500], marks, now)
             places = np.flatnonzero(total).astype(np.int32)
             yield pd.DataFrame({"places": [places.tobytes()], "values": [total[places].tobytes()]})
 
         return sample.mapInPandas(gradients, "places binary, values binary")
 
-    squares = np.full((1 << BITS) + 5, 1e-2)
+    squares = np.full(len(field.weights) + 4, 1e-2)
     for _ in range(rounds):
-        total = np.zeros((1 << BITS) + 5)
-        for r in step_over(field).collect():  # one row of bounded size for each of the 8 parts
+        total = np.zeros(len(squares))
+        for r in step_over(field).collect():  # one row of bounded size for each part
             total[np.frombuffer(r["places"], dtype=np.int32)] += np.frombuffer(r["values"])
-        total[: 1 << BITS] -= 0.05 * field.weights[:-1]
+        total[:NONE] -= 0.05 * field.weights[:NONE]
         squares += total**2
         step = 0.7 * total / np.sqrt(squares)
         field.weights += step[:-4]
@@ -186,10 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         emissions = Emissions(field)
         for b in batches:
-            split = [TOKENS.findall(t) for t in b["_text"]]
+            split = [t.split() for t in b["_text"]]
             lengths = np.array([len(w) for w in split], dtype=np.int64)
-            scores = np.array([emissions[w] for words in split for w in words])
-            x = summaries(forward_backward(scores, lengths, field.moves)[2], lengths)
+            x = summaries(forward_backward(emissions.of(split), lengths, field.moves)[2], lengths)
             yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": b["_toxic"].astype("int64").to_numpy()})
 
     fit = sample.mapInPandas(summed, "a double, b double, y long").toPandas()  # at most 3 * most rows of three numbers
@@ -229,20 +285,19 @@ def tag(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             scores_out, spans_out = [], []
             for at in range(0, len(texts), 2000):
                 part = texts.iloc[at : at + 2000]
-                split = [TOKENS.findall(t) for t in part]
+                split = [t.split() for t in part]
                 lengths = np.array([len(w) for w in split], dtype=np.int64)
-                scores = np.fromiter((emissions[w] for words in split for w in words), dtype=np.float64, count=int(lengths.sum()))
-                marginals = forward_backward(scores, lengths, field.moves)[2]
+                marginals = forward_backward(emissions.of(split), lengths, field.moves)[2]
                 z = field.scale[0] + summaries(marginals, lengths) @ field.scale[1:]
                 scores_out += [1 / (1 + math.exp(-max(-60.0, min(60.0, v)))) for v in z]
-                spans = [[] for _ in split]
+                spans = [""] * len(split)
                 hits = np.flatnonzero(marginals >= 0.5)
                 ends = np.cumsum(lengths)
                 owners = np.searchsorted(ends, hits, side="right")
                 for i in np.unique(owners):
                     wanted = set((hits[owners == i] - (ends[i] - lengths[i])).tolist())
-                    spans[i] = [f"{m.start()}:{m.end()}" for k, m in enumerate(TOKENS.finditer(part.iloc[i])) if k in wanted]
-                spans_out += [",".join(s) for s in spans]
+                    spans[i] = ",".join(f"{m.start()}:{m.end()}" for k, m in enumerate(TOKENS.finditer(part.iloc[i])) if k in wanted)
+                spans_out += spans
             yield pd.DataFrame({"score": scores_out, "spans": spans_out})
 
     names = ("held_out", "score", "predicted", "toxic_spans")

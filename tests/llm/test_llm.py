@@ -219,17 +219,40 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(got[:5], marks / total)
 
 
+def test_long_texts_are_chained_exactly():
+    rng = np.random.default_rng(4)
+    lengths = np.array([0, 1, 300, 64, 65, 0, 1000, 2])
+    scores, moves = 3 * rng.standard_normal(lengths.sum()), rng.standard_normal((2, 2))
+    forward, backward, _ = toxicity.forward_backward(scores, lengths, moves)
+    at = 0
+    for n in lengths:
+        f, b = np.zeros(n), np.zeros(n)
+        for t in range(n):
+            r = f[t - 1] if t else None
+            f[t] = scores[at + t] + (np.logaddexp(moves[0, 1], r + moves[1, 1]) - np.logaddexp(moves[0, 0], r + moves[1, 0]) if t else 0)
+        for t in range(n - 2, -1, -1):
+            r = scores[at + t + 1] + b[t + 1]
+            b[t] = np.logaddexp(moves[1, 0], moves[1, 1] + r) - np.logaddexp(moves[0, 0], moves[0, 1] + r)
+        assert np.allclose(forward[at : at + n], f) and np.allclose(backward[at : at + n], b)
+        at += n
+
+
 def test_the_gradient_is_that_of_the_likelihood():
     field = toxicity.Field()
     field.moves += [[0.2, -0.3], [0.1, 0.4]]
-    words, tags = ["aa", "bb", "aa", "cc"], np.array([0.0, 1.0, 1.0, 0.0])
+    words = ["aa", "bb", "aa", "cc"]
+    marks = np.zeros(toxicity.NONE + 1, dtype=bool)
+    marks[toxicity.features_of("bb")[0]] = True
+    tags = np.array([0.0, 1.0, 0.0, 0.0])
 
     def likelihood(f):
-        e = [f.emission(w) for w in words]
+        tokens = toxicity.Tokens()
+        numbers = tokens.of([words])
+        e = f.emissions(tokens.places()[numbers])
         path = lambda t: sum(x for x, y in zip(e, t) if y) + sum(f.moves[int(a), int(b)] for a, b in zip(t, t[1:]))
         return path(tags) - math.log(sum(math.exp(path([(k >> i) & 1 for i in range(4)])) for k in range(16)))
 
-    g = toxicity._gradient([(words, tags)], field)
+    g = toxicity._gradient([words], np.array([1]), marks, field)
     for i, at in ((len(field.weights) - 1, field.weights), (toxicity.features_of("bb")[0], field.weights)):
         before = likelihood(field)
         at[i] += 1e-5
@@ -241,6 +264,33 @@ def test_the_gradient_is_that_of_the_likelihood():
     assert abs((after - likelihood(field)) / 1e-5 - g[-1]) < 1e-3
 
 
+def test_the_score_is_the_chain_worked_out_plainly(spark):
+    """Scores of the whole query against a plain walk along each text's chain."""
+    rng, texts = base(120, 3)
+    rows = [(i, t + (" vermin wretch" if i % 4 == 0 else "")) for i, t in enumerate(texts)] + [(300, "vermin " * 500), (301, None), (301, "wretch"), (302, "")]
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)] + [(301, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows).withColumn("score", F.lit("clash")).withColumn("_TOXIC", F.lit(1))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    field = toxicity.train(docs, lab.where(~held), "doc_id", "text", "toxic", 1500, 10)
+    for r in collected(toxicity.tag(docs, lab)):
+        words = (r["text"] or "").split()
+        e = [float(field.weights[-1] + field.weights[toxicity.features_of(w)].sum()) for w in words]
+        m = np.exp(field.moves)
+        alpha, beta = [np.array([1.0, math.exp(e[0])])] if words else [], [np.ones(2)]
+        for x in e[1:]:
+            a = alpha[-1] @ m * np.array([1.0, math.exp(x)])
+            alpha.append(a / a.sum())
+        for x in e[:0:-1]:
+            b = m @ (np.array([1.0, math.exp(x)]) * beta[-1])
+            beta.append(b / b.sum())
+        marginals = [float(a[1] * b[1] / (a @ b)) for a, b in zip(alpha, beta[::-1])]
+        top, total = (max(marginals), math.log1p(sum(marginals))) if words else (0.0, 0.0)
+        want = 1 / (1 + math.exp(-(field.scale @ np.array([1.0, top, total]))))
+        assert r["score"] == pytest.approx(want, abs=1e-9), r["doc_id"]
+        assert r["_TOXIC"] == 1 and r["predicted"] == int(r["score"] >= 0.5)
+    assert toxicity.tag(docs.limit(0), lab).count() == 0
+
+
 # --- 6
 
 
