@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, lookup, matches, text_of
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("host_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("url_login", r"://[^ \t-\r/:@]+:[^ \t-\r/@]+@"),
 )
 BASE_KINDS = 3
@@ -107,13 +107,16 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def holds(query: Query, found: Column) -> Column:
-    """The query as a condition on an array of trigrams."""
-    if query is True:
-        return F.lit(True)
+def clauses(query: Query) -> list[frozenset[str]]:
+    """The query as alternatives of trigrams that must all occur (its disjunctive form)."""
     if isinstance(query, str):
-        return F.array_contains(found, query)
-    return reduce(Column.__and__ if query[0] == "and" else Column.__or__, [holds(q, found) for q in query[1]])
+        return [frozenset([query])]
+    if query[0] == "or":
+        return [c for q in query[1] for c in clauses(q)]
+    out = [frozenset()]
+    for q in query[1]:
+        out = [a | b for a in out for b in clauses(q)]
+    return out
 
 
 def _one_of(words: Sequence[str]) -> str:
@@ -129,24 +132,11 @@ def _one_of(words: Sequence[str]) -> str:
 
 
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """Spans (start, kind number, end) of a rule's matches that count, by start.
-
-    The pieces between the matches and the matches in turn give the places.
-    """
-    parts = F.arrays_zip(
-        F.slice(F.split(text, rule.pattern, -1), 1, F.greatest(F.size(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))), F.lit(0))).alias("gap"),
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("value"),
-    )
-    kind = "array<struct<start:int,kind:int,end:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    """Spans (start, kind number, end) of a rule's matches that count, by start."""
+    found = matches(text, rule.pattern, rule.group)
+    if rule.least > 1:
+        found = F.filter(found, lambda m: F.length(m["value"]) >= rule.least)
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
 
 
 def quick(rule: Rule) -> str:
@@ -162,29 +152,43 @@ def trigram_index(docs: DataFrame, key: str, text: str, wanted: set[str]) -> Dat
     return docs.select(F.explode(found).alias("trigram"), key)
 
 
+def intersect(postings: DataFrame, key: str, queries: Sequence[Query]) -> DataFrame:
+    """(key, rules): the rows that satisfy some of the queries, with these queries' numbers.
+
+    Each alternative of a query is a set of lists that are intersected by counting: the postings
+    of its trigrams are united and the rows that all of its lists hold are kept.
+    """
+    session = postings.sparkSession
+    wanted = [(t, i, n, len(c)) for i, q in enumerate(queries) if q is not True for n, c in enumerate(clauses(q)) for t in sorted(c)]
+    lists = F.broadcast(session.createDataFrame(wanted, "trigram string, rule int, clause int, size int"))  # as long as the rules
+    held = postings.join(lists, "trigram").groupBy(key, "rule", "clause").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
+    return held.groupBy(key).agg(F.collect_set("rule").alias("rules"))
+
+
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: spans (start, kind, end; code points, end exclusive) by start.
 
-    Each rule's regex gives a Boolean trigram query. The index lists the rows by mandatory
-    trigram; a row is a candidate for a rule when the intersection (or union) of the lists has
-    it, and only candidates are matched. Rules without mandatory trigrams (``hex``) scan all rows.
+    Each rule's regex gives a Boolean trigram query. The inverted index has the rows of each
+    mandatory trigram; a rule's candidates are found by intersecting and uniting its lists,
+    without the texts. They are few and join the texts by a broadcast of checked size (beyond it
+    by a shuffle); only candidates are matched. Rules without mandatory trigrams (``hex``) scan
+    all rows.
 
     Matches are leftmost and non-overlapping by rule; one whose group is too short is dropped
-    after matching. A null text is empty and has no spans. Rows stay as they are, repeated ones
-    and null ids included; a column named ``secrets`` is replaced. An empty table stays empty.
+    after matching. The header of a ``jwt`` has 1,000 characters at most. A null text is empty
+    and has no spans. Rows stay as they are, repeated ones and null ids included; a column named
+    ``secrets`` is replaced. An empty table stays empty.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     kept = [c for c in docs.columns if c.lower() != "secrets"]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), text_of(text).alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64(F.col("_row")[doc_id].cast("string"), "_text"))
     wanted = set().union(*map(trigrams, queries))
-    found = F.array()
+    found = F.array().cast("array<int>")
     if wanted:
-        lists = trigram_index(rows, "_key", "_text", wanted).groupBy("_key").agg(F.collect_set("trigram").alias("_found"))
-        for_rules = F.array_compact(F.array(*[F.when(holds(q, F.col("_found")), F.lit(i)) for i, q in enumerate(queries) if q is not True]))
-        candidates = lists.select("_key", for_rules.alias("_rules")).where(F.size("_rules") > 0)
-        rows = rows.join(candidates, "_key", "left")
-        found = F.coalesce(F.col("_rules"), F.array().cast("array<int>"))
+        postings = cut(trigram_index(rows, "_key", "_text", wanted))
+        rows = rows.join(lookup(intersect(postings, "_key", queries)), "_key", "left")
+        found = F.coalesce(F.col("rules"), found)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     spans = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
