@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -14,64 +15,128 @@ from pyspark.sql import functions as F
 from .common import cut, lookup
 from .components import connected_components, forest_edges
 
-SAMPLE = 50_000  # vectors that the trees' thresholds are fitted on
-LEAF = 1024  # vectors that a leaf, or one side of a block of a larger leaf, holds
-SPILL = 0.03  # vectors this near to a threshold go to both halves
-STUCK = 0.8  # a split whose halves both keep this share of a node is given up
+SAMPLE = 20_000  # vectors that the forest is fitted on
+LEAF = 1536  # vectors that a leaf is meant to hold
+SIDE = 4096  # vectors of one side of a block of a larger leaf
+WAYS = 32  # random directions of a split at most, each with two ends
+COPIES = 1.6  # that a split is expected to make
+SPILL = 0.35  # of the spread of a linked pair's difference: vectors this near to the border go to both parts
+STUCK = 3.0  # a split that makes this many copies is given up
+GOAL = 0.97  # share of the pairs at the least similarity that the forest should find
+MOST_TREES = 64
 
 
 @dataclass
 class Tree:
-    """Nodes in order of creation; a leaf has the direction -1."""
+    """A random-projection tree.
 
-    directions: list[np.ndarray] = field(default_factory=list)
-    nodes: list[tuple[int, float, int, int]] = field(default_factory=list)  # direction, threshold, children
-    leaves: dict[int, tuple[int, int]] = field(default_factory=dict)  # node: number in the forest, sides
+    A node at a level projects its vectors, less its centre, on the level's directions. A vector
+    goes to the end of a direction where it lies farthest, and to each other one that is less
+    than ``spill`` short of it. Nodes that the sample is too thin to know take the centre of the
+    last one that it knows, for as many more levels as their number of vectors needs.
+    """
+
+    seed: int
+    directions: list[np.ndarray]
+    spill: float
+    nodes: dict[int, tuple[np.ndarray, bool]] = field(default_factory=dict)  # centre's projections on all levels, whether it is split
+    extra: dict[int, int] = field(default_factory=dict)  # further levels below a node that isn't
+
+    def columns(self, level: int) -> slice:
+        """A level's columns among the projections on all directions."""
+        widths = [d.shape[1] for d in self.directions[: level + 1]]
+        return slice(sum(widths[:-1]), sum(widths))
+
+    def parts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, end of a direction) by projections of rows."""
+        ends = np.concatenate([at, -at], axis=1)
+        return np.nonzero(ends >= ends.max(axis=1, keepdims=True) - self.spill)
+
+    def child(self, node: int, end: int) -> int:
+        """The number of a node's child."""
+        k = (node * 0x9E3779B97F4A7C15 + (end + 1) * 0xD6E8FEB86659FD93) & ((1 << 64) - 1)
+        k = ((k ^ (k >> 31)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
+        return (k ^ (k >> 29)) & ((1 << 63) - 1)
 
     def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf's node, rows that reach it)."""
-        waiting = [(0, np.arange(len(x)))]
+        """(leaf's number, rows that reach it)."""
+        projected = x @ np.concatenate(self.directions, axis=1)
+        waiting = [(self.seed, 0, np.arange(len(x)), None, 0)]
         while waiting:
-            k, rows = waiting.pop()
-            d, threshold, low, high = self.nodes[k]
-            if d < 0:
-                yield k, rows
-            elif len(rows):
-                at = x[rows] @ self.directions[d]
-                waiting.append((low, rows[at <= threshold + SPILL]))
-                waiting.append((high, rows[at > threshold - SPILL]))
+            node, level, rows, centre, more = waiting.pop()
+            if node in self.nodes:
+                centre, split = self.nodes[node]
+                more = 0 if split else self.extra.get(node, 0)
+            else:
+                split = False
+            if not split and not more or centre is None:
+                yield node, rows
+                continue
+            at = self.columns(level)
+            row, end = self.parts(projected[rows, at] - centre[at])
+            for e in np.unique(end):
+                waiting.append((self.child(node, int(e)), level + 1, rows[row[end == e]], centre, max(0, more - 1)))
 
 
-def plant(sample: np.ndarray, total: int, trees: int, seed: int, leaf: int = LEAF) -> list[Tree]:
-    """Trees that split the sample at medians along random directions.
+def plant(sample: np.ndarray, total: int, number: int, seed: int, least: float, leaf: int = LEAF) -> Tree:
+    """A tree for ``total`` vectors that are spread like the sample.
 
-    A node is a leaf once its share of ``total`` vectors is at most ``leaf``, or where a split
-    gets nowhere because its vectors lie too close together; such a leaf has several sides.
+    A node is split while its share of ``total`` is over ``leaf``, unless the split would make
+    many copies, as its vectors lie too close together; such a leaf is compared in blocks.
     """
-    forest, numbers = [], 0
+    size = sample.shape[1]
+    rng = np.random.default_rng([seed, number])
+    ways, rest = [], total / leaf
+    while rest > 1:
+        ways.append(min(WAYS, size, math.ceil(rest * COPIES / 2)))
+        rest *= COPIES / (2 * ways[-1])
+    ways += [min(4, size)] * 2  # for vectors that lie closer together
+    directions = [np.linalg.qr(rng.standard_normal((size, k)))[0] for k in ways]
+    tree = Tree(int(rng.integers(1 << 62)), directions, SPILL * math.sqrt(2 * (1 - least) / size))
     scale = total / max(1, len(sample))
-    for t in range(trees):
-        rng, tree = np.random.default_rng([seed, t]), Tree()
-        tree.nodes.append((-1, 0.0, 0, 0))
-        waiting = [(0, np.arange(len(sample)))]
-        while waiting:
-            k, rows = waiting.pop()
-            if len(rows) * scale > leaf and len(rows) > 16:
-                d = rng.standard_normal(sample.shape[1])
-                d /= np.linalg.norm(d)
-                at = sample[rows] @ d
-                threshold = float(np.median(at))
-                low, high = rows[at <= threshold + SPILL], rows[at > threshold - SPILL]
-                if min(len(low), len(high)) < STUCK * len(rows):
-                    tree.directions.append(d)
-                    tree.nodes[k] = (len(tree.directions) - 1, threshold, len(tree.nodes), len(tree.nodes) + 1)
-                    tree.nodes += [(-1, 0.0, 0, 0)] * 2
-                    waiting += [(len(tree.nodes) - 2, low), (len(tree.nodes) - 1, high)]
-                    continue
-            tree.leaves[k] = (numbers, max(1, round(len(rows) * scale / leaf)))
-            numbers += 1
-        forest.append(tree)
-    return forest
+    every = np.concatenate(directions, axis=1)
+    projected = sample @ every
+    waiting = [(tree.seed, 0, np.arange(len(sample)))]
+    while waiting:
+        node, level, rows = waiting.pop()
+        centre = projected[rows].mean(axis=0)
+        split = False
+        if len(rows) * scale > leaf and level < len(ways):
+            at = tree.columns(level)
+            row, end = tree.parts(projected[rows, at] - centre[at])
+            if len(row) < STUCK * len(rows):
+                if len(rows) >= 4 * ways[level] or scale <= 1:
+                    split = True
+                    waiting += [(tree.child(node, int(e)), level + 1, rows[row[end == e]]) for e in np.unique(end)]
+                else:
+                    left = len(rows) * scale / leaf
+                    while left > 1 and level < len(ways):
+                        left, level = left * COPIES / (2 * ways[level]), level + 1
+                        tree.extra[node] = tree.extra.get(node, 0) + 1
+        tree.nodes[node] = (centre, split)
+    return tree
+
+
+def forest(sample: np.ndarray, total: int, seed: int, least: float, leaf: int = LEAF) -> list[Tree]:
+    """As many trees as it takes to find a share of GOAL of the pairs at the least similarity.
+
+    The first two trees are tried on the sample: each vector gets a neighbour at that similarity
+    in a random direction, and the share of these pairs that meet in a leaf gives the number.
+    """
+    trees = [plant(sample, total, i, seed, least, leaf) for i in range(2)]
+    rng = np.random.default_rng(seed)
+    x = sample[rng.permutation(len(sample))[:2000]]
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    y = least * x + math.sqrt(1 - least**2) * z / np.maximum(norm, 1e-12)
+    met = 0
+    for tree in trees:
+        of_x, of_y = ({(leaf, int(r)) for leaf, rows in tree.route(side) for r in rows} for side in (x, y))
+        met += len({r for _, r in of_x & of_y})
+    share = min(max(met / max(1, 2 * len(x)), 0.02), 0.999)
+    wanted = min(MOST_TREES, max(1, math.ceil(math.log(1 - GOAL) / math.log(1 - share))))
+    return trees[:wanted] + [plant(sample, total, i, seed, least, leaf) for i in range(2, wanted)]
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -90,14 +155,15 @@ def _compare(key, g: pd.DataFrame, least: float) -> pd.DataFrame:
     x = np.frombuffer(b"".join(g["v"])).reshape(len(g), -1)
     ids, weight, side = g["id"].to_numpy(), g["weight"].to_numpy(), g["block"].to_numpy()
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    linked = x[left] @ x[right].T >= least
+    linked = np.concatenate([x[left[k : k + 1024]] @ x[right].T >= least for k in range(0, len(left), 1024)])
     if i == j:
         np.fill_diagonal(linked, False)
+    left, right, linked = (*(side[linked.any(axis=1 - a)] for a, side in enumerate((left, right))), linked[linked.any(axis=1)][:, linked.any(axis=0)])
     if not linked.any():
         return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64), "n": np.zeros(0, dtype=np.int64)})
-    numbers = np.frombuffer(b"".join(g["leaves"]), dtype=np.int32)
-    owner = np.repeat(np.arange(len(g)), [len(m) // 4 for m in g["leaves"]])
-    earlier = numbers < leaf
+    numbers = np.frombuffer(b"".join(g["leaves"]), dtype=np.int64)
+    owner = np.repeat(np.arange(len(g)), [len(m) // 8 for m in g["leaves"]])
+    earlier = (numbers < leaf) & np.isin(owner, np.concatenate([left, right]))
     column = np.unique(numbers[earlier], return_inverse=True)[1]
     seen = np.zeros((len(g), int(column.max(initial=0)) + 1), dtype=np.float32)
     seen[owner[earlier], column] = 1
@@ -115,16 +181,17 @@ def _compare(key, g: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([ids[counted], ids[edges[:, 0]]]), "b": b, "n": np.concatenate([n[counted], np.zeros(len(edges), dtype=np.int64)])})
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, trees: int = 6, seed: int = 11, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, seed: int = 11, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of ``vectors``.
 
     Vectors link when their cosine in double precision is at least ``least``. Equal vectors are
-    collapsed to one with a weight. A forest of ``trees`` random-projection trees is fitted on a
-    sample of at most ``sample`` vectors (the first by a hash of the id); all vectors are routed
-    down every tree, to both halves where they come within SPILL of a threshold. Vectors that
-    share a leaf are compared exactly, a link being counted in the first leaf that its two
-    vectors share. A leaf that holds many vectors (close ones that no direction parts) is
-    compared in blocks of two sides, each block a task of its own; pairs never leave a task.
+    collapsed to one with a weight. A forest of random-projection trees is fitted on a sample of
+    at most ``sample`` vectors (the first by a hash of the id); all vectors are routed down every
+    tree, to each part that they lie near to. The trees are as deep as the number of vectors
+    asks, and as many as ``forest`` finds to be needed. Vectors that share a leaf are compared
+    exactly, a link being counted in the first leaf that its two vectors share. Leaves are
+    counted over all vectors; a large one (close vectors that no direction parts) is compared in
+    blocks of two sides, each block a task of its own; pairs never leave a task.
 
     The forest finds nearly all links, not surely all; tests measure recall against brute force.
     Null, zero and non-finite vectors, vectors of another length than most, and rows with a null
@@ -145,18 +212,22 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     total = reps.count()
     hashed = reps.withColumn("h", F.xxhash64(F.lit(13), "id"))
     chosen = hashed.join(lookup(hashed.select("h").orderBy("h").limit(sample)), "h", "left_semi").select("v").toPandas()["v"]
-    forest = reps.sparkSession.sparkContext.broadcast(plant(unit(chosen), total, trees, seed, leaf))
+    trees = reps.sparkSession.sparkContext.broadcast(forest(unit(chosen), total, seed, least, leaf))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                found = [(k, len(r)) for tree in trees.value for k, r in tree.route(unit(b["v"]))]
+                yield pd.DataFrame(found, columns=["leaf", "n"])
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = unit(b["v"])
-            where = [(*tree.leaves[k], r) for tree in forest.value for k, r in tree.route(x) if len(r)]
-            size = [len(r) for _, _, r in where]
-            row = np.concatenate([r for _, _, r in where])
-            number = np.repeat(np.array([k for k, _, _ in where], dtype=np.int32), size)
-            sides = np.repeat(np.array([k for _, k, _ in where], dtype=np.int32), size)
+            where = [(k, r) for tree in trees.value for k, r in tree.route(x)]
+            row = np.concatenate([r for _, r in where])
+            number = np.repeat(np.array([k for k, _ in where], dtype=np.int64), [len(r) for _, r in where])
             by_row = np.argsort(row, kind="stable")
             ends = np.cumsum(np.bincount(row, minlength=len(b)))
             sorted_numbers = number[by_row]
@@ -166,9 +237,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
             ids, weights = b["id"].to_numpy(), b["weight"].to_numpy()
             for at in range(0, len(row), 20_000):
                 r = row[at : at + 20_000]
-                yield pd.DataFrame({"leaf": number[at : at + 20_000], "sides": sides[at : at + 20_000], "id": ids[r], "v": vectors[r], "weight": weights[r], "leaves": members[r]})
+                yield pd.DataFrame({"leaf": number[at : at + 20_000], "id": ids[r], "v": vectors[r], "weight": weights[r], "leaves": members[r]})
 
-    placed = reps.mapInPandas(routed, "leaf int, sides int, id long, v binary, weight long, leaves binary")
+    sizes = reps.select("v").mapInPandas(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    large = lookup(sizes.where(F.col("n") > SIDE).select("leaf", F.ceil(F.col("n") / SIDE).cast("int").alias("sides")))
+    placed = reps.mapInPandas(routed, "leaf long, id long, v binary, weight long, leaves binary").join(large, "leaf", "left").withColumn("sides", F.coalesce("sides", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("sides")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     blocks = placed.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v", "weight", "leaves")

@@ -57,6 +57,40 @@ def test_embeddings_find_the_links_of_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, leaf", [(64, 64), (24, 32)])
+def test_the_forest_finds_pairs_at_the_least_similarity(spark, size, leaf):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((1000, size))
+    z -= (z * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    cosine = rng.uniform(0.9, 0.92, (1000, 1))
+    y = cosine * x[:1000] + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    every = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(every)], "vec_id long, embedding array<double>")
+    links = (every @ every.T >= 0.9) & ~np.eye(len(every), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in collected(embeddings.near_duplicates(df, leaf=leaf, sample=800))}
+    n = np.array([got[i] for i in range(len(every))])
+    assert (n <= links.sum(1)).all() and n.sum() >= 0.95 * links.sum()
+
+
+def test_depth_follows_the_number_of_vectors():
+    """Copies and comparisons of a vector grow slowly from a million to a thousand million vectors."""
+    rng = np.random.default_rng(5)
+    sample = rng.standard_normal((20_000, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    new = rng.standard_normal((1500, 64))
+    new /= np.linalg.norm(new, axis=1, keepdims=True)
+    for total, most in ((10**6, 14), (10**9, 70)):
+        trees = embeddings.forest(sample, total, 11, 0.9)
+        copies = sum(len(r) for tree in trees for _, r in tree.route(new)) / len(new)
+        assert copies <= most, (total, copies)
+        tree, home = trees[0], {}
+        for k, rows in tree.route(new):
+            home.setdefault(k, set()).update(rows.tolist())
+        assert max(map(len, home.values())) * total / len(new) <= max(2 * total / len(new), 32 * embeddings.LEAF)
+
+
 # --- 2
 
 
