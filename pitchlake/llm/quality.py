@@ -6,14 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, text_of
+from .common import cut, lookup, shard_count, text_of
 
 ORDER = 4  # characters of the longest n-grams
-BITS = 20  # a model table has 2**BITS places for each order, however large the corpus
+MOST_BROADCAST = 2_000_000  # n-grams of a model that goes to all tasks; a larger one is joined in shards
 MOST_GRAMS = 1 << 20  # different n-grams that a task counts before it passes them on
 BLOCK = 1 << 19  # characters that a task works on at a time
 PAD = "\x02"  # stands before each text
@@ -33,19 +32,20 @@ def _sums(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _place(sums: np.ndarray, bits: int) -> np.ndarray:
-    mixed = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+def _keys(sums: np.ndarray) -> np.ndarray:
+    """The hashes spread over all 64 bits; 0 is no key."""
+    h = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.where(h == 0, np.uint64(1), h)
 
 
-def gram_places(grams: pd.Series, bits: int) -> np.ndarray:
-    """Place of each n-gram (strings of one length) in a model table."""
+def gram_keys(grams: pd.Series) -> np.ndarray:
+    """The key of each n-gram (strings of one length)."""
     n = len(grams.iloc[0])
     if n == 0:
-        return np.zeros(len(grams), dtype=np.int64)
+        return _keys(np.zeros(len(grams), dtype=np.uint64))
     codes = _codes("".join(grams)).reshape(len(grams), n)
-    total = sum((codes[:, n - 1 - j] + np.uint64(1)) * _FACTORS[j] for j in range(n))
-    return _place(np.broadcast_to(total, (len(grams),)), bits)
+    return _keys(sum((codes[:, n - 1 - j] + np.uint64(1)) * _FACTORS[j] for j in range(n)))
 
 
 def _blocks(texts: Iterator[str], pad: int) -> Iterator[list[str]]:
@@ -121,132 +121,216 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
+def by_key(parts: DataFrame) -> DataFrame:
+    """(length, key, own, rest) of ``kneser_ney``'s parts: an n-gram's own share, and what it
+    leaves as a context to the next shorter one."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for (kind, n), g in b.groupby(["kind", b["gram"].str.len()]):
+                value, none = g["value"], pd.Series(np.nan, index=g.index)
+                yield pd.DataFrame({"length": np.full(len(g), n, dtype=np.int32), "key": gram_keys(g["gram"]).view(np.int64), "own": value if kind == "a" else none, "rest": value if kind == "g" else none})
+
+    table = parts.mapInPandas(keyed, "length int, key long, own double, rest double")
+    value = lambda c, empty: F.coalesce(F.max(F.when(~F.isnan(c), F.col(c))), F.lit(empty)).alias(c)
+    return table.groupBy("length", "key").agg(value("own", 0.0), value("rest", 1.0))
+
+
+class Slots:
+    """A hash table of n-grams' two values: open addressing, the key itself kept in each slot."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros((1 << bits, 2), dtype=np.float32)
+        self.values[:, 1] = 1.0
+        waiting, at = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(waiting):
+            free = np.flatnonzero(self.keys[at[waiting]] == 0)
+            slots, first = np.unique(at[waiting[free]], return_index=True)
+            placed = waiting[free[first]]
+            self.keys[slots], self.values[slots] = keys[placed], values[placed]
+            waiting = np.setdiff1d(waiting, placed, assume_unique=True)
+            at[waiting] = (at[waiting] + 1) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """(own, rest) of each key; (0, 1) for an unknown one."""
+        at = (keys >> self.shift).astype(np.int64)
+        found = self.keys[at]
+        waiting = np.flatnonzero((found != keys) & (found != 0))
+        while len(waiting):
+            at[waiting] = (at[waiting] + 1) & self.mask
+            found = self.keys[at[waiting]]
+            waiting = waiting[(found != keys[waiting]) & (found != 0)]
+        known = self.keys[at] == keys
+        out = self.values[at]
+        out[~known] = (0.0, 1.0)
+        return out
+
+
 class Model:
-    """The tables of a trained model: two for each order, of 2**bits places."""
-
-    def __init__(self, rows: DataFrame, order: int = ORDER, bits: int = BITS):
-        """Gather ``kneser_ney`` rows; n-grams that share a place share the larger value."""
-        self.order, self.bits = order, bits
-        self.own = np.zeros((order + 1, 1 << bits), dtype=np.float32)
-        self.rest = np.ones((order + 1, 1 << bits), dtype=np.float32)
-        slice_bits = min(12, bits)
-
-        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for _, g in b.groupby(["n", "kind", b["gram"].str.len()]):
-                    yield pd.DataFrame({"n": g["n"], "kind": g["kind"], "place": gram_places(g["gram"], bits), "value": g["value"]})
-
-        def packed(g: pd.DataFrame) -> pd.DataFrame:
-            places, values = (g["place"].to_numpy() & ((1 << slice_bits) - 1)).astype(np.int32), g["value"].to_numpy().astype(np.float32)
-            return pd.DataFrame({"n": [g["n"].iloc[0]], "kind": [g["kind"].iloc[0]], "part": [g["place"].iloc[0] >> slice_bits], "places": [places.tobytes()], "values": [values.tobytes()]})
-
-        table = rows.mapInPandas(placed, "n int, kind string, place long, value double").groupBy("n", "kind", "place").agg(F.max("value").alias("value"))
-        slices = table.groupBy("n", "kind", F.shiftright("place", slice_bits)).applyInPandas(packed, "n int, kind string, part long, places binary, values binary")
-        for r in slices.toLocalIterator():  # at most 2 * order * 2**(bits - 12) slices of fixed size
-            at = (r["part"] << slice_bits) + np.frombuffer(r["places"], dtype=np.int32).astype(np.int64)
-            (self.own if r["kind"] == "a" else self.rest)[r["n"]][at] = np.frombuffer(r["values"], dtype=np.float32)
+    """The values of all n-grams of a trained model, or of those that some texts need."""
+
+    def __init__(self, order: int, length: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        self.order, self.rows = order, (length, keys, values)
+        self.fill()
+
+    def fill(self) -> None:
+        length, keys, values = self.rows
+        self.slots = [Slots(keys[length == n], values[length == n]) for n in range(self.order + 1)]
 
     def __getstate__(self) -> dict:
-        """Only the places in use, as most of a table is empty."""
-        used = [(a, np.flatnonzero(t != e).astype(np.int32), e) for a, t, e in [("own", self.own.reshape(-1), 0), ("rest", self.rest.reshape(-1), 1)]]
-        return {"order": self.order, "bits": self.bits, "used": [(a, at, getattr(self, a).reshape(-1)[at], e) for a, at, e in used]}
+        return {"order": self.order, "rows": self.rows}
 
     def __setstate__(self, state: dict) -> None:
-        self.order, self.bits = state["order"], state["bits"]
-        for a, at, values, empty in state["used"]:
-            t = np.full((self.order + 1) << self.bits, empty, dtype=np.float32)
-            t[at] = values
-            setattr(self, a, t.reshape(self.order + 1, -1))
+        self.order, self.rows = state["order"], state["rows"]
+        self.fill()
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of each character's probability after those before it."""
-        sums = _sums(codes, self.order)
-        places = [np.zeros(len(codes), dtype=np.int64)] + [_place(s, self.bits) for s in sums[1:]]
         p = np.full(len(codes), 1e-5, dtype=np.float32)
-        for n in range(1, self.order + 1):
-            before = np.roll(places[n - 1], 1)
-            p = self.own[n][places[n]] + self.rest[n][before] * p
+        rest = self.slots[0].get(_keys(np.zeros(1, dtype=np.uint64)))[0, 1]
+        for n, sums in enumerate(_sums(codes, self.order)[1:], 1):
+            values = self.slots[n].get(_keys(sums))
+            p = values[:, 0] + rest * p
+            rest = np.roll(values[:, 1], 1)
         return np.log(np.minimum(p, 1.0))
 
-
-def perplexities(shared: Broadcast, text: str = "text") -> Column:
-    """Perplexity per character of each whole text by a broadcast model; null for an empty one."""
-
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        pad = m.order - 1
-        for texts in batches:
-            total, length = np.zeros(len(texts)), texts.str.len().to_numpy()
-            pieces, owner, size = [], [], 0
-
-            def flush() -> None:
-                logs = m.log_probabilities(_codes("".join(pieces)))
-                ends = np.cumsum([len(p) for p in pieces])
-                sums = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
-                starts = np.concatenate([[0], ends[:-1]]) + pad
-                np.add.at(total, owner, sums[ends] - sums[starts])
-
-            for i, t in enumerate(texts):
-                padded = PAD * pad + t
-                for at in range(0, len(t), BLOCK):
-                    pieces.append(padded[at : at + BLOCK + pad])
-                    owner.append(i)
-                    size += len(pieces[-1])
-                    if size > BLOCK:
-                        flush()
-                        pieces, owner, size = [], [], 0
-            if pieces:
-                flush()
-            with np.errstate(invalid="ignore", divide="ignore"):
-                yield pd.Series(np.where(length > 0, np.exp(-total / np.maximum(length, 1)), np.nan)).where(length > 0)
-
-    return scored(text_of(text))
-
-
-def train(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, bits: int = BITS) -> Model:
-    """The model of the texts of ``docs`` whose id is in ``trusted``: all of them, no sample."""
+    def perplexities(self, texts: pd.Series) -> np.ndarray:
+        """Perplexity per character of each whole text; not a number for an empty one."""
+        pad = self.order - 1
+        total, length = np.zeros(len(texts)), texts.str.len().to_numpy()
+        pieces, owner, size = [], [], 0
+
+        def flush() -> None:
+            logs = self.log_probabilities(_codes("".join(pieces)))
+            ends = np.cumsum([len(p) for p in pieces])
+            sums = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+            starts = np.concatenate([[0], ends[:-1]]) + pad
+            np.add.at(total, owner, sums[ends] - sums[starts])
+
+        for i, t in enumerate(texts):
+            padded = PAD * pad + t
+            for at in range(0, len(t), BLOCK):
+                pieces.append(padded[at : at + BLOCK + pad])
+                owner.append(i)
+                size += len(pieces[-1])
+                if size > BLOCK:
+                    flush()
+                    pieces, owner, size = [], [], 0
+        if pieces:
+            flush()
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(length > 0, np.exp(-total / np.maximum(length, 1)), np.nan)
+
+
+def gathered(table: DataFrame, order: int) -> Model:
+    """The whole model of ``by_key`` rows (of a checked number)."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({c: [b[c].to_numpy().astype(t).tobytes()] for c, t in (("length", np.int32), ("key", np.int64), ("own", np.float32), ("rest", np.float32))})
+
+    columns: dict[str, list[np.ndarray]] = {"length": [], "key": [], "own": [], "rest": []}
+    for r in table.mapInPandas(packed, "length binary, key binary, own binary, rest binary").toLocalIterator():
+        for c, t in (("length", np.int32), ("key", np.uint64), ("own", np.float32), ("rest", np.float32)):
+            columns[c].append(np.frombuffer(r[c], dtype=t))
+    length, key, own, rest = (np.concatenate([np.zeros(0, dtype=t), *columns[c]]) for c, t in (("length", np.int32), ("key", np.uint64), ("own", np.float32), ("rest", np.float32)))
+    return Model(order, length, key, np.stack([own, rest], axis=1))
+
+
+def with_perplexity(docs: DataFrame, table: DataFrame, text: str, order: int = ORDER, most: int = MOST_BROADCAST) -> DataFrame:
+    """``docs`` with ``_p``: perplexity per character of each whole text, null for an empty one.
+
+    A model of at most ``most`` n-grams goes to all tasks. A larger one stays in shards: texts
+    are dealt to shards too, the n-grams that a shard of texts holds are joined to the model by
+    key, and each shard of texts is scored with its own part. Both give the same numbers.
+    """
+    if table.count() <= most:
+        shared = docs.sparkSession.sparkContext.broadcast(gathered(table, order))
+
+        @F.pandas_udf("double")
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                p = pd.Series(shared.value.perplexities(texts))
+                yield p.where(p.notna(), None)
+
+        return docs.withColumn("_p", F.when(F.length(text_of(text)) > 0, scored(text_of(text))))
+
+    def needed(key, g: pd.DataFrame) -> pd.DataFrame:
+        out = [(0, _keys(np.zeros(1, dtype=np.uint64)))]
+        for pieces in _blocks(iter(g["t"]), order - 1):
+            out += [(n, np.unique(_keys(s))) for n, s in enumerate(_sums(_codes("".join(pieces)), order)[1:], 1)]
+        return pd.DataFrame({"length": np.repeat([n for n, _ in out], [len(k) for _, k in out]).astype(np.int32), "key": np.concatenate([k for _, k in out]).view(np.int64), "shard": np.int32(key[0])}).drop_duplicates()
+
+    def scored_shard(key, g: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        m = Model(order, part["length"].to_numpy(), part["key"].to_numpy().view(np.uint64), part[["own", "rest"]].to_numpy().astype(np.float32))
+        return pd.DataFrame({"h1": g["h1"], "h2": g["h2"], "_p": m.perplexities(g["t"])})
+
+    hashes = [F.xxhash64(text_of(text)).alias("h1"), F.xxhash64(F.lit(2), text_of(text)).alias("h2")]
+    texts = docs.select(*hashes, text_of(text).alias("t")).where(F.length("t") > 0).dropDuplicates(["h1", "h2"])
+    texts = texts.withColumn("shard", F.pmod("h1", F.lit(shard_count(docs, text))).cast("int"))
+    grams = texts.groupBy("shard").applyInPandas(needed, "length int, key long, shard int")
+    parts = grams.join(table, ["length", "key"])
+    found = texts.groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(scored_shard, "h1 long, h2 long, _p double")
+    names = docs.columns
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), *hashes)
+    return keyed.join(found, ["h1", "h2"], "left").select(*[F.col("_row")[c].alias(c) for c in names], "_p")
+
+
+def train(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """The model (``by_key``) of the texts of ``docs`` whose id is in ``trusted``: all, no sample."""
     texts = docs.join(lookup(trusted.select(doc_id).distinct()), doc_id, "left_semi")
-    return Model(kneser_ney(count_grams(texts, text, order), order), order, bits)
+    return cut(by_key(kneser_ney(count_grams(texts, text, order), order)))
 
 
 def classify(
     docs: DataFrame,
     labels: DataFrame,
     quantile: float = 0.995,
-    slack: float = 1.15,
+    slack: float = 1.02,
+    prior: int = 80,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
     quality: str = "quality",
-    short: int = 40,
+    most: int = MOST_BROADCAST,
 ) -> DataFrame:
     """``docs`` with ``perplexity``, ``limit`` and ``accepted``.
 
     Trusted text is all of ``docs`` labelled 1. Four fifths of it (by crc32 of the id) train the
-    model; on the rest each language's limit is its ``quantile`` of perplexity times ``slack``.
-    A document is accepted when its perplexity is at most its language's limit. Languages
-    without trusted text, and null ones, get the limit over all of it; without any trusted text
-    everything is accepted. Texts under ``short`` characters say little and are judged as if
-    filled up to that length with text of the median log loss of the held-out trusted text of
-    their language; ``perplexity`` is theirs as it is. Empty and null texts have no perplexity
-    and are rejected. Null ids are never trusted. Repeated rows are scored alike; an empty table
-    stays empty. Columns of the three names are replaced.
+    model; the rest is held out. As a short text's perplexity varies widely, verdicts are by a
+    shrunk one: the mean loss of the text's characters and of ``prior`` more that have the median
+    loss of the held-out trusted texts of the language. A language's limit is the ``quantile`` of
+    the shrunk perplexities of its held-out trusted texts, times ``slack``. A document is
+    accepted when its own is at most the limit (ties are accepted). Languages without held-out
+    trusted text, and null ones, get median and limit over all of it; without any, everything
+    with a text is accepted. Empty and null texts have no perplexity and are rejected;
+    ``perplexity`` is the text's as it is. Null ids are never trusted. Repeated rows are scored
+    alike; an empty table stays empty. Columns of the three names are replaced.
     """
     good = labels.where(F.col(quality) == 1).select(F.col(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
     held = F.crc32(F.col(doc_id).cast("string")) % 5 == 4
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, good.where(~held), doc_id, text))
+    model = train(docs, good.where(~held), doc_id, text)
     kept = [c for c in docs.columns if c.lower() not in ("perplexity", "limit", "accepted")]
-    check = docs.select(doc_id, lang, text).join(lookup(good.where(held)), doc_id, "left_semi")
-    check = cut(check.where(F.length(text) >= short).select(lang, perplexities(model, text).alias("perplexity")))
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * slack
-    middle = F.percentile_approx(F.log("perplexity"), F.lit(0.5), F.lit(10000))
-    limits = check.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(at.alias("_limit"), middle.alias("_middle"))
-    overall = check.agg(at.alias("m"), middle.alias("middle")).first()
-    scored = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), F.col(lang).alias("_of"), F.length(text_of(text)).alias("_size"), perplexities(model, text).alias("_p"))
-    joined = scored.join(lookup(limits, 10_000), F.col("_of") == F.col("_lang"), "left")
-    limit = F.coalesce(F.col("_limit"), F.lit(overall["m"]).cast("double"), F.lit(float("inf")))
-    rest = F.greatest(short - F.col("_size"), F.lit(0))
-    filled = F.exp((F.log("_p") * F.col("_size") + F.coalesce(F.col("_middle"), F.lit(overall["middle"]).cast("double"), F.log("_p")) * rest) / (F.col("_size") + rest))
-    accepted = (F.col("_size") > 0) & F.when(rest > 0, filled <= limit).otherwise(F.col("_p") <= limit)
-    return joined.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_p").alias("perplexity"), limit.alias("limit"), accepted.alias("accepted"))
+    check = docs.select(doc_id, F.col(lang).alias("_of"), text).join(lookup(good.where(held)), doc_id, "left_semi").where(F.length(text) > 0)
+    check = cut(with_perplexity(check, model, text, most=most).select("_of", F.length(text).alias("_size"), "_p"))
+    middle = F.percentile_approx(F.log("_p"), F.lit(0.5), F.lit(10000)).alias("_middle")
+    all_middle = check.agg(middle).first()[0]
+    middles = lookup(check.where("_of is not null").groupBy(F.col("_of").alias("_lang")).agg(middle), 10_000)
+
+    def shrunk(rows: DataFrame, table: DataFrame) -> DataFrame:
+        """``rows`` with the columns of their language and ``_j``, the shrunk perplexity."""
+        loss = F.coalesce("_middle", F.lit(all_middle).cast("double"), F.log("_p"))
+        joined = rows.join(table, F.col("_of") == F.col("_lang"), "left")
+        return joined.withColumn("_j", F.exp((F.log("_p") * F.col("_size") + loss * prior) / (F.col("_size") + prior)))
+
+    at = (F.percentile_approx("_j", F.lit(quantile), F.lit(10000)) * slack).alias("_limit")
+    judged = cut(shrunk(check, middles))
+    all_limit = judged.agg(at).first()[0]
+    limits = lookup(judged.where("_lang is not null").groupBy("_lang", "_middle").agg(at), 10_000)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), F.col(lang).alias("_of"), F.length(text_of(text)).alias("_size"), text_of(text).alias("_text"))
+    rows = shrunk(with_perplexity(rows, model, "_text", most=most), limits)
+    limit = F.coalesce("_limit", F.lit(all_limit).cast("double"), F.lit(float("inf")))
+    accepted = (F.col("_size") > 0) & (F.col("_j") <= limit)
+    return rows.select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_p").alias("perplexity"), limit.alias("limit"), accepted.alias("accepted"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -352,12 +353,81 @@ def test_quality_rejects_short_junk_and_keeps_short_text(spark):
     assert sum(got[2000 + i] for i in range(40)) >= 38
 
 
+def plain_kneser_ney(texts, order):
+    """The probability of a character after others by the plain formulas, as a function of the n-gram."""
+    counts = defaultdict(int)
+    for t in texts:
+        padded = quality.PAD * (order - 1) + t
+        for i in range(len(t)):
+            counts[padded[i : i + order]] += 1
+    tables = {order: dict(counts)}
+    for n in range(order - 1, 0, -1):
+        tables[n] = defaultdict(int)
+        for g in tables[n + 1]:
+            tables[n][g[1:]] += 1
+    off, after = {}, {}
+    for n, table in tables.items():
+        n1, n2, n3, n4 = (sum(c == k for c in table.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        off[n] = [0.5, 0.75, 0.9] if min(n1, n2, n3) == 0 else [min(max(x, 0.05), k) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        after[n] = defaultdict(list)
+        for g, c in table.items():
+            after[n][g[:-1]].append(c)
+
+    def plain(gram):
+        n = len(gram)
+        if not n:
+            return 1e-5
+        same, lower, own = after[n].get(gram[:-1]), plain(gram[1:]), tables[n].get(gram, 0)
+        if not same:
+            return lower
+        less = lambda c: off[n][min(c, 3) - 1]
+        return ((own - less(own)) if own else 0) / sum(same) + sum(map(less, same)) / sum(same) * lower
+
+    return plain
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_quality_is_that_of_brute_force(spark, most):
+    """Perplexities, limits by language and verdicts of the whole query, with the model whole and in shards."""
+    rng, texts = base(150, 21)
+    rows = [(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(texts)]
+    rows += [(500 + i, "".join(chr(33 + (i * 7 + j * j) % 90) for j in range(5 * i + 1)), "en") for i in range(12)]
+    rows += [(600, None, "en"), (601, "", "de"), (602, "ab", "xx"), (602, "abc abd", "xx"), (None, texts[0], "en"), (603, texts[3], "en")]
+    docs = spark.createDataFrame([(i, t, g, 1, 2) for i, t, g in rows], "doc_id long, text string, lang string, limit int, _P int")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)] + [(None, 1), (500, 0)], "doc_id long, quality int")
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    plain = plain_kneser_ney([texts[i] for i in range(120) if crc(i) != 4], 4)
+
+    def loss(t):
+        padded = "\x02" * 3 + t
+        return -sum(math.log(min(1.0, plain(padded[k : k + 4]))) for k in range(len(t))) / len(t)
+
+    held = [(rows[i][2], len(texts[i]), loss(texts[i])) for i in range(120) if crc(i) == 4]
+    low = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    middle = {g: low([x for k, _, x in held if k == g or g == "all"], 0.5) for g in ("en", "de", "all")}
+    judged = lambda g, n, x: math.exp((x * n + middle.get(g, middle["all"]) * 80) / (n + 80))
+    limit = {g: 1.02 * low([judged(*h) for h in held if h[0] == g or g == "all"], 0.995) for g in ("en", "de", "all")}
+    got = collected(quality.classify(docs, labels, most=most))
+    assert len(got) == len(rows) and all(r["_P"] == 2 for r in got)
+    for r in got:
+        t, want = r["text"] or "", limit.get(r["lang"], limit["all"])
+        assert r["limit"] == pytest.approx(want, rel=1e-3)
+        if not t:
+            assert r["perplexity"] is None and r["accepted"] is False
+            continue
+        assert r["perplexity"] == pytest.approx(math.exp(loss(t)), rel=1e-3)
+        own = judged(r["lang"], len(t), loss(t))
+        assert r["accepted"] == (own <= want) or abs(own / want - 1) < 1e-3, r
+    assert quality.classify(docs.limit(0), labels, most=most).count() == 0
+
+
 def test_kneser_ney_probabilities_are_those_of_the_formulas(spark):
     """Interpolated probabilities equal those of the plain formulas."""
     texts = ["abracadabra", "abba cadaver", "banana band", "a cab and a bad cad"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     order = 3
-    model = quality.Model(quality.kneser_ney(quality.count_grams(df, order=order), order), order, 18)
+    model = quality.gathered(quality.by_key(quality.kneser_ney(quality.count_grams(df, order=order), order)), order)
     counts = defaultdict(int)
     for t in texts:
         padded = quality.PAD * (order - 1) + t
