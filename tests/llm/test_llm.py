@@ -605,20 +605,61 @@ def test_benchmark_passages_are_found_and_clean_texts_left(spark):
     assert all(r["leaks"] == [] for r in collected(decontaminate.mark(frame(spark, rows[:3]), bench.limit(0))))
 
 
+def least_edits(p, r):
+    row = [0] * (len(r) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, x in enumerate(r, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != c)))
+        row = new
+    return min(row)
+
+
 def test_alignment_is_the_least_edit_distance():
     rng = random.Random(2)
-    for _ in range(200):
-        p = np.array([rng.randint(0, 2) for _ in range(rng.randint(1, 12))])
-        r = np.array([rng.randint(0, 2) for _ in range(rng.randint(0, 16))])
-        row = [0] * (len(r) + 1)
-        for i, c in enumerate(p, 1):
-            new = [i]
-            for j, x in enumerate(r, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != c)))
-            row = new
-        for most in (0, 1, 3):
-            got = decontaminate.align(p, r, most)
-            assert (got[0] if got else None) == (min(row) if min(row) <= most else None)
+    draw = lambda n: np.array([rng.randint(0, 2) for _ in range(n)], dtype=np.uint32)
+    pairs = [(draw(rng.randint(1, 12)), draw(rng.randint(0, 16))) for _ in range(200)]
+    for (p, r), (edits, start, end) in zip(pairs, decontaminate.align(*map(list, zip(*pairs)))):
+        assert edits == least_edits(p, r)
+        assert edits == len(p) or end - start >= len(p) - edits
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    """Every piece of an item that a text holds within its edits is found, whatever the white space."""
+    rng, texts = base(60, 31)
+    items = [" ".join(texts[i].split()[:n]) for i, n in ((0, 60), (1, 18), (2, 12), (3, 4), (4, 3))] + ["short one"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string")
+    norm = lambda t: re.sub(r"[ \t-\r]+", " ", t.lower())
+    pieces = []
+    for i, t in enumerate(items):
+        t = norm(t)
+        starts = {0, *(min(e, len(t)) - 64 for e in range(80, len(t) + 16, 16))} if len(t) > 64 else {0}
+        pieces += [(i, t[s : s + 64]) for s in starts if len(t) >= 12]
+
+    def edited(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], ["q"], [t[k], "q"]])
+        return "".join(t)
+
+    rows = []
+    for k in range(90):
+        item = items[k % 5]
+        s = rng.randint(0, max(0, len(item) - 100))
+        cut_out = item[s : s + rng.randint(20, 220)]
+        rows.append((k, texts[20 + k % 30][: rng.randint(0, 300)] + " " + edited(cut_out, rng.randint(0, 5)).replace(" ", rng.choice([" ", "\n\n", "  \t"])) + " " + texts[55][: rng.randint(0, 200)]))
+    rows += [(200, "x y " * 10 + items[0][:80].replace(" ", " " * 900, 2) + " z" * 300000), (201, "a" * 530000 + " " + items[1].upper()), (202, items[2]), (202, items[2])]
+    got = collected(decontaminate.mark(frame(spark, rows), bench))
+    assert len(got) == len(rows)
+    for r in got:
+        t, found = norm(r["text"]), {int(m["item"]) for m in r["leaks"]}
+        if len(t) > 5000:
+            assert found == {0 if r["doc_id"] == 200 else 1}
+            continue
+        want = {i for i, p in pieces if p in t or least_edits(p, t) <= decontaminate.budget(len(p))}
+        assert found == want, (r["doc_id"], found, want)
+    assert decontaminate.mark(frame(spark, rows).limit(0), bench).count() == 0
 
 
 # --- 10
