@@ -27,10 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there.
+
+    ``rows``: at most so many narrow ones; they go to as few files as they need.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // 100_000)).checkpoint(eager=True)
 
 
 def lookup(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -47,10 +48,10 @@ def class_counts(docs: DataFrame, text: str, size: int, bits: int) -> np.ndarray
                 s = shingles(t, known, size)
                 np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         parts = total.reshape(-1, 1 << part_bits)
-        yield pd.DataFrame({"part": np.arange(len(parts)), "counts": [p.tobytes() for p in parts]})
+        yield pd.DataFrame({"part": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
     def added(g: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in g["counts"])
+        total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in g["counts"])
         return pd.DataFrame({"part": g["part"].iloc[:1], "counts": [total.tobytes()]})
 
     schema = "part long, counts binary"
@@ -215,7 +216,7 @@ def hot_groups(sets: DataFrame, hot: DataFrame, rounds: int = 3) -> DataFrame:
     n = rows.count()
     for i in range(1, rounds):
         marks = rows.groupBy("key").agg(F.min(F.xxhash64(F.lit(i), "id")).alias("mark"))
-        rows, before = cut(rows.join(marks, "key").select(F.col("mark").alias("key"), "id").distinct()), n
+        rows, before = cut(rows.join(marks, "key").select(F.col("mark").alias("key"), "id").distinct(), n), n
         n = rows.count()
         if 10 * n > 9 * before:
             break
@@ -292,11 +293,11 @@ def links(docs: DataFrame, pairs: DataFrame, rows: DataFrame, doc_id: str, text:
     kind = dict(docs.dtypes)[doc_id]
     clusters = cut(connected_components(pairs))
     weights = rows.groupBy("id").agg(F.max("n").alias("n"))
-    clusters = cut(clusters.join(weights, F.col("node") == F.col("id")).select("id", F.col("component").alias("cluster"), "n"))
+    clusters = cut(clusters.join(weights, F.col("node") == F.col("id")).select("id", F.col("component").alias("cluster"), "n"), clusters.count())
     count, tokens = clusters.select(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = max(1, count // (SIDE // 4), tokens // (SIDE_TOKENS // 4))
     sides = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("n") / SIDE_TOKENS)).cast("int").alias("sides")
-    large = cut(clusters.groupBy("cluster").agg(sides).where("sides > 1"))
+    large = cut(clusters.groupBy("cluster").agg(sides).where("sides > 1"), count)
     texts = lambda members: docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).join(F.broadcast(members) if count <= BROADCAST_ROWS else members, "id")
     compare = lambda placed: placed.groupBy("g").applyInPandas(partial(_linked, size=size, percent=percent), f"a {kind}, b {kind}")
 
@@ -304,7 +305,7 @@ def links(docs: DataFrame, pairs: DataFrame, rows: DataFrame, doc_id: str, text:
     small = clusters.join(large, "cluster", "left_anti").select("id", "cluster", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
     if not large.count():
         return compare(texts(small.select("*", part)))
-    members = cut(clusters.join(large, "cluster"))
+    members = cut(clusters.join(large, "cluster"), count)
     chunk = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("sides")).cast("int")
     chunks = members.select("id", "cluster", chunk.alias("block"), F.lit(-1).alias("i"), chunk.alias("j"))
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
@@ -315,16 +316,16 @@ def links(docs: DataFrame, pairs: DataFrame, rows: DataFrame, doc_id: str, text:
 
     known = members.select("id").withColumnRenamed("id", "a").join(found, "a").union(members.select(F.col("id").alias("b")).join(found, "b").select("a", "b"))
     joined = members.join(connected_components(known).withColumnRenamed("node", "id"), "id", "left")
-    joined = cut(joined.select("id", "cluster", "n", F.coalesce("component", "id").alias("component")))
+    joined = cut(joined.select("id", "cluster", "n", F.coalesce("component", "id").alias("component")), count)
     own = joined.groupBy("cluster", "component").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
     own = own.withColumn("pure", (F.col("count") >= SIDE // 2) | (F.col("n") >= SIDE_TOKENS // 2))
-    own = cut(own.withColumn("part", F.when(F.col("pure"), F.col("component"))))
+    own = cut(own.withColumn("part", F.when(F.col("pure"), F.col("component"))), count)
     split = own.groupBy("cluster", "part").agg(F.sum("count").alias("count"), F.sum("n").alias("n"), F.count("*").alias("components"))
     split = split.withColumn("own", F.greatest(F.ceil(F.col("count") / SIDE), F.ceil(F.col("n") / SIDE_TOKENS)).cast("int"))
     order = Window.partitionBy("cluster").orderBy(F.col("part").asc_nulls_last())  # of two sides at least for each large part
     whole = Window.partitionBy("cluster")
     split = split.withColumn("base", (F.sum("own").over(order) - F.col("own")).cast("int")).withColumn("all", F.sum("own").over(whole).cast("int"))
-    split = cut(split.withColumn("components", F.sum("components").over(whole)).where("components > 1"))
+    split = cut(split.withColumn("components", F.sum("components").over(whole)).where("components > 1"), count)
     if not split.count():
         return found
     placed = joined.join(own.select("cluster", "component", "part"), ["cluster", "component"]).join(split.select("cluster", F.col("part").alias("_part"), "own", "base", "all"), "cluster").where(F.col("part").eqNullSafe(F.col("_part")))
