@@ -202,8 +202,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     How: a bit table of the benchmark's q-grams, of bounded size, goes to all tasks; the parts of
     texts with as many q-grams of it as a piece must share go on, once for equal texts. Their
     q-grams are joined to the benchmark's (a shuffled join, or a broadcast of checked size) and
-    different offsets counted by piece and band; bands with enough are aligned. Overlapping
-    matches of an item are joined. The benchmark never passes through the driver, texts are read
+    counted by piece and band; bands with enough are aligned. Overlapping matches of an item are
+    joined. The benchmark never passes through the driver, texts are read
     once and not shuffled, and what moves grows with the parts that look like a benchmark's.
 
     Items with fewer than ``q`` characters tell no leak and aren't sought, nor are empty and null
@@ -248,7 +248,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     hits = parts.mapInPandas(listed, "h1 long, h2 long, k int, gram long, place int").join(lookup(index), "gram")
     band = F.floor((F.col("place") - F.col("offset") + F.col("size")) / (F.col("edits") + 1)).cast("int")
     both = hits.withColumn("_band", band).withColumn("band", F.explode(F.array("_band", F.col("_band") - 1))).where("band >= 0")  # band b holds the diagonals of b and b + 1
-    enough = both.groupBy("h1", "h2", "k", "piece", "band", "size", "edits").agg(F.count_distinct("offset").alias("shared"))
+    enough = both.groupBy("h1", "h2", "k", "piece", "band", "size", "edits").agg(F.count("*").alias("shared"))
     enough = enough.where(F.col("shared") >= F.greatest(F.lit(1), F.col("size") - q + 1 - q * F.col("edits")))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
