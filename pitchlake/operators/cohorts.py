@@ -108,15 +108,21 @@ def age_misrepresentation(height_z: Column, velocity_z: Column, output_z: Column
 
 def shortest_quarter(df: DataFrame, groups: Sequence[str], value: str, player: str, share: float = 0.25) -> DataFrame:
     """The shortest quarter of each group of four or more, at least one."""
-    w = Window.partitionBy(*groups)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value, player)))
-    return ranked.where((F.col("_n") >= 4) & (F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)))).drop("_n", "_r")
+    counts = df.groupBy(*groups, value).agg(F.count("*").alias("_equal"))
+    w = Window.partitionBy(*groups)  # of distinct values
+    counts = counts.withColumn("_upto", F.sum("_equal").over(w.orderBy(value))).withColumn("_n", F.sum("_equal").over(w))
+    counts = counts.where("_n >= 4").withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * share))).where("_upto - _equal < _k")
+    rows = df.join(counts, [*groups, value])
+    edge = rows.where("_upto > _k").withColumn("_r", F.row_number().over(Window.partitionBy(*groups, value).orderBy(player)))
+    kept = rows.where("_upto <= _k").select(*df.columns)
+    return kept.union(edge.where(F.col("_r") <= F.col("_k") - F.col("_upto") + F.col("_equal")).select(*df.columns))
 
 
 def birth_year_z(df: DataFrame, groups: Sequence[str], born: str, value: str) -> DataFrame:
     """z within the year of birth: a control that is biased against those born late in it."""
-    w = Window.partitionBy(*groups, F.year(born))
-    return df.withColumn("z", (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0)))
+    rows = df.withColumn("_year", F.year(born))
+    of = rows.groupBy(*groups, "_year").agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return rows.join(of, [*groups, "_year"]).withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_year", "_mean", "_sd")
 
 
 def output_index(df: DataFrame, player: str, groups: Sequence[str], wide: Sequence[str], metrics: Sequence[str], exposure: str, lower_better: Sequence[str] = (), least: int = 5) -> DataFrame:

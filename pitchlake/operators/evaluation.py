@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +68,11 @@ def fairness(df: DataFrame, quarter: str, flagged: str, positive: str) -> DataFr
     share = F.sum("flagged").over(w) / F.sum("n").over(w)
     e, o = F.col("n") * share, F.col("flagged")
     part = (o - e) * (o - e) / F.nullif(e, F.lit(0.0)) + (o - e) * (o - e) / F.nullif(F.col("n") - e, F.lit(0.0))
-    tail = F.udf(lambda x: None if x is None else chi_square_tail_3(x), "double")
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(chi_square_tail_3, na_action="ignore")
+
     g = g.withColumn("chi_square", F.sum(part).over(w))  # four rows
     return g.withColumn("p", tail(F.col("chi_square")))
 
@@ -75,16 +80,49 @@ def fairness(df: DataFrame, quarter: str, flagged: str, positive: str) -> DataFr
 def auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Area under the curve from rank sums, ties at their mean rank, by distinct score."""
     g = df.groupBy(score).agg(F.count("*").alias("n"), F.count(F.when(F.col(truth), 1)).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("rank", below + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    r = running(g, score, "n", "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return r.select(((F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("auc"))
 
 
+def running(df: DataFrame, order: str, value: str, out: str, parts: int = 200) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before, by ``order`` (distinct, not null).
+
+    Rows are cut into parts at quantiles of ``order``; the parts' sums are added up first, so no
+    task orders all rows.
+    """
+    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    rows = df.withColumn("_part", part)
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of as many rows as parts
+    rows = rows.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(out, F.col("_before") + inside).drop("_part", "_before")
+
+
+def forecast_scores(df: DataFrame, score: str, truth: str, bins: int = 10) -> DataFrame:
+    """n, positives, Brier score, log loss and the calibration error over bins of equal counts.
+
+    Rows are put in bins by the number of rows of lower scores; equal scores share a bin.
+    """
+    g = df.groupBy(score).agg(F.count("*").alias("n"), F.count(F.when(F.col(truth), 1)).alias("pos"))
+    total = g.agg(F.sum("n")).first()[0] or 0
+    p = F.least(F.greatest(F.col(score), F.lit(1e-12)), F.lit(1 - 1e-12))
+    y = F.col("pos")
+    b = running(g, score, "n", "below").withColumn("bin", F.floor(F.col("below") * bins / F.lit(max(total, 1))))
+    b = b.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col(score) * F.col("n")).alias("s"), F.sum((1 - p) * (1 - p) * y + p * p * (F.col("n") - y)).alias("b"), F.sum(-(F.ln(p) * y + F.ln(1 - p) * (F.col("n") - y))).alias("l"))
+    n = F.sum("n")
+    return b.agg(n.alias("n"), F.sum("pos").alias("positives"), (F.sum("b") / n).alias("brier"), (F.sum("l") / n).alias("log_loss"), (F.sum(F.abs(F.col("s") - F.col("pos"))) / n).alias("calibration_error"))
+
+
 def mean_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
     """``df`` with the mean rank of ``value`` in its group (ties share the mean)."""
-    w = Window.partitionBy(*groups)
-    ties = F.count("*").over(Window.partitionBy(*groups, value))
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0)
+    counts = df.groupBy(*groups, value).agg(F.count("*").alias("_equal"))
+    upto = F.sum("_equal").over(Window.partitionBy(*groups).orderBy(value))  # of distinct values
+    keys = [*groups, value]
+    ranks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (upto - (F.col("_equal") - 1) / 2.0).alias(out))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(ranks, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
@@ -93,6 +131,39 @@ def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*groups).agg(F.corr("_x", "_y").alias("spearman"), F.count("*").alias("n"))
 
 
+def spearman_brown(r: Column) -> Column:
+    """The reliability of a whole from the correlation of its halves."""
+    return F.when(r > -1, 2 * r / (1 + r)).otherwise(-1.0)
+
+
+def split_half(halves: DataFrame, keys: Sequence[str], group: str, metric: str, first: str, second: str, weight: str, threshold: float, least: int = 3) -> DataFrame:
+    """(metric, r, reliability, n): how well the first half of a season tells the second.
+
+    Rows with half the threshold's weight in each half count; values are standardised within the
+    group, groups of under ``least`` rows left out.
+    """
+    x = halves.where((F.col(weight) >= threshold / 2) & F.col(first).isNotNull() & F.col(second).isNotNull())
+    of = x.groupBy(group, metric).agg(F.count("*").alias("_n"), *[f(c).alias(f"_{n}_{c}") for c in (first, second) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]).where(F.col("_n") >= least)
+    z = lambda c: F.when(F.col(f"_sd_{c}") > 0, (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_sd_{c}")).otherwise(0.0)
+    r = x.join(of, [group, metric]).select(metric, z(first).alias("a"), z(second).alias("b")).groupBy(metric).agg(F.corr("a", "b").alias("r"), F.count("*").alias("n"))
+    return r.withColumn("reliability", spearman_brown(F.col("r")))
+
+
+def smallest_reliable(reliabilities: DataFrame, threshold: str, value: str, target: float = 0.7) -> DataFrame:
+    """The least threshold whose median reliability reaches the target; no row if none does."""
+    m = reliabilities.groupBy(threshold).agg(F.median(value).alias("median")).where(F.col("median") >= target)
+    return m.agg(F.min_by(F.struct(threshold, "median"), threshold).alias("m")).where("m is not null").select("m.*")
+
+
+def bottom_kept(df: DataFrame, groups: Sequence[str], key: str, first: str, second: str) -> DataFrame:
+    """Of each group's bottom third by the first value, the share also there by the second."""
+    w = Window.partitionBy(*groups)
+    n = F.count("*").over(w)
+    r = df.withColumn("_third", F.floor(n / 3)).withColumn("_a", F.row_number().over(w.orderBy(first, key))).withColumn("_b", F.row_number().over(w.orderBy(second, key)))
+    both = F.count(F.when((F.col("_a") <= F.col("_third")) & (F.col("_b") <= F.col("_third")), 1))
+    return r.groupBy(*groups).agg((both / F.greatest(F.lit(1), F.max("_third"))).alias("kept"), F.count("*").alias("n"))
+
+
 def poisson_deviance(y: Column, mean: Column) -> Column:
     """Deviance of a count against its mean; a count of 0 has no logarithm."""
     return 2 * (F.when(y > 0, y * F.ln(y / mean)).otherwise(0.0) - (y - mean))

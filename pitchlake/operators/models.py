@@ -23,17 +23,23 @@ def curve(df: DataFrame, groups: Sequence[str], age: str, value: str, floor: flo
     return p.select(*groups, "at", "median", "sd", F.lead("at").over(w).alias("next_at"), F.lead("median").over(w).alias("next_median"), F.lead("sd").over(w).alias("next_sd"), (F.row_number().over(w) == 1).alias("first"))
 
 
-def on_curve(rows: DataFrame, points: DataFrame, groups: Sequence[str], age: str, out: str) -> DataFrame:
-    """``rows`` with the curve's value at an age: straight between points, flat beyond the ends."""
-    p = points.select(*[F.col(g).alias(f"_{g}") for g in groups], *[F.col(c).alias(f"_{c}") for c in ("at", "median", "next_at", "next_median", "first")])
-    a = F.col(age)
-    inside = ((a >= F.col("_at")) | F.col("_first")) & (F.col("_next_at").isNull() | (a < F.col("_next_at")))
-    cond = inside
-    for g in groups:
-        cond = cond & (F.col(g) == F.col(f"_{g}"))
-    share = (F.greatest(a, F.col("_at")) - F.col("_at")) / (F.col("_next_at") - F.col("_at"))
-    value = F.when(F.col("_next_at").isNull(), F.col("_median")).otherwise(F.col("_median") + share * (F.col("_next_median") - F.col("_median")))
-    return rows.join(F.broadcast(points_small(p)), cond, "left").withColumn(out, value).drop(*p.columns)
+def on_curve(rows: DataFrame, points: DataFrame, groups: Sequence[str], age: str, out: str, sd: str | None = None) -> DataFrame:
+    """``rows`` with the curve's value (and spread) at an age: straight between points, flat
+    beyond the ends. A point's stretch is cut into half-years, so the join is by equal keys."""
+    p = points.select(*[F.col(g).alias(f"_{g}") for g in groups], *[F.col(c).alias(f"_{c}") for c in ("at", "median", "sd", "next_at", "next_median", "next_sd")])
+    p = points_small(p)
+    own = [F.col(g) == F.col(f"_{g}") for g in groups]
+    ends = p.groupBy(*[f"_{g}" for g in groups]).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    half = lambda c: F.round(F.col(c) * 2).cast("int")
+    dense = p.withColumn("_half", F.explode(F.sequence(half("_at"), F.coalesce(half("_next_at") - 1, half("_at")))))
+    inside = F.greatest(F.least(F.floor(F.col(age) * 2).cast("int"), half("_high")), half("_low"))
+    placed = rows.join(F.broadcast(ends), own, "left").withColumn("_of", inside).drop(*[f"_{g}" for g in groups])
+    joined = placed.join(F.broadcast(dense), [*own, F.col("_of") == F.col("_half")], "left")
+    share = (F.greatest(F.least(F.col(age), F.col("_next_at")), F.col("_at")) - F.col("_at")) / (F.col("_next_at") - F.col("_at"))
+    at = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.col(a) + share * (F.col(b) - F.col(a)))
+    joined = joined.withColumn(out, at("_median", "_next_median"))
+    joined = joined.withColumn(sd, at("_sd", "_next_sd")) if sd else joined
+    return joined.drop(*p.columns, "_low", "_high", "_of", "_half")
 
 
 def points_small(points: DataFrame, most: int = 100_000) -> DataFrame:
@@ -143,9 +149,11 @@ def finishing(goals: Column, interval: Column) -> Column:
     return F.when(goals > interval["high"], "above").when(goals < interval["low"], "below").otherwise("as expected")
 
 
-def nearest(vectors: DataFrame, groups: Sequence[str], key: str, columns: Sequence[str], k: int, side: int = 1000) -> DataFrame:
+def nearest(vectors: DataFrame, groups: Sequence[str], key: str, columns: Sequence[str], k: int, side: int = 1000, cosine: bool = False) -> DataFrame:
     """(groups, key, other, distance, place): the ``k`` nearest of each row in its group.
 
+    ``cosine``: by 1 less the cosine of unit vectors, to nine digits, else by Euclid; ties by key.
+
     A group is cut into sides of about ``side`` rows; each pair of sides is one task's matrix
     product, which keeps the best ``k`` for each row, and the sides' bests are merged.
     """
@@ -161,7 +169,7 @@ def nearest(vectors: DataFrame, groups: Sequence[str], key: str, columns: Sequen
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in [*groups, "key", "other", "distance"]})
         x, y = np.stack(a["v"]), np.stack(b["v"])
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
+        d = np.round(1 - x @ y.T, 9) if cosine else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0))
         d[a["key"].to_numpy()[:, None] == b["key"].to_numpy()[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(b["key"].to_numpy(), d.shape), d), axis=1)[:, :k]
         r = np.repeat(np.arange(len(a)), order.shape[1])
@@ -175,6 +183,36 @@ def nearest(vectors: DataFrame, groups: Sequence[str], key: str, columns: Sequen
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).withColumnRenamed("key", key)
 
 
+def twin_ranks(vectors: DataFrame, groups: Sequence[str], key: str, twin: str, columns: Sequence[str], side: int = 1000) -> DataFrame:
+    """(key, rank, others): how many rows of the group are as near as a row's twin, itself
+    included, ties by key; ``others`` is the number of the group's other rows.
+
+    Rows that have their twin in the group ask, with the twin's vector. Each pair of sides is one
+    task's matrix product, which counts the nearer rows; counts are added up by row.
+    """
+    n = vectors.groupBy(*groups).count()
+    v = vectors.select(*groups, F.col(key).cast("long").alias("key"), F.col(twin).cast("long").alias("twin"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    rows = v.join(n, list(groups)).withColumn("_sides", F.ceil(F.col("count") / side).cast("int")).withColumn("_side", F.pmod(F.xxhash64("key"), F.col("_sides")).cast("int"))
+    found = rows.join(v.select(*groups, F.col("key").alias("twin"), F.col("v").alias("w")), [*groups, "twin"])
+    every = F.explode(F.sequence(F.lit(0), F.col("_sides") - 1))
+    asks = found.withColumn("_other", every).select(*groups, F.col("_side").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("asks"), "key", "twin", "v", "w", "count")
+    held = rows.withColumn("_other", every).select(*groups, F.col("_other"), F.col("_side"), F.lit(False), "key", "twin", "v", F.col("v"), "count")
+
+    def counted(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["asks"]], g[~g["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"key": np.zeros(0, dtype=np.int64), "n": np.zeros(0, dtype=np.int64), "others": np.zeros(0, dtype=np.int64)})
+        x, y, w = np.stack(a["v"]), np.stack(b["v"]), np.stack(a["w"])
+        own = ((x - w) ** 2).sum(1)[:, None]
+        d = np.stack([((p - y) ** 2).sum(1) for p in x])
+        ids, twins = b["key"].to_numpy()[None, :], a["twin"].to_numpy()[:, None]
+        nearer = ((d < own) | ((d == own) & (ids <= twins))) & (ids != a["key"].to_numpy()[:, None])
+        return pd.DataFrame({"key": a["key"], "n": nearer.sum(1), "others": a["count"] - 1})
+
+    parts = asks.union(held).groupBy(*groups, "i", "j").applyInPandas(counted, "key long, n long, others long")
+    return parts.groupBy(F.col("key").alias(key)).agg(F.sum("n").alias("rank"), F.max("others").alias("others"))
+
+
 def isolation_scores(df: DataFrame, key: str, columns: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 5) -> DataFrame:
     """(key, score): isolation forest, higher is odder. Trees from small samples, all rows scored."""
     chosen = df.select(*[F.col(c).cast("double") for c in columns]).na.drop().orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(sample * 8).toPandas().to_numpy()

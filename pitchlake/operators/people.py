@@ -17,10 +17,11 @@ def first_line(df: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
 
 def may_exist(new: DataFrame, held: DataFrame, born: str, tokens: str, key: str, least: float = 1.0) -> DataFrame:
     """Pairs (new row, held id) of one birth date whose name words contain each other."""
-    h = held.select(F.col(born).alias("_b"), F.col(tokens).alias("_t"), F.col(key).alias("held"))
-    j = new.join(h, F.col(born) == F.col("_b"))
-    share = F.size(F.array_intersect(tokens, "_t")) / F.nullif(F.least(F.size(tokens), F.size("_t")), F.lit(0))
-    return j.where(share >= least).drop("_b", "_t")
+    h = held.select(F.col(born).alias("_b"), F.col(tokens).alias("_t"), F.col(key).alias("held")).withColumn("_w", F.explode("_t"))
+    n = new.withColumn("_v", F.explode(tokens))
+    j = n.join(h, [F.col(born) == F.col("_b"), F.col("_v") == F.col("_w")])  # pairs that share a word
+    share = F.size(F.array_intersect(tokens, "_t")) / F.least(F.size(tokens), F.size("_t"))
+    return j.where((share >= least) & (F.col("_v") == F.array_min(F.array_intersect(tokens, "_t")))).drop("_b", "_t", "_v", "_w")
 
 
 def check_person(age: Column, guardian: Column, allowed: Column) -> Column:
@@ -77,12 +78,12 @@ def comparison(df: DataFrame, players: Sequence[int], player: str, metric: str,
     return p.withColumn("spread", F.greatest(*cols) - F.least(*cols)).withColumn("telling", F.col("spread") > noise)
 
 
-def retrieval(distances: DataFrame, key: str, other: str, twin: str, distance: str) -> DataFrame:
-    """Rank of each row's twin among its neighbours: median, share in the first 1 and 5, mean
-    reciprocal rank."""
-    w = Window.partitionBy(key).orderBy(distance, other)
-    r = distances.withColumn("_r", F.row_number().over(w)).where(F.col(other) == F.col(twin))
-    return r.agg(F.count("*").alias("n"), F.median("_r").alias("median_rank"), F.avg((F.col("_r") <= 1).cast("double")).alias("top_1"), F.avg((F.col("_r") <= 5).cast("double")).alias("top_5"), F.avg(1 / F.col("_r")).alias("mrr"))
+def retrieval(ranks: DataFrame) -> DataFrame:
+    """Scores of twins' ranks (rank, others): median, share in the first 1, 5 and 10, mean
+    reciprocal rank, and what random orders would give for the first 5."""
+    r = ranks.withColumn("_r", F.col("rank"))
+    chance = F.avg(F.least(F.lit(1.0), 5 / F.col("others"))).alias("random_5")
+    return r.agg(chance, F.avg((F.col("_r") <= 10).cast("double")).alias("top_10"), F.count("*").alias("n"), F.median("_r").alias("median_rank"), F.avg((F.col("_r") <= 1).cast("double")).alias("top_1"), F.avg((F.col("_r") <= 5).cast("double")).alias("top_5"), F.avg(1 / F.col("_r")).alias("mrr"))
 
 
 def linked_events(events: DataFrame, match: str, key: str, to: str, columns: Sequence[str]) -> DataFrame:

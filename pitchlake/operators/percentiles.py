@@ -30,15 +30,20 @@ def midrank(df: DataFrame, groups: Sequence[str], value: str, out: str = "percen
 
 def half_quantiles(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """p25, p50 and p75: medians of the list and of its halves, the middle left out when odd."""
-    lists = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("v"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_equal"))
+    w = Window.partitionBy(*groups)  # of distinct values
+    counts = counts.withColumn("_upto", F.sum("_equal").over(w.orderBy("_v"))).withColumn("_n", F.sum("_equal").over(w))
+    half = F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
 
-    def median(a: Column) -> Column:
-        n = F.size(a)
-        return (F.element_at(a, F.floor((n + 1) / 2).cast("int")) + F.element_at(a, F.floor(n / 2 + 1).cast("int"))) / 2
+    def at(place: Column) -> Column:
+        """The value at a place of the sorted list, from 1."""
+        return F.max(F.when((F.col("_upto") >= place) & (F.col("_upto") - F.col("_equal") < place), F.col("_v")))
 
-    half = F.greatest(F.floor(F.size("v") / 2).cast("int"), F.lit(1))
-    low, high = F.slice("v", 1, half), F.slice("v", F.size("v") - half + 1, half)
-    return lists.select(*groups, median(low).alias("p25"), median(F.col("v")).alias("p50"), median(high).alias("p75"), F.size("v").cast("long").alias("n"))
+    def median(first: Column, size: Column) -> Column:
+        return (at(first + F.floor((size + 1) / 2)) + at(first + F.floor(size / 2 + 1))) / 2
+
+    zero = F.lit(0)
+    return counts.groupBy(*groups).agg(median(zero, half).alias("p25"), median(zero, F.col("_n")).alias("p50"), median(F.col("_n") - half, half).alias("p75"), F.max("_n").alias("n"))
 
 
 def widened(df: DataFrame, groups: Sequence[str], age: str, least: int = 8, spreads: Sequence[int] = (0, 1, 2)) -> DataFrame:

@@ -49,12 +49,12 @@ def opportunity(now: Column, team_now: Column, before: Column, team_before: Colu
     return F.ln((now / team_now + floor) / (before / team_before + floor))
 
 
-def breakout(df: DataFrame, score: str, age: str, minutes: str, members: str, bar: float) -> Column:
-    """Why a season can't be assessed, or whether it is a breakout."""
+def breakout(df: DataFrame, score: str, age: str, minutes: str, members: str, bar: float, squad: int = 11) -> Column:
+    """Why a season can't be assessed, or whether it is a breakout: ages 18 to 24, 270 minutes, a squad."""
     return (
         F.when(~F.col(age).between(18, 24), "age")
         .when(F.col(minutes) < 270, "minutes")
-        .when(F.col(members) < 11, "squad")
+        .when(F.col(members) < squad, "squad")
         .when(F.col(score).isNull(), "no season before")
         .when(F.col(score) >= bar, "breakout")
         .otherwise("none")
@@ -142,6 +142,7 @@ def dimensions(rows: DataFrame, player: str, season: str, details: Sequence[str]
 def profile_vectors(df: DataFrame, player: str, group: Sequence[str], exposure: str, counts: Sequence[str], least: float, floor: float = 0.05) -> DataFrame:
     """Log rates per 90 of each player with enough exposure, and their z in the group."""
     sums = df.groupBy(player, *group).agg(F.sum(exposure).alias("_e"), *[F.sum(c).alias(c) for c in counts]).where(F.col("_e") >= least)
-    w = Window.partitionBy(*group)
     raw = sums.withColumns({c: F.ln(90.0 * F.col(c) / F.col("_e") + floor) for c in counts})
-    return raw.select(player, *group, *[F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0)).alias(c) for c in counts])
+    of = raw.groupBy(*group).agg(*[f(c).alias(f"_{n}_{c}") for c in counts for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"_mean_{c}")) / F.nullif(F.col(f"_sd_{c}"), F.lit(0.0)), F.lit(0.0)).alias(c)
+    return raw.join(of, list(group)).select(player, *group, *[z(c) for c in counts])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.match import goal_angle, goal_distance
@@ -13,7 +13,7 @@ from ..operators import cohorts, evaluation, models, seasons
 from ..session import cut
 from ..streaming import jobs
 from . import adapters as ad
-from .growth import cards
+from .growth import Z_SQL, cards, height_reference
 from .league import last
 
 QUERIES, ORACLE = {}, {}
@@ -83,14 +83,15 @@ def m1_cohort_velocity_forecast(spark, sf_dir):
     return j.withColumn("guess", guess).groupBy("sex").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("guess") - F.col("target"))), 4).alias("mae"))
 
 
-@query(f"""WITH {ad.READINGS}, a AS (SELECT player_id, arg_max(value, (measured_at, value)) FILTER (measured_at <= DATE '1998-01-01') AS before, arg_max(value, (measured_at, value)) FILTER (measured_at >= DATE '1999-01-01') AS after FROM readings GROUP BY 1)
-SELECT player_id, round(after - before, 4) AS change, after - before >= 8 AS caught_up FROM a WHERE before IS NOT NULL AND after IS NOT NULL""")
+@query(f"""WITH {Z_SQL}, a AS (SELECT player_id, arg_max(z, (measured_at, value)) FILTER (measured_at <= DATE '1998-01-01') AS before, arg_max(z, (measured_at, value)) FILTER (measured_at >= DATE '1998-01-01' + 365) AS after FROM z GROUP BY 1)
+SELECT player_id, round(after - before, 4) + 0.0 AS change, after - before >= 0.5 AS caught_up FROM a WHERE before IS NOT NULL AND after IS NOT NULL""")
 def w15_caught_up(spark, sf_dir):
-    d = F.col("measured_at")
-    at = F.struct("measured_at", "value")
-    a = ad.readings(spark, sf_dir).groupBy("player_id").agg(F.max(F.when(d <= F.lit("1998-01-01").cast("date"), at)).alias("b"), F.max(F.when(d >= F.lit("1999-01-01").cast("date"), at)).alias("a"))
-    change = F.col("a.value") - F.col("b.value")
-    return a.where("a is not null and b is not null").select("player_id", F.round(change, 4).alias("change"), (change >= 8).alias("caught_up"))
+    """Whose size against the age has risen by half a deviation a year and more after a day."""
+    cutoff, d, at = F.lit("1998-01-01").cast("date"), F.col("measured_at"), F.struct("measured_at", "value")
+    z = cohorts.z_scores(ad.readings(spark, sf_dir), height_reference(spark, sf_dir), ["sex"], "age", "value")
+    a = z.groupBy("player_id").agg(F.max_by("z", F.when(d <= cutoff, at)).alias("b"), F.max_by("z", F.when(d >= F.date_add(cutoff, 365), at)).alias("a"))
+    change = F.col("a") - F.col("b")
+    return a.where("a is not null and b is not null").select("player_id", (F.round(change, 4) + 0.0).alias("change"), (change >= 0.5).alias("caught_up"))
 
 
 NEAR_SQL = f"""{ad.SEASONS}, s AS (SELECT player_id, grp, sum(minutes) AS e, sum(goals) AS goals, sum(npxg) AS npxg, sum(passes) AS passes FROM seasons GROUP BY ALL HAVING sum(minutes) >= 450),
@@ -112,14 +113,12 @@ def m4_nearest_profiles(spark, sf_dir):
 @query(f"""WITH {NEAR_SQL}, d AS (SELECT a.player_id, b.player_id AS other, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z)) AS cosine FROM v a JOIN v b ON a.grp = b.grp AND a.player_id <> b.player_id)
 SELECT player_id, other, round(cosine, 4) AS cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY round(cosine, 9) DESC, other) AS place FROM d) WHERE place <= 6""")
 def m5_similar_style(spark, sf_dir):
-    """The six of the most similar style: nearest on the unit sphere, where 1 - d^2 / 2 is the cosine."""
+    """The six of the most similar style, by the cosine."""
     v = vectors(spark, sf_dir)
     norm = F.sqrt(F.col("goals") * F.col("goals") + F.col("npxg") * F.col("npxg") + F.col("passes") * F.col("passes"))
     u = v.withColumn("_n", norm).withColumns({c: F.col(c) / F.col("_n") for c in ("goals", "npxg", "passes")}).drop("_n")
-    n = models.nearest(u, ["grp"], "player_id", ["goals", "npxg", "passes"], 8)
-    n = n.withColumn("cosine", 1 - F.col("distance") * F.col("distance") / 2)
-    w = Window.partitionBy("player_id").orderBy(F.desc(F.round("cosine", 9)), "other")
-    return n.withColumn("place", F.row_number().over(w)).where("place <= 6").select("player_id", "other", F.round("cosine", 4).alias("cosine"), "place")
+    n = models.nearest(u, ["grp"], "player_id", ["goals", "npxg", "passes"], 6, cosine=True)
+    return n.select("player_id", "other", F.round(1 - F.col("distance"), 4).alias("cosine"), "place")
 
 
 @query()
@@ -157,15 +156,18 @@ def m11_growth_timing(spark, sf_dir):
     r = ad.readings(spark, sf_dir)
     points = models.curve(r, ["sex"], "age", "value", 1.0)
     some = r.join(r.groupBy("player_id").count().where("count >= 5"), "player_id")
-    return models.timing_shift(some, points, "sex", "player_id", "age", "value", steps=20).select("player_id", "shift", *R4("size", "loss"))
+    return models.timing_shift(some, points, "sex", "player_id", "age", "value").select("player_id", "shift", *R4("size", "loss"))
 
 
-@query("""SELECT doc_id, len(list_distinct(list_filter(string_split_regex(lower(trim(regexp_replace(left(coalesce(text, ''), 60), '\\s+', ' ', 'g'))), ' '), lambda w: w <> ''))) AS tokens FROM documents WHERE lang = 'en'""")
+@query(r"""WITH n AS (SELECT 'customer' AS source, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, '  ' || upper(p_name) || chr(9) || 'ＡＢ ' || p_brand FROM part),
+m AS (SELECT source, id, trim(regexp_replace(replace(lower(name), 'ａｂ', 'ab'), '\s+', ' ', 'g')) AS name FROM n) SELECT source, id, name, len(list_distinct(list_filter(string_split(name, ' '), lambda w: w <> ''))) AS tokens FROM m""")
 def f1_normal_names(spark, sf_dir):
-    """Normal form and distinct words of the first line of English texts, taken as names."""
-    d = ad.table(spark, sf_dir, "documents").where("lang = 'en'")
-    n = normal_name(F.substring(F.coalesce("text", F.lit("")), 1, 60))
-    return d.select("doc_id", F.size(name_tokens(n)).cast("long").alias("tokens"))
+    """Normal forms and distinct words of all names of customers, suppliers and parts."""
+    of = lambda table, source, key, name: ad.table(spark, sf_dir, table).select(F.lit(source).alias("source"), F.col(key).alias("id"), name.alias("name"))
+    wide = F.concat(F.lit("  "), F.upper("p_name"), F.lit("\tＡＢ "), F.col("p_brand"))
+    n = of("customer", "customer", "c_custkey", F.col("c_name")).union(of("supplier", "supplier", "s_suppkey", F.col("s_name"))).union(of("part", "part", "p_partkey", wide))
+    n = n.select("source", "id", normal_name(F.col("name")).alias("name"))
+    return n.withColumn("tokens", F.size(name_tokens(F.col("name"))).cast("long"))
 
 
 @query(f"""WITH {ad.RECORDS}, p AS (SELECT a.record_id AS a, a.record_id + 64 AS b, a.name AS na, b.name AS nb, a.date_of_birth AS da, b.date_of_birth AS db FROM records a JOIN records b ON b.record_id = a.record_id + 64)

@@ -117,11 +117,36 @@ def d2_maturity_mismatch(spark, sf_dir):
     return mismatches(spark, sf_dir).select("player_id", F.round(cohorts.maturity_mismatch(F.col("mean_z"), F.col("velocity_z")), 4).alias("mismatch"))
 
 
-@query(f"""WITH {MISMATCH_SQL}, o AS (SELECT *, CASE WHEN player_id % 3 = 0 THEN NULL ELSE (player_id % 41) / 10.0 - 2 END AS output_z FROM mismatch),
+OUTPUT_SQL = """sums AS (SELECT o_custkey AS player_id, count(*) AS e, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS waiting FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 7 <> 0 GROUP BY 1),
+outs AS (SELECT player_id, sex, tier, e, m[1] AS metric, m[2] AS n, m[3] AS sign, m[2] * 1.0 / e AS rate FROM (SELECT s.*, sex, tier, unnest([('returned', returned, 1.0), ('waiting', waiting, -1.0)]) AS m FROM sums s JOIN players USING (player_id))),
+n1 AS (SELECT sex, tier, metric, median(rate) AS m1, count(*) AS k1 FROM outs GROUP BY ALL), n2 AS (SELECT sex, metric, median(rate) AS m2, count(*) AS k2 FROM outs GROUP BY ALL),
+output AS (SELECT player_id, avg(sign * ln((n + 0.5) / (CASE WHEN k1 >= 5 THEN m1 WHEN k2 >= 5 THEN m2 END * e + 0.5))) AS output FROM outs JOIN n1 USING (sex, tier, metric) JOIN n2 USING (sex, metric) GROUP BY 1)"""
+
+
+def output_indices(spark, sf_dir):
+    """Each player's output from the lines of their orders; a seventh of the players have none."""
+    o = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player_id")).where("player_id % 7 <> 0")
+    li = ad.table(spark, sf_dir, "lineitem").select("l_orderkey", F.lit(1).alias("lines"), (F.col("l_returnflag") == "R").cast("int").alias("returned"), (F.col("l_linestatus") == "O").cast("int").alias("waiting"))
+    rows = li.join(o, "l_orderkey").join(ad.players(spark, sf_dir).select("player_id", "sex", "tier"), "player_id")
+    return cohorts.output_index(rows, "player_id", ["sex", "tier"], ["sex"], ["returned", "waiting"], "lines", ["waiting"])
+
+
+@query(f"WITH {ad.PLAYERS}, {OUTPUT_SQL} SELECT player_id, round(output, 4) + 0.0 AS output FROM output")
+def a3_output_index(spark, sf_dir):
+    return output_indices(spark, sf_dir).select("player_id", (F.round("output", 4) + 0.0).alias("output"))
+
+
+@query(f"""WITH {MISMATCH_SQL}, {OUTPUT_SQL}, aged AS (SELECT f.player_id, sex, CAST(round_even(age, 0) AS INTEGER) AS age_o, output FROM features f JOIN output USING (player_id)),
+oref AS (SELECT sex, age_o, median(output) AS m, greatest(stddev_pop(output), 0.05) AS s FROM (SELECT sex, unnest([age_o - 1, age_o, age_o + 1]) AS age_o, output FROM aged) SEMI JOIN (SELECT DISTINCT sex, age_o FROM aged) USING (sex, age_o) GROUP BY ALL HAVING count(*) >= 5),
+o AS (SELECT x.player_id, mean_z, velocity_z, (output - m) / s AS output_z FROM mismatch x LEFT JOIN aged a ON a.player_id = x.player_id LEFT JOIN oref r ON r.sex = a.sex AND r.age_o = a.age_o),
 g AS (SELECT *, coalesce(mean_z - velocity_z >= 1.8, false) OR (velocity_z IS NULL AND mean_z >= 1.8) AS led FROM o)
 SELECT player_id, CASE WHEN led AND output_z >= 0.5 THEN 'growth and output' WHEN output_z >= 1.25 AND mean_z >= 1.0 THEN 'output and height' WHEN led AND output_z IS NULL THEN 'growth alone' END AS rule FROM g""")
 def d3_age_misrepresentation(spark, sf_dir):
-    m = mismatches(spark, sf_dir).withColumn("output_z", F.when(F.col("player_id") % 3 != 0, (F.col("player_id") % 41) / 10.0 - 2))
+    """Growth against age together with output against age, both among the same sex."""
+    aged = features(spark, sf_dir).select("player_id", "sex", "age").join(output_indices(spark, sf_dir), "player_id")
+    ref = cohorts.cohort_reference(aged, ["sex"], "age", "output", 0.05)
+    z = cohorts.z_scores(aged, ref, ["sex"], "age", "output").select("player_id", F.col("z").alias("output_z"))
+    m = mismatches(spark, sf_dir).join(z, "player_id", "left")
     return m.select("player_id", cohorts.age_misrepresentation(F.col("mean_z"), F.col("velocity_z"), F.col("output_z")).alias("rule"))
 
 

@@ -82,13 +82,12 @@ p AS (SELECT s.*, t.chances, t.players, b.npxg + b.xa AS before, tb.chances AS b
 q AS (SELECT *, ln(((npxg + xa) / chances + 0.025) / (before / before_chances + 0.025)) AS score, 17 + player_id % 9 AS age FROM p)
 SELECT player_id, year, round(score, 4) + 0.0 AS score, CASE WHEN NOT age BETWEEN 18 AND 24 THEN 'age' WHEN minutes < 270 THEN 'minutes' WHEN players < 3 THEN 'squad' WHEN score IS NULL THEN 'no season before' WHEN score >= 0.1 THEN 'breakout' ELSE 'none' END AS outcome FROM q""")
 def w12_breakouts(spark, sf_dir):
-    """Change of a player's share of the team's chances (a squad of three here is enough)."""
+    """Change of a player's share of the team's chances; squads are small here, so three are one."""
     t = teams(spark, sf_dir).select("club", "year", "chances", "players")
     s = ad.seasons(spark, sf_dir).join(t, ["club", "year"]).withColumn("own", F.col("npxg") + F.col("xa"))
     p = temporal.previous_season(s, ["player_id", "competition"], "year", ["own", "chances"], ["competition"])
     p = p.withColumn("score", seasons.opportunity(F.col("own"), F.col("chances"), F.col("before_own"), F.col("before_chances"))).withColumn("age", 17 + F.col("player_id") % 9)
-    p = p.withColumn("members", F.when(F.col("players") >= 3, F.lit(11)).otherwise(F.lit(0)))
-    return p.select("player_id", "year", (F.round("score", 4) + 0.0).alias("score"), seasons.breakout(p, "score", "age", "minutes", "members", 0.1).alias("outcome"))
+    return p.select("player_id", "year", (F.round("score", 4) + 0.0).alias("score"), seasons.breakout(p, "score", "age", "minutes", "players", 0.1, squad=3).alias("outcome"))
 
 
 @query(f"""WITH {ad.SEASONS}, f AS (SELECT competition, min(year) AS first FROM seasons GROUP BY 1), p AS (SELECT s.player_id, s.year, unnest([('goals', s.goals * 90.0 / s.minutes, b.goals * 90.0 / b.minutes), ('npxg', s.npxg * 90.0 / s.minutes, b.npxg * 90.0 / b.minutes)]) AS t
@@ -273,11 +272,12 @@ def d6_duplicate_pairs(spark, sf_dir):
     return linkage.duplicate_pairs(compared(spark, sf_dir), "containment", "relation", 1.0).select("a", "b", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {ad.RECORDS}, w AS (SELECT record_id, unnest(list_distinct(list_concat(string_split(name, ' '), [sport || ':' || (record_id % 50)]))) AS k FROM records), u AS (SELECT k FROM w GROUP BY k HAVING count(*) BETWEEN 2 AND 300)
+@query(f"""WITH w AS (SELECT p_partkey AS record_id, unnest([p_name || '|' || p_brand, p_name || '|' || p_size, p_brand || '|' || p_size || '|' || p_type]) AS k FROM part), u AS (SELECT k FROM w GROUP BY k HAVING count(*) BETWEEN 2 AND 5000)
 SELECT x.record_id AS a, y.record_id AS b, count(*) AS shared FROM w x JOIN w y ON x.k = y.k AND x.record_id < y.record_id WHERE x.k IN (SELECT k FROM u) GROUP BY ALL HAVING count(*) >= 2""")
 def j12_shared_keys(spark, sf_dir):
-    r = ad.records(spark, sf_dir).select("record_id", F.array_union(F.split("name", " "), F.array(F.concat("sport", F.lit(":"), (F.col("record_id") % 50).cast("string")))).alias("keys"))
-    return linkage.shared_key_candidates(r, "record_id", "keys", 2, 300)
+    """Pairs of records that share two of three keys, each of several fields."""
+    r = ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("record_id"), F.array(F.concat_ws("|", "p_name", "p_brand"), F.concat_ws("|", "p_name", "p_size"), F.concat_ws("|", "p_brand", "p_size", "p_type")).alias("keys"))
+    return linkage.shared_key_candidates(r, "record_id", "keys", 2)
 
 
 @query(f"""WITH RECURSIVE {PAIR_SQL}, l AS (SELECT a, b FROM tk WHERE containment >= 1 AND relation = 'exact'), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
@@ -307,7 +307,7 @@ FIELDS = ("name", "dob", "sport", "sex")
 def matched(spark, sf_dir):
     r = ad.records(spark, sf_dir)
     u = linkage.random_levels(r, "record_id", lambda p: levels(spark, sf_dir, p), FIELDS, 20_000)
-    keys = r.select("record_id", F.array(F.concat_ws("|", "name", "sport"), F.concat_ws("|", "date_of_birth", "sport"), F.concat_ws("|", "sex", "sport")).alias("keys"))
+    keys = r.select("record_id", F.array(F.concat_ws("|", "name", "sport"), F.concat_ws("|", "date_of_birth", "sport"), F.concat_ws("|", "name", "date_of_birth")).alias("keys"))
     c = levels(spark, sf_dir, linkage.shared_key_candidates(keys, "record_id", "keys", 2).select("a", "b"))
     patterns = linkage.pattern_counts(c, FIELDS)
     m, prior = linkage.fit_matching(patterns, u, FIELDS, 0.1)
@@ -477,6 +477,57 @@ def a24_birth_quarter_audit(spark, sf_dir):
     return f.select("quarter", "n", "flagged", *R4("false_positive_rate", "chi_square"))
 
 
+@query()
+def a24_birth_quarter_chance(spark, sf_dir):
+    """The chance of as uneven flags; a test holds the tail against known quantiles."""
+    f = evaluation.fairness(labelled(spark, sf_dir), "quarter", "predicted", "actual")
+    return f.select(F.round("chi_square", 4).alias("chi_square"), F.round("p", 6).alias("p")).distinct()
+
+
+@query(f"""WITH {LABEL_SQL}, s AS (SELECT n_chars / (SELECT max(n_chars) + 1.0 FROM x) AS p, actual FROM x), t AS (SELECT *, floor((rank() OVER (ORDER BY p) - 1) * 10.0 / count(*) OVER ()) AS bin, least(greatest(p, 1e-12), 1 - 1e-12) AS q FROM s),
+b AS (SELECT bin, count(*) AS n, sum(p) AS p, count(*) FILTER (actual) AS y FROM t GROUP BY 1)
+SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FILTER (actual) FROM t) AS positives, (SELECT round(avg((q - CAST(actual AS INT)) ** 2), 4) FROM t) AS brier, (SELECT round(avg(CASE WHEN actual THEN -ln(q) ELSE -ln(1 - q) END), 4) FROM t) AS log_loss, round(sum(abs(p - y)) / sum(n), 4) AS calibration_error FROM b""")
+def a26_forecast_scores(spark, sf_dir):
+    """Brier score, log loss and calibration error of the length as a chance."""
+    x = labelled(spark, sf_dir)
+    most = x.agg(F.max("n_chars")).first()[0]
+    s = evaluation.forecast_scores(x.withColumn("p", F.col("n_chars") / F.lit(float(most + 1))), "p", "actual")
+    return s.select("n", "positives", *R4("brier", "log_loss", "calibration_error"))
+
+
+HALF_SQL = f"""h AS (SELECT l_suppkey AS id, l_suppkey % 3 AS grp, unnest([('returned', count(*) FILTER (l_returnflag = 'R' AND month(l_shipdate) <= 6) * 1.0 / nullif(count(*) FILTER (month(l_shipdate) <= 6), 0), count(*) FILTER (l_returnflag = 'R' AND month(l_shipdate) > 6) * 1.0 / nullif(count(*) FILTER (month(l_shipdate) > 6), 0)),
+    ('quantity', avg(l_quantity) FILTER (month(l_shipdate) <= 6), avg(l_quantity) FILTER (month(l_shipdate) > 6))]) AS m, least(count(*) FILTER (month(l_shipdate) <= 6), count(*) FILTER (month(l_shipdate) > 6)) AS weight FROM lineitem GROUP BY l_suppkey),
+halves AS (SELECT id, grp, m[1] AS metric, m[2] AS a, m[3] AS b, weight FROM h)"""
+
+
+def halves(spark, sf_dir):
+    """Suppliers' rates in the first and the second half-years."""
+    li = ad.table(spark, sf_dir, "lineitem")
+    early = F.month("l_shipdate") <= 6
+    n = lambda c: F.count(F.when(c, 1))
+    r, some = F.col("l_returnflag") == "R", [early, ~early]
+    g = li.groupBy(F.col("l_suppkey").alias("id")).agg(*[(n(r & c) / F.nullif(n(c), F.lit(0))).alias(f"r{i}") for i, c in enumerate(some)], *[F.avg(F.when(c, F.col("l_quantity"))).alias(f"q{i}") for i, c in enumerate(some)], F.least(*[n(c) for c in some]).alias("weight"))
+    m = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"{k}0").alias("a"), F.col(f"{k}1").alias("b")) for name, k in (("returned", "r"), ("quantity", "q"))])).alias("m")
+    return g.select("id", (F.col("id") % 3).alias("grp"), m, "weight").select("id", "grp", "m.*", "weight")
+
+
+@query(f"""WITH {HALF_SQL}, t AS (SELECT unnest([100, 400]) AS threshold), x AS (SELECT threshold, h.* FROM halves h, t WHERE weight >= threshold / 2 AND a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT threshold, metric, CASE WHEN stddev_pop(a) OVER w > 0 THEN (a - avg(a) OVER w) / stddev_pop(a) OVER w ELSE 0 END AS a, CASE WHEN stddev_pop(b) OVER w > 0 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0 END AS b, count(*) OVER w AS k FROM x WINDOW w AS (PARTITION BY threshold, grp, metric))
+SELECT threshold, metric, count(*) AS n, round(corr(a, b), 4) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 4) AS reliability FROM z WHERE k >= 3 GROUP BY ALL""")
+def a28_split_half(spark, sf_dir):
+    """How well one half of the year tells the other, by least number of lines."""
+    h = halves(spark, sf_dir)
+    parts = [evaluation.split_half(h, ["id"], "grp", "metric", "a", "b", "weight", t).withColumn("threshold", F.lit(t)) for t in (100, 400)]
+    return parts[0].union(parts[1]).select("threshold", "metric", "n", *R4("r", "reliability"))
+
+
+@query(f"""WITH {HALF_SQL}, r AS (SELECT metric, floor(count(*) OVER (PARTITION BY metric) / 3) AS k, row_number() OVER (PARTITION BY metric ORDER BY a, id) AS x, row_number() OVER (PARTITION BY metric ORDER BY b, id) AS y FROM halves)
+SELECT metric, count(*) AS n, round(count(*) FILTER (x <= k AND y <= k) / greatest(1, max(k)), 4) AS kept FROM r GROUP BY 1""")
+def a28_bottom_kept(spark, sf_dir):
+    """Of the bottom third in one half of the year, the share that stays there in the other."""
+    return evaluation.bottom_kept(halves(spark, sf_dir), ["metric"], "id", "a", "b").select("metric", "n", F.round("kept", 4).alias("kept"))
+
+
 @query(f"""WITH {LABEL_SQL}, r AS (SELECT actual, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS k FROM x)
 SELECT round((sum(k) FILTER (actual) - count(*) FILTER (actual) * (count(*) FILTER (actual) + 1) / 2.0) / (count(*) FILTER (actual) * count(*) FILTER (NOT actual)), 6) AS auc FROM r""")
 def a26_auc(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.match import clock_seconds, epoch_day, in_first_half, named, season_of_text, stamp_minute
 from ..functions.people import name_tokens
-from ..operators import evaluation, people, temporal
+from ..operators import evaluation, models, people, temporal
 from . import adapters as ad
 from .forecasts import NEAR_SQL, vectors
 from .growth import BLOOMER_SQL, FEATURES_SQL, LATEST_SQL, cards, features, reference_date, z_summary
@@ -109,16 +109,14 @@ def x3_comparison(spark, sf_dir):
     return people.comparison(l, [1, 2, 3], "player_id", "metric", "value", 1.5).withColumn("spread", F.round("spread", 4))
 
 
-@query(f"""WITH {NEAR_SQL}, d AS (SELECT a.player_id, b.player_id AS other, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS distance FROM v a JOIN v b ON a.grp = b.grp AND a.player_id <> b.player_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY distance, other) AS k FROM d), t AS (SELECT k FROM r WHERE other = player_id + 3) SELECT count(*) AS n, median(k) AS median_rank, round(avg(CAST(k <= 1 AS DOUBLE)), 4) AS top_1, round(avg(CAST(k <= 5 AS DOUBLE)), 4) AS top_5, round(avg(1.0 / k), 4) AS mrr FROM t""")
+@query(f"""WITH {NEAR_SQL}, d AS (SELECT a.player_id, a.grp, b.player_id AS other, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS distance FROM v a JOIN v b ON a.grp = b.grp AND a.player_id <> b.player_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY distance, other) AS k, count(*) OVER (PARTITION BY player_id) AS others FROM d), t AS (SELECT k, others FROM r WHERE other = player_id + 3)
+SELECT count(*) AS n, median(k) AS median_rank, round(avg(CAST(k <= 1 AS DOUBLE)), 4) AS top_1, round(avg(CAST(k <= 5 AS DOUBLE)), 4) AS top_5, round(avg(CAST(k <= 10 AS DOUBLE)), 4) AS top_10, round(avg(1.0 / k), 4) AS mrr, round(avg(least(1.0, 5.0 / others)), 4) AS random_5 FROM t""")
 def a31_retrieval_scores(spark, sf_dir):
     """How near a player's twin (three ids on) is found among the players of the group."""
-    v = vectors(spark, sf_dir)
-    o = v.select("grp", F.col("player_id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("goals", "npxg", "passes")])
-    sq = lambda c: (F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}"))
-    d = v.join(o, "grp").where("player_id <> other").withColumn("distance", sq("goals") + sq("npxg") + sq("passes")).withColumn("twin", F.col("player_id") + 3)
-    r = people.retrieval(d, "player_id", "other", "twin", "distance")
-    return r.select("n", "median_rank", *[F.round(c, 4).alias(c) for c in ("top_1", "top_5", "mrr")])
+    v = vectors(spark, sf_dir).withColumn("twin", F.col("player_id") + 3)
+    r = people.retrieval(models.twin_ranks(v, ["grp"], "player_id", "twin", ["goals", "npxg", "passes"]))
+    return r.select("n", "median_rank", *[F.round(c, 4).alias(c) for c in ("top_1", "top_5", "top_10", "mrr", "random_5")])
 
 
 @query(f"""WITH {BLOOMER_SQL}, {ad.RECORDS}, pop AS (SELECT player_id FROM players WHERE player_id % 7 <> 0), x AS (SELECT p.player_id, b.player_id IS NOT NULL AS predicted, p.player_id % 9 = 0 AS actual FROM pop p LEFT JOIN bloomers b USING (player_id))

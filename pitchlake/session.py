@@ -21,9 +21,11 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The checkpoint folder ``spark.checkpoint.dir``; a temporary one on a single machine only."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pitchlake-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
