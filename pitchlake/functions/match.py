@@ -64,6 +64,37 @@ def goal_angle(x: Column, y: Column, goal_x: float = 120.0, goal_y: float = 40.0
     return F.abs(F.atan2(F.lit(goal_y + half) - y, ahead) - F.atan2(F.lit(goal_y - half) - y, ahead))
 
 
+def in_triangle(x: Column, y: Column, corners: list[tuple[Column, Column]]) -> Column:
+    """Whether a place lies in a triangle, its sides included."""
+    side = lambda p, q: (x - q[0]) * (p[1] - q[1]) - (p[0] - q[0]) * (y - q[1])
+    d = [side(corners[i], corners[(i + 1) % 3]) for i in range(3)]
+    return ~((F.least(*d) < 0) & (F.greatest(*d) > 0))
+
+
+def shot_geometry(x: Column, y: Column, frame: Column) -> Column:
+    """Distance, goal angle, players and defenders between ball and posts, the keeper's and the
+    nearest defender's distance, from the places of the others (x, y, teammate, keeper).
+
+    Without a keeper or defender in the frame they count as far away: 120, 120, 40 and 60.
+    """
+    corners = [(x, y), (F.lit(120.0), F.lit(36.0)), (F.lit(120.0), F.lit(44.0))]
+    far = lambda f: F.hypot(f["x"] - x, f["y"] - y)
+    keepers = F.filter(frame, lambda f: ~f["teammate"] & f["keeper"])
+    keeper = F.get(keepers, F.lit(0))
+    cone = F.filter(frame, lambda f: in_triangle(f["x"], f["y"], corners))
+    outfield = F.filter(frame, lambda f: ~f["teammate"] & ~f["keeper"])
+    return F.struct(
+        goal_distance(x, y).alias("distance"),
+        goal_angle(x, y).alias("angle"),
+        F.size(cone).alias("players_in_cone"),
+        F.size(F.filter(cone, lambda f: ~f["teammate"] & ~f["keeper"])).alias("defenders_in_cone"),
+        F.coalesce(far(keeper), F.lit(120.0)).alias("keeper_to_shooter"),
+        F.coalesce(120.0 - keeper["x"], F.lit(120.0)).alias("keeper_off_line"),
+        F.coalesce(F.abs(keeper["y"] - 40.0), F.lit(40.0)).alias("keeper_off_centre"),
+        F.coalesce(F.array_min(F.transform(outfield, far)), F.lit(60.0)).alias("nearest_defender"),
+    )
+
+
 def set_chance(p: Column, points: int = 11) -> Column:
     """Chance to win a set to ``points`` by two from the chance to win a point."""
     q = 1 - p

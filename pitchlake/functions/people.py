@@ -76,6 +76,37 @@ def token_containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+def exact_form(name: Column) -> Column:
+    """A name for exact comparison: lower case, single spaces, none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+
+#: What a level of agreement says to a reviewer, in the order of a listing.
+EVIDENCE = {
+    ("name", "same"): "All words of both names match",
+    ("name", "contained"): "Every word of the shorter name is in the other",
+    ("name", "close"): "Half of the words or more match",
+    ("name", "none"): "The names have no word in common",
+    ("given", "same"): "Same given name",
+    ("given", "differ"): "Different given names",
+    ("dob", "exact"): "Same date of birth",
+    ("dob", "transposed"): "Day and month of birth swapped",
+    ("dob", "near"): "Born within a week of each other",
+    ("dob", "none"): "Dates of birth disagree",
+    ("dob", "unknown"): "A date of birth is missing",
+    ("sport", "same"): "Same sport",
+    ("sport", "differ"): "Different sports",
+    ("club", "same"): "Registered at the same club",
+    ("club", "differ"): "Registered at different clubs",
+}
+
+
+def evidence(levels: dict[str, Column]) -> Column:
+    """The sentences for a pair's levels, in order; levels that say nothing are left out."""
+    said = [F.when(levels[f] == level, text) for (f, level), text in EVIDENCE.items() if f in levels]
+    return F.array_compact(F.array(*said))
+
+
 def age_range(text: Column) -> Column:
     """(least, most) age of an English or Arabic phrase such as 'u17', '14 to 16', 'over 15'."""
     t = F.lower(text)

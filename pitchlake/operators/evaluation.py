@@ -164,6 +164,41 @@ def bottom_kept(df: DataFrame, groups: Sequence[str], key: str, first: str, seco
     return r.groupBy(*groups).agg((both / F.greatest(F.lit(1), F.max("_third"))).alias("kept"), F.count("*").alias("n"))
 
 
+def neighbour_quality(near: DataFrame, rows: DataFrame, groups: Sequence[str], key: str, role: str, level: str, k: int) -> DataFrame:
+    """(key, same_role, chance, gap, random_gap): how alike a row's neighbours are.
+
+    near: (key, other); rows: (groups, key, role, level). The share of neighbours of one's role
+    and that of the group's others; the mean difference of level from the neighbours and from
+    all others. The latter comes from sums over distinct levels, not from pairs.
+    """
+    o = rows.select(F.col(key).alias("other"), F.col(role).alias("_role"), F.col(level).alias("_level"))
+    own = near.select(key, "other").join(rows.select(*groups, key, role, level), key).join(o, "other")
+    found = own.groupBy(*groups, key).agg(F.avg((F.col(role) == F.col("_role")).cast("double")).alias("same_role"), F.avg(F.abs(F.col(level) - F.col("_level"))).alias("gap"), F.count("*").alias("_k")).where(F.col("_k") >= k)
+    n = rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.sum(level).alias("_sum"))
+    same = rows.groupBy(*groups, role).agg(F.count("*").alias("_same"))
+    w = Window.partitionBy(*groups).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)  # of distinct levels
+    d = rows.groupBy(*groups, level).agg(F.count("*").alias("_m"))
+    d = d.select(*groups, level, "_m", F.coalesce(F.sum("_m").over(w), F.lit(0)).alias("_below"), F.coalesce(F.sum(F.col(level) * F.col("_m")).over(w), F.lit(0)).alias("_below_sum"))
+    x = rows.join(n, list(groups)).join(same, [*groups, role]).join(d, [*groups, level])
+    a = F.col(level)
+    above, above_sum = F.col("_n") - F.col("_below") - F.col("_m"), F.col("_sum") - F.col("_below_sum") - a * F.col("_m")
+    total = a * F.col("_below") - F.col("_below_sum") + above_sum - a * above
+    others = F.nullif(F.col("_n") - 1, F.lit(0))
+    pool = x.select(*groups, key, ((F.col("_same") - 1) / others).alias("chance"), (total / others).alias("random_gap"))
+    return found.drop("_k").join(pool, [*groups, key])
+
+
+def thirds_agreement(df: DataFrame, groups: Sequence[str], key: str, verdict: str, truth: str) -> DataFrame:
+    """(verdict, n, hits): of 'Shortlist' those in the top third of truth of their group, of
+    'Not now' those in the bottom third; ties with the third's edge count."""
+    w = Window.partitionBy(*groups)
+    r = df.withColumn("_third", F.floor(F.count("*").over(w) / 3)).withColumn("_r", F.row_number().over(w.orderBy(truth, key))).withColumn("_d", F.row_number().over(w.orderBy(F.desc(truth), key)))
+    edges = r.groupBy(*groups).agg(F.max(F.when(F.col("_r") == F.col("_third"), F.col(truth))).alias("_low"), F.max(F.when(F.col("_d") == F.col("_third"), F.col(truth))).alias("_high"))
+    x = r.join(edges, list(groups))
+    hit = ((F.col(verdict) == "Shortlist") & (F.col(truth) >= F.col("_high"))) | ((F.col(verdict) == "Not now") & (F.col(truth) <= F.col("_low")))
+    return x.groupBy(verdict).agg(F.count("*").alias("n"), F.count(F.when(hit, 1)).alias("hits"))
+
+
 def poisson_deviance(y: Column, mean: Column) -> Column:
     """Deviance of a count against its mean; a count of 0 has no logarithm."""
     return 2 * (F.when(y > 0, y * F.ln(y / mean)).otherwise(0.0) - (y - mean))

@@ -144,37 +144,38 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError("the components have not settled")
 
 
-def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, most: int = 100_000) -> DataFrame:
+def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, rounds: int = 200) -> DataFrame:
     """(id, group): strongest link first, refusing joins that bring conflicting records together.
 
-    ``scored``: (a, b, probability, conflict). Components are independent, so each is one task's
-    group; one of over ``most`` records is an error, not a guess.
+    ``scored``: (a, b, probability, conflict). A group's strongest link that is also the other
+    group's strongest is joined, as taking all links in order would do; links between groups
+    that hold a conflicting pair are given up. Rounds of joins and aggregates until no link is
+    left, so no group of records is ever in one task.
     """
-    good = scored.where((F.col("probability") >= least) & ~F.col(conflict))
-    comp = cut(components(good.select("a", "b")))
-    large = comp.groupBy("component").count().where(F.col("count") > most).limit(1).count()
-    if large:
-        raise ValueError("a component is too large to be one person's records")
-    rows = scored.join(comp.withColumnRenamed("id", "a"), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("_c")), "b").where("component = _c")
-    kind = dict(comp.dtypes)["id"]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        group, members = {}, {}
-        for i in sorted(set(g["a"]) | set(g["b"])):
-            group[i], members[i] = i, {i}
-        bad = {(a, b) for a, b, c in zip(g["a"], g["b"], g[conflict]) if c}
-        links = g[(g["probability"] >= least) & ~g[conflict]].sort_values(["probability", "a", "b"], ascending=[False, True, True])
-        for a, b in zip(links["a"], links["b"]):
-            x, y = group[a], group[b]
-            if x == y or any((min(i, j), max(i, j)) in bad for i in members[x] for j in members[y]):
-                continue
-            keep, gone = min(x, y), max(x, y)
-            members[keep] |= members.pop(gone)
-            for i in members[keep]:
-                group[i] = keep
-        return pd.DataFrame({"id": list(group), "group": list(group.values())})
-
-    return rows.groupBy("component").applyInPandas(run, f"id {kind}, group {kind}")
+    pairs = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "probability", F.col(conflict).alias("conflict"))
+    bad = cut(pairs.where("conflict").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+    links = cut(pairs.where((F.col("probability") >= least) & ~F.col("conflict")).select("a", "b", "probability", F.col("a").alias("x"), F.col("b").alias("y")))
+    groups = cut(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("group", F.col("id")))
+    for _ in range(rounds):
+        live = links.join(bad.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), ["x", "y"], "left_anti")
+        order = F.struct((-F.col("probability")).alias("p"), "a", "b")
+        sides = live.select("x", "y", order.alias("o"))
+        best = sides.union(sides.select("y", "x", "o")).groupBy("x").agg(F.min(F.struct("o", "y")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.o").alias("o"))
+        other = best.select(F.col("x").alias("y"), F.col("y").alias("x"), F.col("o").alias("o2"))
+        joined = cut(best.join(other, ["x", "y"]).where("x < y and o = o2").select(F.col("y").alias("gone"), F.col("x").alias("kept")))
+        if not joined.limit(1).count():
+            return groups
+
+        def moved(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+            for c in columns:
+                df = df.join(joined.withColumnRenamed("gone", c), c, "left").withColumn(c, F.coalesce("kept", c)).drop("kept")
+            return df
+
+        groups = cut(moved(groups, ["group"]).select("id", "group"))
+        bad = cut(moved(bad, ["x", "y"]).select("x", "y").distinct())
+        live = moved(live, ["x", "y"]).where("x <> y")
+        links = cut(live.select("a", "b", "probability", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    raise RuntimeError("the groups have not settled")
 
 
 def pairwise_scores(found: DataFrame, true: DataFrame, key: str, cluster: str) -> DataFrame:

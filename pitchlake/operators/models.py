@@ -15,10 +15,18 @@ from ..functions.numbers import gamma_quantile, negative_binomial_quantile, pois
 from ..session import cut
 
 
-def curve(df: DataFrame, groups: Sequence[str], age: str, value: str, floor: float, least: int = 5) -> DataFrame:
-    """Points of a curve by half-year of age: (groups, at, median, sd, next_at, next_median, next_sd)."""
-    at = F.bround(F.col(age) / 0.5, 0) * 0.5
-    p = df.groupBy(*groups, at.alias("at")).agg(F.median(value).alias("median"), F.greatest(F.stddev_pop(value), F.lit(floor)).alias("sd"), F.count("*").alias("n")).where(F.col("n") >= least)
+def curve(df: DataFrame, groups: Sequence[str], age: str, value: str, floor: float, least: int = 5, around: int = 0) -> DataFrame:
+    """Points of a curve by half-year of age: (groups, at, median, sd, next_at, next_median, next_sd).
+
+    ``around`` neighbouring half-years on either side are pooled into each that occurs itself.
+    """
+    rows = df.select(*groups, F.col(value).alias("_v"), (F.bround(F.col(age) / 0.5, 0) * 0.5).alias("at"))
+    if around:
+        own = rows.select(*groups, "at").distinct()
+        near = F.explode(F.array(*[F.col("at") + 0.5 * d for d in range(-around, around + 1)]))
+        rows = rows.select(*groups, "_v", near.alias("at")).join(own, [*groups, "at"], "left_semi")
+    value = "_v"
+    p = rows.groupBy(*groups, "at").agg(F.median(value).alias("median"), F.greatest(F.stddev_pop(value), F.lit(floor)).alias("sd"), F.count("*").alias("n")).where(F.col("n") >= least)
     w = Window.partitionBy(*groups).orderBy("at")
     return p.select(*groups, "at", "median", "sd", F.lead("at").over(w).alias("next_at"), F.lead("median").over(w).alias("next_median"), F.lead("sd").over(w).alias("next_sd"), (F.row_number().over(w) == 1).alias("first"))
 
@@ -62,6 +70,98 @@ def walk_forward(readings: DataFrame, origins: DataFrame, player: str, date: str
     return j.select("origin", player, F.col("l.d").alias("last_date"), F.col("l.v").alias("last"), "target_date", "target")
 
 
+def growth_between(rows: DataFrame, points: DataFrame, groups: Sequence[str], start: str, end: str, out: str, step: float = 0.05) -> DataFrame:
+    """``rows`` with the growth that a curve of velocities gives between two ages.
+
+    Midpoint sums over steps of ``step`` years; velocities below 0 count as none. Each distinct
+    (groups, start, end) is summed once.
+    """
+    keys = [*groups, start, end]
+    span = F.col(end) - F.col(start)
+    n = F.greatest(F.lit(1), F.floor(F.abs(span) / step)).cast("int")
+    mids = rows.select(*keys).where(span.isNotNull()).distinct().withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
+    mids = mids.withColumn("_width", span / F.col("_n")).withColumn("_mid", F.col(start) + (F.col("_i") + 0.5) * F.col("_width"))
+    total = F.sum(F.greatest(F.coalesce("_rate", F.lit(0.0)), F.lit(0.0)) * F.col("_width"))
+    sums = on_curve(mids, points, groups, "_mid", "_rate").groupBy(*keys).agg(total.alias(out))
+    return rows.join(sums, keys, "left")
+
+
+def height_forecasts(readings: DataFrame, velocities: DataFrame, cases: DataFrame, player: str = "player_id", recent: int = 3) -> DataFrame:
+    """``cases`` with ``last_value``, ``population``, ``cohort_velocity`` and ``centile``.
+
+    readings: (player, sex, date_of_birth, measured_at, age, value); velocities: (player, sex,
+    end, age, velocity); cases: (origin, player, sex, date_of_birth, last_date, last, target_date,
+    target). Each origin learns its curves from what ended by then. The population's median at the
+    target's age; the last value and the median growth from then on; the median at the target's
+    age and as many spreads as the ``recent`` last readings lay off it on average.
+    """
+    origins = F.broadcast(cases.select("origin").distinct())
+    known = readings.join(origins, F.col("measured_at") <= F.col("origin"))
+    heights = cut(curve(known, ["origin", "sex"], "age", "value", 1.0, around=1))
+    rates = cut(curve(velocities.join(origins, F.col("end") <= F.col("origin")), ["origin", "sex"], "age", "velocity", 0.2, around=1))
+    years = lambda c: F.datediff(c, "date_of_birth") / 365.25
+    rows = cases.withColumn("_last_age", years("last_date")).withColumn("_age", years("target_date"))
+    rows = on_curve(rows, heights, ["origin", "sex"], "_age", "population", "_spread")
+    rows = growth_between(rows, rates, ["origin", "sex"], "_last_age", "_age", "_growth")
+    w = Window.partitionBy("origin", player).orderBy(F.desc("measured_at"), F.desc("value"))
+    latest = known.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= recent)
+    z = on_curve(latest, heights, ["origin", "sex"], "age", "_m", "_s").groupBy("origin", player).agg(F.avg((F.col("value") - F.col("_m")) / F.col("_s")).alias("_z"))
+    rows = rows.join(z, ["origin", player], "left").withColumn("last_value", F.col("last"))
+    rows = rows.withColumn("cohort_velocity", F.col("last") + F.coalesce("_growth", F.lit(0.0))).withColumn("centile", F.col("population") + F.col("_z") * F.col("_spread"))
+    return rows.drop("_last_age", "_age", "_spread", "_growth", "_z")
+
+
+def serving_forecasts(players: DataFrame, errors: DataFrame, horizons: Sequence[int] = (91, 182, 365), stale: int = 365, readings: int = 2) -> DataFrame:
+    """(player_id, days, centre, lower, upper, reason): a forecast with its band, or why there is none.
+
+    players: (player_id, group, sex, consent, n, stale_days) and a column ``at_<days>`` for each
+    horizon; errors: (group, sex, band, low, high) of forecasts that came true. Without consent,
+    date of birth or sex, two readings, a reading within a year or a band for the nearest horizon
+    there is a reason; later horizons without a band are left out, and those after them.
+    """
+    reason = (
+        F.when(~F.coalesce("consent", F.lit(False)), "no consent")
+        .when(F.col("group").isNull() | F.col("sex").isNull(), "no birth date or sex")
+        .when(F.coalesce("n", F.lit(0)) < readings, "too few readings")
+        .when(F.col("stale_days") > stale, "last reading too old")
+    )
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(d).alias("days"), F.col(f"at_{d}").alias("centre")) for i, d in enumerate(horizons)]))
+    rows = players.withColumn("reason", reason).withColumn("_p", points).withColumn("band", horizon_band(F.col("_p.days")))
+    rows = rows.join(errors, ["group", "sex", "band"], "left")
+    gap = F.min(F.when(F.col("low").isNull() | F.col("_p.centre").isNull(), F.col("_p.k"))).over(Window.partitionBy("player_id"))
+    rows = rows.withColumn("_gap", F.coalesce(gap, F.lit(len(horizons)))).withColumn("reason", F.coalesce("reason", F.when(F.col("_gap") == 0, "no band yet")))
+    shown = rows.where((F.col("reason").isNotNull() & (F.col("_p.k") == 0)) | (F.col("reason").isNull() & (F.col("_p.k") < F.col("_gap"))))
+    some = lambda c, name: F.when(F.col("reason").isNull(), c).alias(name)
+    centre = F.col("_p.centre")
+    return shown.select("player_id", some(F.col("_p.days"), "days"), some(centre, "centre"), some(centre + F.col("low"), "lower"), some(centre + F.col("high"), "upper"), "reason")
+
+
+def joint_curve(readings: DataFrame, group: str, player: str, age: str, value: str, rounds: int = 15, settled: float = 0.05, least: int = 5) -> DataFrame:
+    """(group, at, median, ..): a curve fitted together with each player's shift and size.
+
+    Shifts and sizes are fitted to the curve; readings are laid on it by them, less their mean
+    over the group; each half-year's knot takes the median of what lies within half a year of it
+    (of ``least`` or more), and the curve never falls. Until no knot moves by ``settled``.
+    """
+    points = cut(curve(readings, [group], age, value, 1.0))
+    for _ in range(rounds):
+        fits = timing_shift(readings, points, group, player, age, value).join(readings.select(player, group).distinct(), player)
+        means = fits.groupBy(group).agg(F.avg("shift").alias("_shift"), F.avg("size").alias("_size"))
+        laid = readings.join(fits.drop(group), player).join(means, group)
+        laid = laid.select(group, (F.col(age) + F.col("shift") - F.col("_shift")).alias("_a"), (F.col(value) - F.col("size") + F.col("_size")).alias("_v"))
+        at = F.explode(F.array(*[(F.floor(F.col("_a") * 2) + d) / 2 for d in (-1, 0, 1, 2)]))
+        near = laid.withColumn("at", at).where(F.abs(F.col("_a") - F.col("at")) <= 0.5)
+        knots = near.groupBy(group, "at").agg(F.median("_v").alias("_m"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+        w = Window.partitionBy(group).orderBy("at")
+        new = points.join(knots, [group, "at"], "left").withColumn("_new", F.max(F.coalesce("_m", "median")).over(w))
+        new = cut(new.select(group, "at", F.col("_new").alias("median"), "sd", "next_at", F.lead("_new").over(w).alias("next_median"), "next_sd", "first", F.abs(F.col("_new") - F.col("median")).alias("_moved")))
+        moved = new.agg(F.max("_moved")).first()[0]
+        points = new.drop("_moved")
+        if moved is None or moved < settled:
+            break
+    return points
+
+
 def horizon_band(days: Column) -> Column:
     return F.when(days <= 91, "0-91").when(days <= 182, "92-182").otherwise("183-365")
 

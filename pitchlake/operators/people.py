@@ -35,10 +35,48 @@ def visible(players: DataFrame, scope: str, own: DataFrame | None, key: str, mer
     return kept if scope == "all" else kept.join(own.select(key).distinct(), key, "left_semi")
 
 
+def lowest(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """The ``n`` rows of the least value, ties by key: the baseline of those who look smallest."""
+    return df.where(F.col(value).isNotNull()).orderBy(value, key).limit(n).select(key)
+
+
+def pointed_at(df: DataFrame, key: str, pointer: str) -> DataFrame:
+    """Rows with a pointer and the rows they point to: a control that reads the answer."""
+    return df.where(F.col(pointer).isNotNull()).select(F.explode(F.array(key, pointer)).alias(key)).distinct().join(df.select(key), key, "left_semi")
+
+
+def loosened(features: DataFrame, key: str, nets: Sequence[Column]) -> DataFrame:
+    """(level, key): whom each level of a rule raises, level 0 being the rule itself."""
+    levels = F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(i)) for i, rule in enumerate(nets)])
+    return features.select(key, F.explode(F.array_compact(levels)).alias("level")).select("level", key)
+
+
+def taught_filter(decided: DataFrame, rows: DataFrame, features: Sequence[str], verdict: str, keep_at: float = 0.5) -> DataFrame:
+    """``rows`` that reviewers would rather confirm than dismiss, with the ``chance``.
+
+    A logistic regression of their verdicts on features, each with a mark of whether it is
+    missing. Verdicts that all went one way are followed as they are; without any all rows stay.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    def with_vector(df: DataFrame) -> DataFrame:
+        full = df.withColumns({f"_v_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features} | {f"_m_{c}": F.col(c).isNull().cast("double") for c in features})
+        return VectorAssembler(inputCols=[f"_v_{c}" for c in features] + [f"_m_{c}" for c in features], outputCol="_v").transform(full)
+
+    counts = {r["v"]: r["count"] for r in decided.groupBy(F.col(verdict).alias("v")).count().collect()}  # two rows
+    if len(counts) < 2:
+        return rows.withColumn("chance", F.lit(float(next(iter(counts), True)))).where(F.col("chance") >= keep_at)
+    fitted = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1.0 / sum(counts.values()), maxIter=100).fit(with_vector(decided.withColumn("_y", F.col(verdict).cast("double"))))
+    scored = fitted.transform(with_vector(rows)).withColumn("chance", vector_to_array("probability")[1])
+    return scored.where(F.col("chance") >= keep_at).select(*rows.columns, "chance")
+
+
 def random_flags(population: DataFrame, key: str, share: float, seed: int = 1) -> DataFrame:
     """A share of the population by a hash of the key: the same rows on every run."""
-    limit = int(share * (1 << 30))
-    return population.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < limit).select(key)
+    first = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 7), 16, 10).cast("long")
+    return population.where(first < int(share * (1 << 28))).select(key)
 
 
 def exact_name_pairs(records: DataFrame, key: str, name: str) -> DataFrame:

@@ -61,6 +61,36 @@ def breakout(df: DataFrame, score: str, age: str, minutes: str, members: str, ba
     )
 
 
+def rate_breakout(df: DataFrame, age: str, minutes: str, rate: Column, before_minutes: str, before_rate: Column, bar: float = 0.15, weight: float = 0.1, full: float = 34 * 90.0) -> Column:
+    """The first version: log change of the bare rate and a tenth of the rise in playing time."""
+    change = F.when(F.col(before_minutes) >= 270, F.ln((rate + 0.05) / (before_rate + 0.05))).otherwise(0.0)
+    rise = (F.col(minutes) - F.coalesce(before_minutes, F.lit(0))) / full
+    return F.coalesce((F.col(age) >= 18) & (F.col(age) < 24) & (F.col(minutes) >= 270) & (change + weight * rise >= bar), F.lit(False))
+
+
+def minutes_breakout(age: Column, minutes: Column, before: Column, bar: float, full: float = 34 * 90.0) -> Column:
+    """The baseline: a young player's share of a full season rose by ``bar``."""
+    return F.coalesce((age >= 18) & (age < 24) & ((minutes - F.coalesce(before, F.lit(0))) / full >= bar), F.lit(False))
+
+
+def gap_value(plus: Sequence[str], minus: Sequence[str] = (), over: Sequence[str] = (), minutes: str | None = None) -> Column:
+    """A sum of fields less others, per 90 minutes or over other fields; null if any is missing."""
+    top = sum((F.col(c) for c in plus), F.lit(0.0)) - sum((F.col(c) for c in minus), F.lit(0.0))
+    if minutes:
+        return 90.0 * top / F.nullif(F.col(minutes), F.lit(0))
+    return top / F.nullif(sum((F.col(c) for c in over), F.lit(0.0)), F.lit(0.0)) if over else top
+
+
+def shown_value(raw: Column, kind: str, floor: float = 0.05) -> Column:
+    """A profile's value as it is shown: a log rate as the rate again, a share in per cent."""
+    return F.exp(raw) - floor if kind == "rate" else 100.0 * raw if kind == "percent" else raw
+
+
+def recommendation(grade_: Column, confidence: Column) -> Column:
+    """Shortlist for an A or B that is no mere guess, Not now for a D, else Monitor."""
+    return F.when(grade_.isin("A", "B") & (confidence != "low"), "Shortlist").when(grade_ == "D", "Not now").otherwise("Monitor")
+
+
 def candidates(players: DataFrame, group: Sequence[str], player: str, attributes: Sequence[str], minutes: str, top: int) -> DataFrame:
     """The first ``top`` of each group by the mean of their percentiles among the others."""
     long = melt(players, [*group, player, minutes], attributes)

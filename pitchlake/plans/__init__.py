@@ -1,7 +1,7 @@
 """The registered queries: operators on adapters of the given tables, with their SQL."""
 
-from . import feeds, forecasts, growth, league, records, results
+from . import evaluations, feeds, forecasts, growth, league, records, results
 
-_PARTS = (growth, league, results, forecasts, records, feeds)
+_PARTS = (growth, league, results, forecasts, records, feeds, evaluations)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

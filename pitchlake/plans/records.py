@@ -10,7 +10,7 @@ from ..functions.people import name_tokens
 from ..operators import evaluation, models, people, temporal
 from . import adapters as ad
 from .forecasts import NEAR_SQL, vectors
-from .growth import BLOOMER_SQL, FEATURES_SQL, LATEST_SQL, cards, features, reference_date, z_summary
+from .growth import BLOOMER_SQL, FEATURES_SQL, LATEST_SQL, Z_SQL, cards, features, reference_date, z_summary
 from .league import FLAG_SQL, flag_rows
 
 QUERIES, ORACLE = {}, {}
@@ -71,7 +71,7 @@ def d7_exact_names(spark, sf_dir):
     return people.exact_name_pairs(ad.records(spark, sf_dir), "record_id", "name")
 
 
-@query()
+@query(f"""WITH {ad.PLAYERS} SELECT player_id FROM players WHERE CAST('0x' || left(md5('1:' || player_id), 7) AS BIGINT) < {int(0.1 * (1 << 28))}""")
 def d7_random_baseline(spark, sf_dir):
     """A tenth of the players at random, the same on every run."""
     return people.random_flags(ad.players(spark, sf_dir), "player_id", 0.1)
@@ -133,7 +133,9 @@ def a37_subtype_scores(spark, sf_dir):
 
 
 
-@query()
+@query(f"""WITH {LATEST_SQL}, {Z_SQL.removeprefix(ad.READINGS).lstrip(', ').lstrip()}, d AS (SELECT max(measured_at) AS ref FROM readings), c AS (SELECT c.*, last_z, CAST(ref - measured_at AS INTEGER) AS stale FROM cards c LEFT JOIN zs USING (player_id), d),
+w AS (SELECT *, round(CASE WHEN age BETWEEN 11 AND 16 THEN 1.0 WHEN age BETWEEN 9 AND 18 THEN 0.5 ELSE 0.1 END::DOUBLE * (1 + abs(coalesce(last_z, 0))) * least(stale / 90.0::DOUBLE, 3.0) * CASE WHEN n < 3 THEN 1.5 ELSE 1.0 END, 6) AS worth FROM c)
+SELECT tier, place, player_id, worth FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY CAST(stale > 365 AS INT) DESC, worth DESC, player_id) AS place FROM w) WHERE place <= 10""")
 def t6_measuring_plan(spark, sf_dir):
     """Ten players of each squad whom it is worth most to measure; overdue ones first."""
     on = reference_date(ad.readings(spark, sf_dir))
