@@ -14,7 +14,7 @@ from .common import cut, lookup, shard_count, text_of
 ORDER = 4  # characters of the longest n-grams
 MOST_BROADCAST = 2_000_000  # n-grams of a model that goes to all tasks; a larger one is joined in shards
 MOST_GRAMS = 1 << 20  # different n-grams that a task counts before it passes them on
-BLOCK = 1 << 19  # characters that a task works on at a time
+BLOCK = 1 << 18  # characters that a task works on at a time
 PAD = "\x02"  # stands before each text
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -185,6 +185,7 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.order, self.rows = state["order"], state["rows"]
         self.fill()
+        self.rows = ()  # a task needs the slots alone
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of each character's probability after those before it."""
@@ -255,7 +256,8 @@ def with_perplexity(docs: DataFrame, table: DataFrame, text: str, order: int = O
                 p = pd.Series(shared.value.perplexities(texts))
                 yield p.where(p.notna(), None)
 
-        return docs.withColumn("_p", F.when(F.length(text_of(text)) > 0, scored(text_of(text))))
+        once = scored.asNondeterministic()  # else a filter on the verdict works it out a second time
+        return docs.withColumn("_p", F.when(F.length(text_of(text)) > 0, once(text_of(text))))
 
     def needed(key, g: pd.DataFrame) -> pd.DataFrame:
         out = [(0, _keys(np.zeros(1, dtype=np.uint64)))]
