@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import gamma_quantile, negative_binomial_quantile, poisson_quantile
-from ..session import cut
+from ..session import cut, written
 
 
 def curve(df: DataFrame, groups: Sequence[str], age: str, value: str, floor: float, least: int = 5, around: int = 0) -> DataFrame:
@@ -143,7 +143,7 @@ def joint_curve(readings: DataFrame, group: str, player: str, age: str, value: s
     over the group; each half-year's knot takes the median of what lies within half a year of it
     (of ``least`` or more), and the curve never falls. Until no knot moves by ``settled``.
     """
-    points = cut(curve(readings, [group], age, value, 1.0))
+    points = written(curve(readings, [group], age, value, 1.0))
     for _ in range(rounds):
         fits = timing_shift(readings, points, group, player, age, value).join(readings.select(player, group).distinct(), player)
         means = fits.groupBy(group).agg(F.avg("shift").alias("_shift"), F.avg("size").alias("_size"))
@@ -154,7 +154,7 @@ def joint_curve(readings: DataFrame, group: str, player: str, age: str, value: s
         knots = near.groupBy(group, "at").agg(F.median("_v").alias("_m"), F.count("*").alias("_n")).where(F.col("_n") >= least)
         w = Window.partitionBy(group).orderBy("at")
         new = points.join(knots, [group, "at"], "left").withColumn("_new", F.max(F.coalesce("_m", "median")).over(w))
-        new = cut(new.select(group, "at", F.col("_new").alias("median"), "sd", "next_at", F.lead("_new").over(w).alias("next_median"), "next_sd", "first", F.abs(F.col("_new") - F.col("median")).alias("_moved")))
+        new = written(new.select(group, "at", F.col("_new").alias("median"), "sd", "next_at", F.lead("_new").over(w).alias("next_median"), "next_sd", "first", F.abs(F.col("_new") - F.col("median")).alias("_moved")))
         moved = new.agg(F.max("_moved")).first()[0]
         points = new.drop("_moved")
         if moved is None or moved < settled:
