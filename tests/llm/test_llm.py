@@ -179,6 +179,15 @@ def test_token_counts_equal_a_plain_search(spark):
         assert r["n_tokens"] == sum(best("▁" + w) for w in words), r["text"]
 
 
+def test_long_texts_clashing_names_and_an_empty_table_are_counted(spark):
+    docs = frame(spark, [(1, "ab " * 50000), (2, None), (3, "x" * 20000)]).withColumn("N_TOKENS", F.lit(7)).withColumn("_counts", F.lit(8))
+    got = {r["doc_id"]: r for r in collected(tokens.count_tokens(docs))}
+    one = collected(tokens.count_tokens(frame(spark, [(1, "ab")])))[0]["n_tokens"]
+    assert (got[1]["n_words"], got[1]["n_tokens"]) == (50000, 50000 * one) and got[2]["n_tokens"] == 0 and got[3]["n_words"] == 1
+    assert all(r["_counts"] == 8 and "N_TOKENS" not in r for r in got.values())
+    assert tokens.count_tokens(docs.limit(0)).count() == 0
+
+
 def test_prefix_scores_are_shared():
     pieces = {"a": -1.0, "b": -1.0, "ab": -1.5}
     assert tokens.forward_counts(["a", "ab", "aba", "b", "bé"], pieces, -3.0) == [1, 1, 2, 1, 3]
@@ -213,6 +222,44 @@ def test_pii_base_spans_match_the_regexes(spark):
     assert pii.detect(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_pii_trees_select_further_spans(spark):
+    """Looser kinds and failing base spans, against planted ones: precision and recall."""
+    rng = random.Random(6)
+    _, texts = base(700, 41)
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    rows, planted = [], {}
+    for i, t in enumerate(texts):
+        kind = i % 5
+        if kind == 0:
+            span, before = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "my id is "
+        elif kind == 1:
+            span, before = f"{digits(3)} {digits(3)} {digits(4)}", "tel "
+        elif kind == 2:
+            span, before = f"user{i} [at] host{i} [dot] org", "mail "
+        elif kind == 3:
+            span, before = f"{rng.randint(1, 9)}{digits(2)}-{digits(3)}-{digits(3)}", "part "  # numbers that are nobody's
+        else:
+            span, before = digits(16), "order "
+        rows.append((i, f"{t} {before}{span} {t[:40]}"))
+        planted[i] = (kind, len(t) + 1 + len(before), len(t) + 1 + len(before) + len(span))
+    docs = frame(spark, rows).withColumn("PII", F.lit(1)).withColumn("_all", F.lit(2))
+    found = collected(pii.detect(docs, sample_docs=300))
+    assert len(found) == len(rows) and all(r["_all"] == 2 for r in found)
+    more = {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["pii"] if not s["sure"]}
+    want = {(i, s, e) for i, (kind, s, e) in planted.items() if kind < 3}
+    assert len(more & want) >= 0.9 * len(want), (len(more & want), len(want))
+    assert sum(any(i == w[0] and s < w[2] and w[1] < e for w in want) for i, s, e in more) >= 0.85 * len(more)
+
+
+def test_very_many_numbers_end_soon(spark):
+    rng = random.Random(8)
+    text = " x ".join(str(rng.randint(10000, 99999)) for _ in range(20000)) + " 10.0.0.1 a@b.cd"
+    r = pii.detect(frame(spark, [(1, text), (2, None)])).orderBy("doc_id").collect()
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in r[0]["pii"] if s["sure"]] == [(1, "10.0.0.1"), (0, "a@b.cd")]
+    spans = secrets.scan(frame(spark, [(1, "eyJ" * 30000), (2, " AKIA" + "Q" * 16) ])).orderBy("doc_id").collect()
+    assert spans[0]["secrets"] == [] and len(spans[1]["secrets"]) == 1
+
+
 # --- 5
 
 
