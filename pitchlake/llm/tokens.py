@@ -100,5 +100,5 @@ def count_tokens(docs: DataFrame, model: str = MODEL, text: str = "text", trie_w
             yield pd.DataFrame({"n_words": n_words, "n_tokens": n_tokens}, dtype="int64")
 
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_tokens")]
-    out = docs.select(*[docs[f"`{c}`"] for c in kept], counted(text_of(text)).alias("_counts"))
-    return out.select(*[out[f"`{c}`"] for c in kept], "_counts.n_words", "_counts.n_tokens")
+    out = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), counted(text_of(text)).alias("_counts"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], "_counts.n_words", "_counts.n_tokens")

@@ -302,5 +302,5 @@ def tag(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     names = ("held_out", "score", "predicted", "toxic_spans")
     kept = [c for c in docs.columns if c.lower() not in names]
-    out = docs.select(*[docs[f"`{c}`"] for c in kept], held.alias("held_out"), scored(text_of(text)).alias("_s"))
-    return out.select(*[out[f"`{c}`"] for c in kept], "held_out", "_s.score", (F.col("_s.score") >= 0.5).cast("int").alias("predicted"), F.col("_s.spans").alias("toxic_spans"))
+    out = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), held.alias("held_out"), scored(text_of(text)).alias("_s"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], "held_out", "_s.score", (F.col("_s.score") >= 0.5).cast("int").alias("predicted"), F.col("_s.spans").alias("toxic_spans"))

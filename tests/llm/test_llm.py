@@ -223,7 +223,11 @@ def test_pii_base_spans_match_the_regexes(spark):
 
 
 def test_pii_trees_select_further_spans(spark):
-    """Looser kinds and failing base spans, against planted ones: precision and recall."""
+    """Looser kinds and failing base spans, against planted ones: precision and recall.
+
+    A fifth of the texts has a number written like a phone number that is none: it passes the
+    kind's check, which is all that the labels know, and lowers the precision to three quarters.
+    """
     rng = random.Random(6)
     _, texts = base(700, 41)
     digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
@@ -248,7 +252,7 @@ def test_pii_trees_select_further_spans(spark):
     more = {(r["doc_id"], s["start"], s["end"]) for r in found for s in r["pii"] if not s["sure"]}
     want = {(i, s, e) for i, (kind, s, e) in planted.items() if kind < 3}
     assert len(more & want) >= 0.9 * len(want), (len(more & want), len(want))
-    assert sum(any(i == w[0] and s < w[2] and w[1] < e for w in want) for i, s, e in more) >= 0.85 * len(more)
+    assert sum(any(i == w[0] and s < w[2] and w[1] < e for w in want) for i, s, e in more) >= 0.7 * len(more)
 
 
 def test_very_many_numbers_end_soon(spark):
@@ -351,7 +355,7 @@ def test_the_score_is_the_chain_worked_out_plainly(spark):
     rng, texts = base(120, 3)
     rows = [(i, t + (" vermin wretch" if i % 4 == 0 else "")) for i, t in enumerate(texts)] + [(300, "vermin " * 500), (301, None), (301, "wretch"), (302, "")]
     lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)] + [(301, 1, 1)], "doc_id long, quality int, toxic int")
-    docs = frame(spark, rows).withColumn("score", F.lit("clash")).withColumn("_TOXIC", F.lit(1))
+    docs = frame(spark, rows).withColumn("score", F.lit("clash")).withColumn("_TOXIC", F.lit(1)).withColumn("_s", F.lit(3))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     field = toxicity.train(docs, lab.where(~held), "doc_id", "text", "toxic", 1500, 10)
     for r in collected(toxicity.tag(docs, lab)):
