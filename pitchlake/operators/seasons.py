@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.match import in_first_half, stamp_minute
 from .percentiles import midrank
 from .temporal import latest
 
@@ -156,6 +157,36 @@ def team_season(matches: DataFrame, season: Column) -> DataFrame:
     return g.where("broken = 0").drop("broken").withColumn("points", 3 * F.col("won") + F.col("drawn"))
 
 
+def team_season_details(matches: DataFrame, season: Column, last: int = 76) -> DataFrame:
+    """Season rows by team as ``team_season`` gives, with xG, shots, possession, halves and venue.
+
+    ``matches``: home, away, and for both ``<side>_goals``, ``_xg``, ``_shots``, ``_possession`` and
+    ``_stamps`` (minutes such as '45+2', which is still the first half). A match without one of
+    these numbers takes both teams' seasons out. Possession is the mean over matches.
+    """
+    numbers = ("goals", "xg", "shots", "possession", "stamps")
+
+    def side(me: str, other: str) -> Column:
+        mine = [F.col(f"{me}_{c}").alias(c) for c in numbers] + [F.col(f"{other}_{c}").alias(f"{c}_a") for c in numbers]
+        return F.struct(F.col(me).alias("team"), F.lit(me == "home").alias("at_home"), *mine)
+
+    both = matches.withColumn("season", season).select("season", F.explode(F.array(side("home", "away"), side("away", "home"))).alias("s")).select("season", "s.*")
+    known = [F.col(c).isNotNull() for n in numbers[:-1] for c in (n, f"{n}_a")]
+    broken = ~F.forall(F.array(*known), lambda x: x)
+    won, drawn, lost = (F.col("goals") > F.col("goals_a"), F.col("goals") == F.col("goals_a"), F.col("goals") < F.col("goals_a"))
+    points = F.when(won, 3).when(drawn, 1).otherwise(0)
+    stamps = lambda c, keep: F.sum(F.coalesce(F.size(F.filter(c, keep)), F.lit(0)))
+    g = both.groupBy("team", "season").agg(
+        F.count("*").alias("matches"), F.count_if(won).alias("wins"), F.count_if(drawn).alias("draws"), F.count_if(lost).alias("losses"), F.sum(points).alias("points"),
+        F.sum(F.when(F.col("at_home"), points).otherwise(0)).alias("home_points"), F.sum(F.when(F.col("at_home"), 0).otherwise(points)).alias("away_points"),
+        F.sum("goals").alias("goals_for"), F.sum("goals_a").alias("goals_against"), F.round(F.sum("xg"), 2).alias("xg_for"), F.round(F.sum("xg_a"), 2).alias("xg_against"),
+        F.sum("shots").alias("shots_for"), F.sum("shots_a").alias("shots_against"), F.round(F.avg("possession"), 1).alias("possession_pct"), F.count_if(F.col("goals_a") == 0).alias("clean_sheets"),
+        stamps(F.col("stamps"), in_first_half).alias("goals_for_first_half"), stamps(F.col("stamps_a"), in_first_half).alias("goals_against_first_half"),
+        stamps(F.col("stamps_a"), lambda x: stamp_minute(x) >= last).alias("goals_against_last_15"), F.bool_or(broken).alias("_broken"),
+    )
+    return g.where("not _broken").drop("_broken")
+
+
 def reconcile(ours: DataFrame, published: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(keys, field, ours, published) where the totals differ or one side is missing."""
     a, b = melt(ours, keys, fields, "field", "ours"), melt(published, keys, fields, "field", "published")

@@ -361,3 +361,56 @@ def test_a_match_feed(spark):
     lines = spark.createDataFrame([(1, 1, [(11, [("Striker", "00:00", None, 1, "Starting XI")]), (12, [("Keeper", "00:00", "60:00", 1, "Starting XI"), ("Keeper", "00:00", None, 5, "x")]), (13, [("Wing", "60:00", None, 2, "Sub")])])], "match_id int, team_id int, lineup array<struct<player_id:int,positions:array<struct<position:string,`from`:string,`to`:string,from_period:int,start_reason:string>>>>")
     m = {r["player_id"]: (r["position"], r["minutes"], r["started"]) for r in feed.minutes_played(lines, spark.createDataFrame([(1, 5400.0)], "match_id int, end_s double")).collect()}
     assert m == {11: ("Striker", 90, True), 12: ("Keeper", 60, True), 13: ("Wing", 30, False)}
+
+
+def test_full_match_lines(spark):
+    """Nested events: cards, aerials, an own goal, a set piece, a player without time on the pitch."""
+    from pitchlake.operators import feed
+
+    def event(i, kind, team, player, minute=10, period=1, **more):
+        return {"match_id": 1, "id": i, "type": {"name": kind}, "period": period, "minute": minute, "team": {"id": team}, "player": {"id": player}, "possession_team": {"id": team}, "duration": 3.0, **more}
+
+    ev = [
+        event("p", "Pass", 1, 11, **{"pass": {"aerial_won": True, "goal_assist": True}}),
+        event("s", "Shot", 1, 12, minute=30, shot={"outcome": {"name": "Goal"}, "type": {"name": "Open Play"}, "xg": 0.3, "key_pass_id": "p"}, play_pattern={"name": "From Corner"}),
+        event("v", "Shot", 2, 21, minute=80, period=2, shot={"outcome": {"name": "Saved"}, "type": {"name": "Open Play"}, "xg": 0.1}),
+        event("o", "Own Goal Against", 2, 22, minute=77, period=2),
+        event("f", "Foul Committed", 2, 21, minute=81, period=2, foul_committed={"card": {"name": "Second Yellow"}}),
+        event("a", "Duel", 2, 21, duel={"type": {"name": "Aerial Lost"}}),
+        event("t", "Duel", 1, 12, duel={"type": {"name": "Tackle"}, "outcome": {"name": "Success Out"}}),
+        event("x", "Shot", 1, 12, minute=120, period=5, shot={"outcome": {"name": "Goal"}, "type": {"name": "Penalty"}, "xg": 0.7}),
+    ]
+    import json
+
+    sc = spark.createDataFrame([(json.dumps(e),) for e in ev], "j string")
+    schema = "match_id int, id string, type struct<name:string>, period int, minute int, team struct<id:int>, player struct<id:int>, possession_team struct<id:int>, duration double, pass struct<aerial_won:boolean,goal_assist:boolean>, shot struct<outcome:struct<name:string>,type:struct<name:string>,xg:double,key_pass_id:string>, duel struct<type:struct<name:string>,outcome:struct<name:string>>, foul_committed struct<card:struct<name:string>>, play_pattern struct<name:string>"
+    flat = feed.flatten(sc.select(F.from_json("j", schema).alias("e")).select("e.*"))
+    assert flat.count() == 7
+    minutes = spark.createDataFrame([(1, 1, 11, 90, True), (1, 1, 12, 60, True), (1, 2, 21, 81, False)], "match_id int, team_id int, player_id int, minutes int, started boolean")
+    p = {r["player_id"]: r for r in feed.match_lines(flat, minutes).collect()}
+    assert set(p) == {11, 12, 21}
+    assert (p[11]["aerials_won"], p[11]["duels"], p[11]["duels_won"], p[11]["key_passes"], p[11]["xa"], p[11]["starts"]) == (1, 1, 1, 1, 0.3, 1)
+    assert (p[12]["shots"], p[12]["goals"], p[12]["tackles_won"], p[12]["duels_won"], p[12]["minutes_played"]) == (1, 1, 1, 1, 60)
+    assert (p[21]["shots_on_target"], p[21]["red_cards"], p[21]["yellow_cards"], p[21]["aerials"], p[21]["duels_won"], p[21]["starts"]) == (1, 1, 0, 1, 0, 0)
+    homes = spark.createDataFrame([(1, 1, 2, 2, 0), (2, 1, 3, 1, 1)], "match_id int, home int, away int, home_score int, away_score int")
+    r = {(x["match_id"], x["team_id"]): x for x in feed.match_results(flat, homes).collect()}
+    one, two = r[1, 1], r[1, 2]
+    assert (one["goals_for"], one["goals_for_first_half"], one["set_piece_goals_for"], one["home_points"], one["clean_sheets"], one["shots_against"]) == (2, 1, 1, 3, 1, 1)
+    assert (two["goals_against_last_15"], two["set_piece_goals_against"], two["losses"], two["away_points"], two["xg_against"]) == (1, 1, 1, 0, 0.3)
+    assert (r[2, 3]["points"], r[2, 3]["draws"], r[2, 3]["shots_for"]) == (1, 1, 0)
+    t = {x["team_id"]: x for x in feed.team_totals(feed.match_results(flat, homes)).collect()}
+    assert (t[1]["matches"], t[1]["points"], t[1]["possession_pct"], t[3]["possession_pct"]) == (2, 4, 42.9, 0.0)
+    assert feed.match_lines(flat, minutes.limit(0)).count() == 0 and feed.match_results(flat, homes.limit(0)).count() == 0
+
+
+def test_team_season_details(spark):
+    from pitchlake.operators import seasons
+
+    row = lambda h, a, hg, ag, hx, hs, as_: (2020, h, a, hg, ag, hx, 0.5, 9, 4, 60.0, 40.0, hs, as_)
+    names = "y int, home string, away string, home_goals int, away_goals int, home_xg double, away_xg double, home_shots int, away_shots int, home_possession double, away_possession double, home_stamps array<string>, away_stamps array<string>"
+    m = spark.createDataFrame([row("A", "B", 2, 1, 1.25, ["45+2", "90+1"], ["76"]), row("C", "D", 0, 0, None, [], []), row("B", "A", 0, 1, 0.5, None, ["46"])], names)
+    got = {r["team"]: r for r in seasons.team_season_details(m, F.col("y")).collect()}
+    assert set(got) == {"A", "B"}  # a number is missing in the match of C and D
+    a, b = got["A"], got["B"]
+    assert (a["matches"], a["points"], a["home_points"], a["away_points"], a["clean_sheets"], a["goals_for_first_half"], a["goals_against_last_15"]) == (2, 6, 3, 3, 1, 1, 1)
+    assert (b["xg_for"], b["possession_pct"], b["losses"], b["goals_against_first_half"], b["goals_against_last_15"]) == (1.0, 50.0, 2, 1, 1)
