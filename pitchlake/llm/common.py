@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: A word is a longest run without ASCII white space (space, tab to carriage return).
 WORD = r"[^ \t-\r]+"
 
@@ -16,17 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, ``spark.checkpoint.dir``.
-
-    Where none is set (tests on one machine) a temporary one is.
-    """
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pitchlake-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
@@ -45,6 +34,22 @@ def lookup(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def joined_by_frequency(rows: DataFrame, table: DataFrame, key: str, count: str, most: int = 200_000) -> DataFrame:
+    """``rows`` (inner) joined with ``table``, which has each of their keys once and its ``count`` of rows.
+
+    Keys that hold at least a ``most``-th of all rows are ``most`` at the most, so they are
+    broadcast, whatever the table's size; the others join by a shuffle in which no key is hot.
+    """
+    total = int(table.agg(F.sum(count)).first()[0] or 0)
+    least = -(-total // most)
+    frequent = table.where(F.col(count) >= least).drop(count)
+    found = rows.join(F.broadcast(frequent), key)
+    if least <= 1:  # all of them: no more keys than rows
+        return found
+    others = rows.join(F.broadcast(frequent.select(key)), key, "left_anti")
+    return found.unionByName(others.join(table.where(F.col(count) < least).drop(count).hint("shuffle_hash"), key))
+
+
 def text_of(col: str = "text") -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -171,8 +171,12 @@ class Slots:
 class Model:
     """The values of all n-grams of a trained model, or of those that some texts need."""
 
-    def __init__(self, order: int, length: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, order: int, length: np.ndarray, keys: np.ndarray, values: np.ndarray, alphabet: int | None = None) -> None:
+        """``alphabet``: the number of different characters of the trusted text (of a whole model: counted)."""
         self.order, self.rows = order, (length, keys, values)
+        if alphabet is None:
+            alphabet = int(((length == 1) & (values[:, 0] > 0)).sum())
+        self.floor = 1.0 / (1 + alphabet)  # of the order below single characters: alike for all of them and one never seen
         self.fill()
 
     def fill(self) -> None:
@@ -180,16 +184,16 @@ class Model:
         self.slots = [Slots(keys[length == n], values[length == n]) for n in range(self.order + 1)]
 
     def __getstate__(self) -> dict:
-        return {"order": self.order, "rows": self.rows}
+        return {"order": self.order, "rows": self.rows, "floor": self.floor}
 
     def __setstate__(self, state: dict) -> None:
-        self.order, self.rows = state["order"], state["rows"]
+        self.order, self.rows, self.floor = state["order"], state["rows"], state["floor"]
         self.fill()
         self.rows = ()  # a task needs the slots alone
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of each character's probability after those before it."""
-        p = np.full(len(codes), 1e-5, dtype=np.float32)
+        p = np.full(len(codes), self.floor, dtype=np.float32)
         rest = self.slots[0].get(_keys(np.zeros(1, dtype=np.uint64)))[0, 1]
         for n, sums in enumerate(_sums(codes, self.order)[1:], 1):
             values = self.slots[n].get(_keys(sums))
@@ -266,9 +270,10 @@ def with_perplexity(docs: DataFrame, table: DataFrame, text: str, order: int = O
         return pd.DataFrame({"length": np.repeat([n for n, _ in out], [len(k) for _, k in out]).astype(np.int32), "key": np.concatenate([k for _, k in out]).view(np.int64), "shard": np.int32(key[0])}).drop_duplicates()
 
     def scored_shard(key, g: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        m = Model(order, part["length"].to_numpy(), part["key"].to_numpy().view(np.uint64), part[["own", "rest"]].to_numpy().astype(np.float32))
+        m = Model(order, part["length"].to_numpy(), part["key"].to_numpy().view(np.uint64), part[["own", "rest"]].to_numpy().astype(np.float32), alphabet)
         return pd.DataFrame({"h1": g["h1"], "h2": g["h2"], "_p": m.perplexities(g["t"])})
 
+    alphabet = table.where("length = 1 and own > 0").count()
     hashes = [F.xxhash64(text_of(text)).alias("h1"), F.xxhash64(F.lit(2), text_of(text)).alias("h2")]
     texts = docs.select(*hashes, text_of(text).alias("t")).where(F.length("t") > 0).dropDuplicates(["h1", "h2"])
     texts = texts.withColumn("shard", F.pmod("h1", F.lit(shard_count(docs, text))).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, mixing, ngram_join, pii, quality, secrets, substrings, tokens, toxicity
+from . import alignment, decontaminate, embeddings, mixing, ngram_join, pii, quality, secrets, substrings, tokens, toxicity, urls, whitening
 from .common import table
 
 # --- 1: embedding near-dedup --------------------------------------------------------------
@@ -216,6 +216,56 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM d LEFT JOIN x ON d.doc_id = x.doc_id"""
 
 
+# --- 11: URL filters ----------------------------------------------------------------------------
+
+#: Words of the hosts whose pages the list holds; nobody has published one for the given tables.
+LISTED_WORDS = ("casino", "pills", "adult", "ads")
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; listed are the pages of hosts with certain words."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select("url").where(urls.host_of(F.col("url")).rlike(f"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)"))
+    return urls.judge(pages, listed).select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+def _urls_sql() -> str:
+    rules = ", ".join(f"({_sql_quoted(r.host)}, {_sql_quoted(r.path)}, {_sql_quoted(r.verdict)})" for r in urls.RULES)
+    tracking = ", ".join(map(_sql_quoted, urls.TRACKING))
+    return f"""
+WITH a AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT id, page_id, r, translate(regexp_extract(r, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(r, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, '{urls.TRACKING_PREFIX}') AND NOT string_split(p, '=')[1] IN ({tracking}))) AS q FROM a),
+c AS (SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS form FROM h),
+listed AS (SELECT DISTINCT form FROM c WHERE form <> '' AND regexp_matches(host, '(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)')),
+rules AS (SELECT * FROM (VALUES {rules}) AS t(rh, rp, rv)),
+fit AS (SELECT id, arg_max(rh || rp, length(rh || rp) * 1000 + length(rh)) AS rule, arg_max(rv, length(rh || rp) * 1000 + length(rh)) AS rv
+    FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY id)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, l.form IS NOT NULL AS listed, coalesce(rv, CASE WHEN l.form IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fit USING (id) LEFT JOIN listed l ON c.form = l.form"""
+
+
+# --- 12: cross-tokenizer alignment ----------------------------------------------------------------
+
+VOCABULARIES = "/opt/tokenizers"
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers correspond in every document."""
+    found = alignment.align(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", f"{VOCABULARIES}/piece_bpe_32k.model")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# --- 13: embedding whitening ------------------------------------------------------------------------
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight whitened components."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+    rows = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_secret_scans": op2_secret_scans,
@@ -227,5 +277,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_SQL, "op2_secret_scans": _secrets_sql(), "op7_ngram_join": NGRAM_SQL, "op8_source_mix": mix_sql(), "op10_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": EMBEDDING_SQL, "op2_secret_scans": _secrets_sql(), "op7_ngram_join": NGRAM_SQL, "op8_source_mix": mix_sql(), "op10_substring_dedup": SUBSTRING_SQL, "op11_url_filters": _urls_sql()}

@@ -155,13 +155,16 @@ def trigram_index(docs: DataFrame, key: str, text: str, wanted: set[str]) -> Dat
 def intersect(postings: DataFrame, key: str, queries: Sequence[Query]) -> DataFrame:
     """(key, rules): the rows that satisfy some of the queries, with these queries' numbers.
 
-    Each alternative of a query is a set of lists that are intersected by counting: the postings
-    of its trigrams are united and the rows that all of its lists hold are kept.
+    Each alternative of a query is a set of lists that are intersected by marks: a list has a bit
+    of its own, the postings of all lists are united, and the keys whose bits are all set stay.
+    So a key that repeated rows share counts each list once, and one that different rows share by
+    chance can only become a candidate too many. Of over 63 trigrams of an alternative, 63 are
+    asked for: candidates are verified.
     """
     session = postings.sparkSession
-    wanted = [(t, i, n, len(c)) for i, q in enumerate(queries) if q is not True for n, c in enumerate(clauses(q)) for t in sorted(c)]
-    lists = F.broadcast(session.createDataFrame(wanted, "trigram string, rule int, clause int, size int"))  # as long as the rules
-    held = postings.join(lists, "trigram").groupBy(key, "rule", "clause").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = size")
+    wanted = [(t, i, n, 1 << k, (1 << min(len(c), 63)) - 1) for i, q in enumerate(queries) if q is not True for n, c in enumerate(clauses(q)) for k, t in enumerate(sorted(c)[:63])]
+    lists = F.broadcast(session.createDataFrame(wanted, "trigram string, rule int, clause int, bit long, full long"))  # as long as the rules
+    held = postings.join(lists, "trigram").groupBy(key, "rule", "clause").agg(F.bit_or("bit").alias("bits"), F.first("full").alias("full")).where("bits = full")
     return held.groupBy(key).agg(F.collect_set("rule").alias("rules"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -59,3 +60,10 @@ def test_run_equals_the_stages_in_turn(spark, folder):
         docs = stage(spark, docs, path).cache()
     key = lambda r: (r["doc_id"], r["text"], r["copies"])
     assert sorted(map(key, corpus_pipeline.run(spark, path).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_secrets_of_repeated_rows_are_redacted(spark, folder):
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id between 600 and 605 or doc_id = 701")
+    out = corpus_pipeline.redact_secrets(spark, docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))), path).collect()
+    assert len(out) == 15 and sum("[SECRET]" in r["text"] for r in out) == 12 and not any("abcdefghijklmnop" in r["text"] for r in out)
