@@ -83,21 +83,22 @@ def exact_form(name: Column) -> Column:
 
 #: What a level of agreement says to a reviewer, in the order of a listing.
 EVIDENCE = {
-    ("name", "same"): "All words of both names match",
-    ("name", "contained"): "Every word of the shorter name is in the other",
-    ("name", "close"): "Half of the words or more match",
-    ("name", "none"): "The names have no word in common",
+    ("name", "all"): "Every word of the shorter name after the given one is in the other",
+    ("name", "all-one-word"): "The one word after the given name matches",
+    ("name", "most"): "Most words after the given name match",
+    ("name", "some"): "Some words after the given name match",
+    ("name", "none"): "The names have no word after the given one in common",
     ("given", "same"): "Same given name",
-    ("given", "differ"): "Different given names",
+    ("given", "different"): "Different given names",
     ("dob", "exact"): "Same date of birth",
     ("dob", "transposed"): "Day and month of birth swapped",
     ("dob", "near"): "Born within a week of each other",
-    ("dob", "none"): "Dates of birth disagree",
+    ("dob", "conflict"): "Dates of birth disagree",
     ("dob", "unknown"): "A date of birth is missing",
     ("sport", "same"): "Same sport",
-    ("sport", "differ"): "Different sports",
+    ("sport", "different"): "Different sports",
     ("club", "same"): "Registered at the same club",
-    ("club", "differ"): "Registered at different clubs",
+    ("club", "different"): "Registered at different clubs",
 }
 
 

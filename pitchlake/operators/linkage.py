@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.people import birth_relation, token_containment
 from ..session import cut
+from .names import hits, same_word
 
 
 def birth_candidates(records: DataFrame, key: str, born: str, same: Sequence[str], near: int = 7) -> DataFrame:
@@ -68,32 +70,107 @@ def duplicate_pairs(compared: DataFrame, containment: str, relation: str, least:
     return compared.withColumn("score", F.col(containment) * weight).where(F.col(containment) >= least)
 
 
+def name_candidates(records: DataFrame, key: str, keys: str, sex: str, born: str) -> DataFrame:
+    """Pairs (a, b), a < b, that share two name keys, or one where either has no more, of sexes
+    that agree and of birth years at most one apart (where known).
+
+    Two shared keys are one shared pair of keys, so no list of a single common key is ever
+    joined with itself; known birth years are part of the join. No key is too common.
+    """
+    r = cut(records.select(F.col(key).alias("id"), F.col(sex).alias("sex"), F.year(born).alias("year"), F.array_sort(F.array_distinct(keys)).alias("keys")).where(F.size("keys") > 0))
+    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.concat_ws("|", x, y))))
+    combined = r.select("id", "sex", "year", F.explode(both).alias("k"))
+    single = r.select("id", "sex", "year", F.explode("keys").alias("k"))
+    alone = r.where(F.size("keys") == 1).select("id", "sex", "year", F.col("keys")[0].alias("k"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = (df.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "sex", "year")]) for df, side in ((x, "a"), (y, "b")))
+        near = y.where("year_b is not null").withColumn("year", F.explode(F.array(F.col("year_b") - 1, F.col("year_b"), F.col("year_b") + 1)))
+        found = x.where("year_a is not null").withColumn("year", F.col("year_a")).join(near, ["k", "year"]).drop("year")
+        found = found.unionByName(x.where("year_a is null").join(y, "k")).unionByName(x.where("year_a is not null").join(y.where("year_b is null"), "k"))
+        found = found.where("id_a <> id_b and (sex_a is null or sex_b is null or sex_a = sex_b)")
+        return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+    return met(combined, combined).union(met(alone, single)).distinct()
+
+
+#: The levels of the seven fields of a comparison; names from the best on.
+NAME_LEVELS = ("all", "all-one-word", "most", "some", "none")
+SAME = ("same", "different", "unknown")
+LEVELS = {
+    "name": (*NAME_LEVELS, "unknown"),
+    "given": SAME,
+    "dob": ("exact", "transposed", "near", "conflict", "unknown"),
+    "nationality": SAME,
+    "club": SAME,
+    "sport": SAME,
+    "sex": SAME,
+}
+
+
+def share_level(hits: Column, of: Column) -> Column:
+    """The level of ``hits`` matching words of ``of``."""
+    return F.when(of == 0, "none").when((hits == of) & (hits >= 2), "all").when(hits == of, "all-one-word").when(hits / of >= 0.6, "most").when(hits > 0, "some").otherwise("none")
+
+
+def seven_levels(pairs: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """(a, b, and the level of each field of LEVELS) of pairs.
+
+    ``records``: words and given (``names.comparable`` structs), tokens (plain words in order),
+    date_of_birth, nationality and clubs (arrays), sport, sex. The given name has a field of its
+    own, so the name is compared by the words after it, the better of the words across scripts
+    and the plain ones.
+    """
+    p = with_both(pairs, records, key, ["words", "given", "tokens", "date_of_birth", "nationality", "clubs", "sport", "sex"])
+    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
+    wa, wb = rest(F.col("words_a")), rest(F.col("words_b"))
+    ordered = F.size(wa) <= F.size(wb)
+    cross = share_level(F.when(ordered, hits(wa, wb)).otherwise(hits(wb, wa)), F.least(F.size(wa), F.size(wb)))
+    ta, tb = F.array_distinct(rest(F.col("tokens_a"))), F.array_distinct(rest(F.col("tokens_b")))
+    plain = share_level(F.size(F.array_intersect(ta, tb)), F.least(F.size(ta), F.size(tb)))
+    rank = lambda c: F.array_position(F.array(*map(F.lit, NAME_LEVELS)), c)
+    name = F.when((F.size(wa) == 0) | (F.size(wb) == 0), "unknown").when(rank(cross) <= rank(plain), cross).otherwise(plain)
+    known = lambda unknown, same: F.when(unknown, "unknown").when(same, "same").otherwise("different")
+    either = lambda c: F.col(f"{c}_a").isNull() | F.col(f"{c}_b").isNull()
+    sets = lambda c: known(either(c) | (F.size(f"{c}_a") < 1) | (F.size(f"{c}_b") < 1), F.arrays_overlap(f"{c}_a", f"{c}_b"))
+    relation = birth_relation(F.col("date_of_birth_a"), F.col("date_of_birth_b"))
+    return p.select(
+        "a", "b", name.alias("name"), known(either("given"), same_word(F.col("given_a"), F.col("given_b"))).alias("given"), F.when(relation == "none", "conflict").otherwise(relation).alias("dob"),
+        sets("nationality").alias("nationality"), sets("clubs").alias("club"), known(either("sport"), F.col("sport_a") == F.col("sport_b")).alias("sport"), known(either("sex"), F.col("sex_a") == F.col("sex_b")).alias("sex"),
+    )
+
+
+def level_shares(compared: DataFrame, smooth: float = 0.5) -> dict[str, dict[str, float]]:
+    """How often pairs show each level of LEVELS, ``smooth`` added to every count: m of known
+    pairs, u of random ones."""
+    counts = {f: dict.fromkeys(levels, smooth) for f, levels in LEVELS.items()}
+    one = compared.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("level")) for f in LEVELS])).alias("x")).groupBy("x.field", "x.level").count()
+    for r in one.collect():  # as many as there are levels
+        counts[r["field"]][r["level"]] += r["count"]
+    return {f: {k: v / sum(c.values()) for k, v in c.items()} for f, c in counts.items()}
+
+
+def fit_share(patterns: pd.DataFrame, m: Mapping, u: Mapping, fields: Sequence[str], every: float, prior: float, rounds: int = 200) -> float:
+    """The share of matches among ``every`` pair of records, by expectation-maximisation with m and
+    u held. Pairs that blocking left out count as different people."""
+    weight = np.array([sum(level_weight(m, u, f, r[f]) for f in fields) for r in patterns.to_dict("records")])
+    n = patterns["n"].to_numpy(dtype=float)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + weight, -50, 50)))
+        now = float(min(0.5, max(1e-12, (n * p).sum() / every)))
+        settled, prior = abs(now - prior) < 1e-7 * prior, now
+        if settled:
+            break
+    return prior
+
+
 def pattern_counts(compared: DataFrame, fields: Sequence[str]) -> pd.DataFrame:
     """Pairs by their levels: a small table, as a field has a handful of levels."""
     return compared.groupBy(*fields).agg(F.count("*").alias("n")).toPandas()
 
 
-def fit_matching(patterns: pd.DataFrame, u: Mapping[str, Mapping[str, float]], fields: Sequence[str], prior: float, rounds: int = 50, smooth: float = 0.5) -> tuple[dict[str, dict[str, float]], float]:
-    """m by expectation-maximisation over the patterns with u held: (m, share of matches)."""
-    m = {f: {lv: 1.0 / (1 + i) for i, lv in enumerate(sorted(set(patterns[f]), key=lambda lv: u[f].get(lv, 1.0)))} for f in fields}
-    for f in fields:
-        total = sum(m[f].values())
-        m[f] = {k: v / total for k, v in m[f].items()}
-    for _ in range(rounds):
-        odds = prior / (1 - prior)
-        weight = patterns.apply(lambda r: odds * math.exp(max(-50.0, min(50.0, sum(level_weight(m, u, f, r[f]) for f in fields)))), axis=1)
-        p = weight / (1 + weight)
-        prior = float((p * patterns["n"]).sum() / patterns["n"].sum())
-        prior = min(max(prior, 1e-9), 1 - 1e-9)
-        for f in fields:
-            known = patterns[f] != "unknown"
-            sums = ((p * patterns["n"])[known]).groupby(patterns[f][known]).sum() + smooth
-            m[f] = (sums / sums.sum()).to_dict()
-    return m, prior
-
-
 def level_weight(m: Mapping, u: Mapping, field: str, level: str) -> float:
-    """Log ratio of a level; unknown and unseen levels weigh nothing."""
+    """Log ratio of a level; unknown ones weigh nothing."""
     if level == "unknown" or level not in m[field] or level not in u[field]:
         return 0.0
     return math.log(max(m[field][level], 1e-9) / max(u[field][level], 1e-9))
@@ -109,23 +186,16 @@ def score(compared: DataFrame, m: Mapping, u: Mapping, fields: Sequence[str], pr
     return compared.withColumn("probability", 1 / (1 + F.exp(-odds)))
 
 
-def random_levels(records: DataFrame, key: str, compare, fields: Sequence[str], pairs: int, seed: int = 7) -> dict[str, dict[str, float]]:
-    """u: shares of levels among about ``pairs`` random pairs, each record met with the next ones
-    in the order of a hash, so nothing is crossed."""
+def random_pairs(records: DataFrame, key: str, pairs: int, seed: int = 7) -> DataFrame:
+    """About ``pairs`` random pairs (a, b): each record met with the next ones in the order of a
+    hash, so nothing is crossed."""
     n = records.count()
     steps = max(1, -(-pairs // max(n, 1)))
     order = records.select(F.col(key).alias("id"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
     buckets = max(1, n // 1000)
     w = Window.partitionBy(F.pmod("h", F.lit(buckets))).orderBy("h", "id")
     ahead = order.select(F.col("id").alias("a"), F.array(*[F.lead("id", i).over(w) for i in range(1, steps + 1)]).alias("m"))
-    ahead = ahead.select("a", F.explode("m").alias("b")).where("b is not null")
-    compared = compare(ahead)
-    out = {}
-    for f in fields:
-        rows = compared.where(F.col(f) != "unknown").groupBy(f).count().collect()  # a handful of levels
-        total = sum(r["count"] for r in rows) or 1
-        out[f] = {r[f]: r["count"] / total for r in rows}
-    return out
+    return ahead.select("a", F.explode("m").alias("b")).where("b is not null")
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
@@ -144,38 +214,100 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError("the components have not settled")
 
 
-def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, rounds: int = 200) -> DataFrame:
+def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, most: int = 100_000) -> DataFrame:
     """(id, group): strongest link first, refusing joins that bring conflicting records together.
 
-    ``scored``: (a, b, probability, conflict). A group's strongest link that is also the other
-    group's strongest is joined, as taking all links in order would do; links between groups
-    that hold a conflicting pair are given up. Rounds of joins and aggregates until no link is
-    left, so no group of records is ever in one task.
+    ``scored``: (a, b, probability, conflict), ids whole numbers. Groups are those of taking the
+    links one by one by (falling probability, a, b), whatever their number:
+
+    - a component of links without a conflict inside is a group as it is;
+    - in one with conflicts and at most ``most`` links and conflicts the links are taken in order;
+    - a larger one is cut into bands of strength: the stronger half of its links is settled
+      first in the same way, the weaker half then joins the groups that are left.
+
+    A group is its least id. Records without a link that counts have no row.
     """
     pairs = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "probability", F.col(conflict).alias("conflict"))
     bad = cut(pairs.where("conflict").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
-    links = cut(pairs.where((F.col("probability") >= least) & ~F.col("conflict")).select("a", "b", "probability", F.col("a").alias("x"), F.col("b").alias("y")))
-    groups = cut(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("group", F.col("id")))
-    for _ in range(rounds):
-        live = links.join(bad.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), ["x", "y"], "left_anti")
-        order = F.struct((-F.col("probability")).alias("p"), "a", "b")
-        sides = live.select("x", "y", order.alias("o"))
-        best = sides.union(sides.select("y", "x", "o")).groupBy("x").agg(F.min(F.struct("o", "y")).alias("m")).select("x", F.col("m.y").alias("y"), F.col("m.o").alias("o"))
-        other = best.select(F.col("x").alias("y"), F.col("y").alias("x"), F.col("o").alias("o2"))
-        joined = cut(best.join(other, ["x", "y"]).where("x < y and o = o2").select(F.col("y").alias("gone"), F.col("x").alias("kept")))
-        if not joined.limit(1).count():
-            return groups
-
-        def moved(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-            for c in columns:
-                df = df.join(joined.withColumnRenamed("gone", c), c, "left").withColumn(c, F.coalesce("kept", c)).drop("kept")
-            return df
-
-        groups = cut(moved(groups, ["group"]).select("id", "group"))
-        bad = cut(moved(bad, ["x", "y"]).select("x", "y").distinct())
-        live = moved(live, ["x", "y"]).where("x <> y")
-        links = cut(live.select("a", "b", "probability", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-    raise RuntimeError("the groups have not settled")
+    links = pairs.where((F.col("probability") >= least) & ~F.col("conflict")).groupBy("a", "b").agg(F.max("probability").alias("p"))
+    return _settled(cut(links.select("a", "b", "p", F.col("a").alias("x"), F.col("b").alias("y"))), bad, most).select(F.col("node").alias("id"), "group")
+
+
+def _settled(links: DataFrame, bad: DataFrame, most: int) -> DataFrame:
+    """(node, group) of the ends x, y of ``links`` (a, b, p, x, y) that are taken by (-p, a, b)."""
+    parts = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
+    clashes = cut(bad.join(of("x"), "x").join(of("y"), "y").where("part_x = part_y").select(F.col("part_x").alias("part"), "x", "y"))
+    whole = parts.join(clashes.select(F.col("part").alias("component")).distinct(), "component", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("group"))
+    if clashes.isEmpty():
+        return cut(whole)
+    inside = cut(links.join(of("x"), "x").withColumnRenamed("part_x", "part").join(clashes.select("part").distinct(), "part", "left_semi"))
+    sizes = inside.groupBy("part").agg(F.count("*").alias("links")).join(clashes.groupBy("part").agg(F.count("*").alias("clashes")), "part")
+    sizes = cut(sizes.select("part", ((F.col("links") + F.col("clashes") > most) & (F.col("links") > 1)).alias("large")))
+    small = sizes.where("not large").select("part")
+    ordered = inside.join(small, "part", "left_semi").groupBy("part").cogroup(clashes.join(small, "part", "left_semi").groupBy("part"))
+    done = cut(whole.union(ordered.applyInPandas(_in_order, "node long, group long").select(F.col("node").cast(whole.schema["node"].dataType), F.col("group").cast(whole.schema["group"].dataType))))
+    if sizes.where("large").isEmpty():
+        return done
+    large = inside.join(sizes.where("large").select("part"), "part", "left_semi")
+    strong, weak = _bands(large)
+    first = _settled(strong, bad, most)
+
+    def moved(df: DataFrame) -> DataFrame:
+        for c in ("x", "y"):
+            df = df.join(first.select(F.col("node").alias(c), "group"), c, "left").withColumn(c, F.coalesce("group", c)).drop("group")
+        return df.where("x <> y").withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
+
+    bad = cut(moved(bad).select("x", "y").distinct())
+    weak = cut(moved(weak).join(bad, ["x", "y"], "left_anti").select("a", "b", "p", "x", "y"))
+    nodes = large.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(first, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    if not weak.isEmpty():
+        second = _settled(weak, bad, most).select(F.col("node").alias("group"), F.col("group").alias("last"))
+        nodes = nodes.join(second, "group", "left").withColumn("group", F.coalesce("last", "group"))
+    return cut(done.union(nodes.select("node", "group")))
+
+
+def _bands(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links of each part in two bands by (-p, a, b): about the first half, and the others.
+
+    The middle probability cuts; if none is above it, the middle ``a`` of the strongest links,
+    and if none is before that, their middle ``b``.
+    """
+    middle = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(10_000))
+    at = links.groupBy("part").agg(middle("p").alias("mp"), F.max("p").alias("top"))
+    tops = links.join(at, "part").where("p = top and mp = top")
+    by_a = tops.groupBy("part").agg(middle("a").alias("ma"), F.min("a").alias("first_a"))
+    by_b = tops.join(by_a, "part").where("a = first_a and ma = first_a").groupBy("part").agg(middle("b").alias("mb"))
+    cuts = at.join(by_a, "part", "left").join(by_b, "part", "left")
+    strong = F.when(F.col("mp") < F.col("top"), F.col("p") > F.col("mp")).when(F.col("p") < F.col("top"), False).when(F.col("ma") > F.col("first_a"), F.col("a") < F.col("ma")).otherwise((F.col("a") == F.col("first_a")) & (F.col("b") <= F.col("mb")))
+    split = cut(links.join(cuts, "part").withColumn("strong", strong).select("a", "b", "p", "x", "y", "strong"))
+    return split.where("strong").drop("strong"), split.where("not strong").drop("strong")
+
+
+def _in_order(links: pd.DataFrame, clashes: pd.DataFrame) -> pd.DataFrame:
+    """One part's links taken one by one; the smaller group moves to the larger."""
+    members: dict = {n: [n] for n in set(links["x"]) | set(links["y"])}
+    group = {n: n for n in members}
+    foes: dict = {n: set() for n in members}
+    for x, y in zip(clashes["x"], clashes["y"]):
+        if x in foes and y in foes:
+            foes[x].add(y)
+            foes[y].add(x)
+    for x, y in links.sort_values(["p", "a", "b"], ascending=[False, True, True])[["x", "y"]].itertuples(index=False):
+        to, gone = group[x], group[y]
+        if to == gone or gone in foes[to]:
+            continue
+        if len(members[to]) + len(foes[to]) < len(members[gone]) + len(foes[gone]):
+            to, gone = gone, to
+        for n in members[gone]:
+            group[n] = to
+        members[to] += members.pop(gone)
+        for f in foes.pop(gone):
+            foes[f].discard(gone)
+            foes[f].add(to)
+            foes[to].add(f)
+    least = {g: min(m) for g, m in members.items()}
+    return pd.DataFrame({"node": list(group), "group": [least[g] for g in group.values()]})
 
 
 def pairwise_scores(found: DataFrame, true: DataFrame, key: str, cluster: str) -> DataFrame:

@@ -134,9 +134,3 @@ def measuring_value(age: Column, size_z: Column, stale_days: Column, readings: C
     """Worth of measuring a player: in the window of growth, far from the mean, long unseen."""
     window = F.when(age.between(11, 16), 1.0).when(age.between(9, 18), 0.5).otherwise(0.1)
     return window * (1 + F.abs(F.coalesce(size_z, F.lit(0.0)))) * F.least(stale_days / 90.0, F.lit(3.0)) * F.when(readings < 3, 1.5).otherwise(1.0)
-
-
-def sound_key(word: Column) -> Column:
-    """First two consonant sounds of a Latin word, without h, w, y; alike letters are one."""
-    w = F.translate(F.lower(word), "ckqgjxszpbtdvf", "kkkgjkssbbttff")
-    return F.substring(F.regexp_replace(F.regexp_replace(w, "[^a-z]|[aeiouhwy]", ""), r"(.)\1+", "$1"), 1, 2)

@@ -6,7 +6,7 @@ pairs of suppliers in an order, tags events, spells successive orders, records p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.people import age_years
@@ -163,3 +163,44 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDS = r"""records AS (SELECT p_partkey AS record_id, p_name AS name, CAST(DATE '2000-01-01' + p_size * 7 AS DATE) AS date_of_birth, p_type AS sport,
     CASE WHEN CAST(regexp_extract(p_brand, '(\d+)', 1) AS INTEGER) % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 'source' || (p_partkey % 3) AS source FROM part)"""
+
+
+#: Consonants and vowels of made-up names, and the letters that write them in Arabic (fixed values).
+NAME_CONSONANTS, NAME_VOWELS = "bdfgkmnrstzl", "aiu"
+NAME_ARABIC = "بدفجكمنرستزل"
+
+
+def _made_word(number: Column) -> tuple[Column, Column]:
+    """A name of three syllables in Latin letters and the same in Arabic ones, which leave out a."""
+    latin, c, v = [], len(NAME_CONSONANTS), len(NAME_VOWELS)
+    for k in range(3):
+        at = F.floor(number / (c * v) ** k)
+        latin += [F.substring(F.lit(NAME_CONSONANTS), (at % c + 1).cast("int"), F.lit(1)), F.substring(F.lit(NAME_VOWELS), (F.floor(at / c) % v + 1).cast("int"), F.lit(1))]
+    word = F.concat(*latin[:-1], F.lit(""))
+    return F.initcap(word), F.translate(word, NAME_CONSONANTS + "iua", NAME_ARABIC + "يو")
+
+
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as registered people; every fourth is entered twice, the second time in Arabic
+    letters, without a date, at another club, or with day and month swapped.
+
+    record_id, person_id (who it is), full_name, known_as, sex, sport, date_of_birth, nationality
+    and clubs (arrays), source. Given names are few, family names many.
+    """
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    number = lambda salt, many: F.pmod(k * salt + F.floor(k / 7), F.lit(many)) * 7919 + many
+    words = [_made_word(number(salt, many)) for salt, many in ((13, 60), (104729, 300), (7907, 4000))]
+    born = F.date_add(F.lit("2000-01-01").cast("date"), (k * 7919 % 4018).cast("int"))
+    base = c.select(
+        k.alias("person_id"), *[w[i].alias(f"{n}{i}") for n, w in zip(("given", "father", "family"), words) for i in (0, 1)], F.when(k % 2 == 0, "M").otherwise("F").alias("sex"), F.element_at(F.array(*map(F.lit, ("football", "handball", "judo"))), (k % 3 + 1).cast("int")).alias("sport"),
+        born.alias("born"), F.col("c_nationkey").alias("nation"), (k * 31 % 200).alias("club"), F.explode(F.when(k % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    again, kind = F.col("copy") == 1, F.floor(F.col("person_id") / 4) % 5
+    swapped = F.try_to_timestamp(F.date_format("born", "yyyy-dd-MM"), F.lit("yyyy-MM-dd")).cast("date")
+    line = lambda i: F.concat_ws(" ", f"given{i}", f"father{i}", f"family{i}")
+    return base.select(
+        (F.col("person_id") * 2 + F.col("copy")).alias("record_id"), "person_id", F.when(again & (kind == 0), line(1)).otherwise(line(0)).alias("full_name"), F.when(F.col("person_id") % 9 == 0, F.col("given0")).alias("known_as"), "sex", "sport",
+        F.when((again & (kind == 1)) | (F.col("person_id") % 10 == 3), None).when(again & (kind == 2), F.coalesce(swapped, F.date_add("born", 3))).otherwise(F.col("born")).alias("date_of_birth"),
+        F.array(F.col("nation").cast("string")).alias("nationality"), F.when(F.col("person_id") % 6 != 1, F.array(F.when(again & (kind == 3), F.col("club") + 200).otherwise(F.col("club")))).alias("clubs"), F.when(again, "federation").otherwise("academy").alias("source"),
+    )

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.match import shot_geometry
-from ..functions.people import evidence, exact_form
+from ..functions.people import exact_form
 from ..operators import cohorts, evaluation, matches, models, people, seasons, temporal
 from ..session import cut
 from . import adapters as ad
 from .feeds import d17_decision_backtest
 from .forecasts import CASE_SQL, H, NEAR_SQL, cases, vectors
 from .growth import FEATURES_SQL, features, mismatches
-from .league import CAND_SQL, TEAM_SQL, last, levels, teams
+from .league import CAND_SQL, TEAM_SQL, last, teams
 from .results import folded
 
 QUERIES, ORACLE = {}, {}
@@ -356,12 +356,3 @@ def f21_exact_forms(spark, sf_dir):
     """Names in their exact form, and those that several records share."""
     n = ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), exact_form(F.concat(F.lit("  "), F.upper("p_name"), F.lit("\t"), F.col("p_brand"), F.lit(" "))).alias("form"))
     return n.groupBy("form").agg(F.min("id").alias("id"), F.count("*").alias("records")).withColumn("ambiguous", F.col("records") > 1)
-
-
-@query()
-def f22_identity_evidence(spark, sf_dir):
-    """What pairs of records agree and disagree on, in words; a test holds the sentences."""
-    r = ad.records(spark, sf_dir)
-    pairs = r.select(F.col("record_id").alias("a")).join(r.select((F.col("record_id") - 64).alias("a"), F.col("record_id").alias("b")), "a")
-    l = levels(spark, sf_dir, pairs)
-    return l.select("a", "b", F.array_join(evidence({f: F.col(f) for f in ("name", "dob", "sport")}), "; ").alias("evidence"))

@@ -307,40 +307,6 @@ def a38_links_by_source(spark, sf_dir):
     return c.groupBy(F.least("source_a", "source_b").alias("first_source"), F.greatest("source_a", "source_b").alias("second_source")).agg(F.count("*").alias("links"))
 
 
-def levels(spark, sf_dir, pairs):
-    r = ad.records(spark, sf_dir).withColumn("tokens", name_tokens(F.col("name")))
-    c = linkage.with_both(pairs, r, "record_id", ["tokens", "date_of_birth", "sport", "sex"])
-    from ..functions.people import birth_relation
-
-    return c.select("a", "b", linkage.name_level(F.col("tokens_a"), F.col("tokens_b")).alias("name"), birth_relation(F.col("date_of_birth_a"), F.col("date_of_birth_b")).alias("dob"), linkage.agree(F.col("sport_a"), F.col("sport_b")).alias("sport"), linkage.agree(F.col("sex_a"), F.col("sex_b")).alias("sex"))
-
-
-FIELDS = ("name", "dob", "sport", "sex")
-
-
-def matched(spark, sf_dir):
-    r = ad.records(spark, sf_dir)
-    u = linkage.random_levels(r, "record_id", lambda p: levels(spark, sf_dir, p), FIELDS, 20_000)
-    keys = r.select("record_id", F.array(F.concat_ws("|", "name", "sport"), F.concat_ws("|", "date_of_birth", "sport"), F.concat_ws("|", "name", "date_of_birth")).alias("keys"))
-    c = levels(spark, sf_dir, linkage.shared_key_candidates(keys, "record_id", "keys", 2).select("a", "b"))
-    patterns = linkage.pattern_counts(c, FIELDS)
-    m, prior = linkage.fit_matching(patterns, u, FIELDS, 0.1)
-    return linkage.score(c, m, u, FIELDS, prior)
-
-
-@query()
-def m6_match_probabilities(spark, sf_dir):
-    """Candidate pairs with the probability that they are one person."""
-    return matched(spark, sf_dir).select("a", "b", F.round("probability", 6).alias("probability"))
-
-
-@query()
-def m6b_greedy_groups(spark, sf_dir):
-    """Groups of records, the strongest link first, without conflicting dates."""
-    s = matched(spark, sf_dir).select("a", "b", "probability", (F.col("dob") == "none").alias("conflict"))
-    return linkage.greedy_groups(s, "conflict")
-
-
 CLUSTER_SQL = f"""{ad.RECORDS}, c AS (SELECT record_id, record_id % 400 AS f, CASE WHEN record_id % 11 = 0 THEN record_id ELSE record_id % 200 END AS t FROM records)"""
 
 

@@ -167,11 +167,3 @@ def f12_codes_and_seasons(spark, sf_dir):
     country = F.when(k % 4 == 0, "Egypt").when(k % 4 == 1, "France").when(k % 4 == 2, "Morocco").otherwise("Nowhere")
     text = F.concat(F.lit("Premier League 20"), (10 + k % 9).cast("string"), F.lit("/"), (11 + k % 9).cast("string"))
     return ad.table(spark, sf_dir, "nation").select("n_nationkey", named(country, {"Egypt": "EG", "France": "FR", "Morocco": "MA"}).alias("code"), season_of_text(text).alias("season"))
-
-
-@query()
-def f5_sound_keys(spark, sf_dir):
-    """Records by the sounds of their names' words; distinct words are worked out once."""
-    r = ad.records(spark, sf_dir).select("record_id", F.explode(F.split("name", " ")).alias("word"))
-    keys = r.select("word").distinct().withColumn("key", people.sound_key(F.col("word")))
-    return r.join(keys, "word").where("key <> ''").groupBy("key").agg(F.countDistinct("record_id").alias("records"))
