@@ -17,13 +17,20 @@ from pitchlake.llm.common import shared_folder, table
 from pitchlake.llm.queries import mixed
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so Python workers get a thousand of them at a time, not ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the classifier rejects go."""
+    small_batches(spark)
     return quality.classify(docs, table(spark, sf_dir, "labels")).where("accepted").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7, five words and a similarity of 0.8: of each group its least id stays."""
+    small_batches(spark)
     found = ngram_join.join_similar(docs, size=5, percent=80)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return ngram_join.without(docs, gone, "doc_id")
@@ -31,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents with a passage of a benchmark item go."""
+    small_batches(spark)
     return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
 
 
