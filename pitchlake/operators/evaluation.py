@@ -47,18 +47,36 @@ def errors_by(df: DataFrame, truth: str, guess: str, cuts: Sequence[str]) -> Dat
     return g.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
 
 
+#: The chances of at most 0, 1, .. 5 of a Poisson number of mean 1.
+POISSON_STEPS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def resampled(clusters: DataFrame, key: str, times: int, seed: int) -> DataFrame:
+    """``clusters`` once for each resampling ``t``, with its weight ``w`` there: a Poisson(1) number
+    drawn from a hash of both, so it doesn't depend on how the rows are dealt."""
+    rows = clusters.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    hashed = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("t").cast("string"))), 1, 7)
+    u = (F.conv(hashed, 16, 10).cast("long") + 0.5) / float(1 << 28)
+    return rows.withColumn("w", sum(((u > b).cast("int") for b in POISSON_STEPS), F.lit(0)))
+
+
 def bootstrap(clusters: DataFrame, key: str, top: str, bottom: str, times: int = 200, seed: int = 3) -> DataFrame:
-    """(low, high) of the ratio of sums, from ``times`` resamplings of whole clusters.
+    """(low, high) of the ratio of sums, from ``times`` resamplings of whole clusters."""
+    r = resampled(clusters, key, times, seed).groupBy("t").agg((F.sum(F.col(top) * F.col("w")) / F.nullif(F.sum(F.col(bottom) * F.col("w")), F.lit(0))).alias("r"))
+    return r.agg(F.expr("percentile(r, 0.025)").alias("low"), F.expr("percentile(r, 0.975)").alias("high"))
+
 
-    A cluster's weight in a resampling is a Poisson(1) number drawn from a hash of both, so the
-    result doesn't depend on how the rows are dealt.
+def paired_bootstrap(rows: DataFrame, cluster: str, first: str, second: str, times: int = 1000, seed: int = 5) -> DataFrame:
+    """(difference, low, high): mean of ``first`` less that of ``second``, losses of two models on the
+    same rows, with the middle 95 % over ``times`` resamplings of whole clusters.
+
+    Both models have the same clusters in a resampling, so what makes some clusters harder for
+    both cancels out. A cluster is one row before it is resampled.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("t")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u > b).cast("int") for b in bounds), F.lit(0))
-    rows = clusters.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("w", weight)
-    r = rows.groupBy("t").agg((F.sum(F.col(top) * F.col("w")) / F.nullif(F.sum(F.col(bottom) * F.col("w")), F.lit(0))).alias("r"))
-    return r.agg(F.expr("percentile(r, 0.025)").alias("low"), F.expr("percentile(r, 0.975)").alias("high"))
+    d = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).withColumn("_d", F.round(F.col(first) - F.col(second), 9).cast("decimal(28,9)"))
+    sums = d.groupBy(cluster).agg(F.sum("_d").cast("double").alias("d"), F.count("*").alias("n"))
+    whole = sums.agg((F.sum("d") / F.sum("n")).alias("difference"))
+    return whole.join(bootstrap(sums, cluster, "d", "n", times, seed))
 
 
 def fairness(df: DataFrame, quarter: str, flagged: str, positive: str) -> DataFrame:
@@ -169,11 +187,13 @@ def neighbour_quality(near: DataFrame, rows: DataFrame, groups: Sequence[str], k
 
     near: (key, other); rows: (groups, key, role, level). The share of neighbours of one's role
     and that of the group's others; the mean difference of level from the neighbours and from
-    all others. The latter comes from sums over distinct levels, not from pairs.
+    all others. The latter comes from sums over distinct levels, not from pairs; levels that are
+    decimals are added up exactly and divided last.
     """
+    mean = lambda total, n: total.cast("double") / n
     o = rows.select(F.col(key).alias("other"), F.col(role).alias("_role"), F.col(level).alias("_level"))
     own = near.select(key, "other").join(rows.select(*groups, key, role, level), key).join(o, "other")
-    found = own.groupBy(*groups, key).agg(F.avg((F.col(role) == F.col("_role")).cast("double")).alias("same_role"), F.avg(F.abs(F.col(level) - F.col("_level"))).alias("gap"), F.count("*").alias("_k")).where(F.col("_k") >= k)
+    found = own.groupBy(*groups, key).agg(F.avg((F.col(role) == F.col("_role")).cast("double")).alias("same_role"), mean(F.sum(F.abs(F.col(level) - F.col("_level"))), F.count("*")).alias("gap"), F.count("*").alias("_k")).where(F.col("_k") >= k)
     n = rows.groupBy(*groups).agg(F.count("*").alias("_n"), F.sum(level).alias("_sum"))
     same = rows.groupBy(*groups, role).agg(F.count("*").alias("_same"))
     w = Window.partitionBy(*groups).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)  # of distinct levels
@@ -184,7 +204,7 @@ def neighbour_quality(near: DataFrame, rows: DataFrame, groups: Sequence[str], k
     above, above_sum = F.col("_n") - F.col("_below") - F.col("_m"), F.col("_sum") - F.col("_below_sum") - a * F.col("_m")
     total = a * F.col("_below") - F.col("_below_sum") + above_sum - a * above
     others = F.nullif(F.col("_n") - 1, F.lit(0))
-    pool = x.select(*groups, key, ((F.col("_same") - 1) / others).alias("chance"), (total / others).alias("random_gap"))
+    pool = x.select(*groups, key, ((F.col("_same") - 1) / others).alias("chance"), mean(total, others).alias("random_gap"))
     return found.drop("_k").join(pool, [*groups, key])
 
 

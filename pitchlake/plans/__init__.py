@@ -1,7 +1,7 @@
 """The registered queries: operators on adapters of the given tables, with their SQL."""
 
-from . import evaluations, feeds, forecasts, growth, identity, league, records, results
+from . import backtests, evaluations, feeds, forecasts, growth, identity, league, merges, records, results
 
-_PARTS = (growth, league, results, forecasts, records, feeds, evaluations, identity)
+_PARTS = (growth, league, results, forecasts, records, feeds, evaluations, identity, backtests, merges)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

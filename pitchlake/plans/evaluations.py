@@ -9,7 +9,6 @@ from ..functions.people import exact_form
 from ..operators import cohorts, evaluation, matches, models, people, seasons, temporal
 from ..session import cut
 from . import adapters as ad
-from .feeds import d17_decision_backtest
 from .forecasts import CASE_SQL, H, NEAR_SQL, cases, vectors
 from .growth import FEATURES_SQL, features, mismatches
 from .league import CAND_SQL, TEAM_SQL, last, teams
@@ -248,27 +247,19 @@ def a36_recommendations(spark, sf_dir):
     return evaluation.thirds_agreement(reports(spark, sf_dir), ["grp"], "player_id", "recommendation", "truth")
 
 
-@query(f"""WITH {NEAR_SQL}, r AS (SELECT v.*, player_id % 4 AS role, s_acctbal AS level FROM v JOIN supplier ON s_suppkey = player_id), d AS (SELECT a.grp, a.player_id, a.role = b.role AS same, abs(a.level - b.level) AS gap, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance, b.player_id AS other FROM r a JOIN r b ON a.grp = b.grp AND a.player_id <> b.player_id),
+@query(f"""WITH {NEAR_SQL}, r AS (SELECT v.*, player_id % 4 AS role, CAST(s_acctbal AS DECIMAL(12, 2)) AS level FROM v JOIN supplier ON s_suppkey = player_id), d AS (SELECT a.grp, a.player_id, a.role = b.role AS same, abs(a.level - b.level) AS gap, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance, b.player_id AS other FROM r a JOIN r b ON a.grp = b.grp AND a.player_id <> b.player_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY distance, other) AS place FROM d)
 SELECT player_id, round(avg(CAST(same AS INT)) FILTER (place <= 5), 4) AS same_role, round(avg(CAST(same AS INT)), 4) AS chance, round(avg(gap) FILTER (place <= 5), 1) AS gap, round(avg(gap), 1) AS random_gap FROM k GROUP BY 1""")
 def a32_neighbour_quality(spark, sf_dir):
     """Role and level of each player's five nearest against those of all others of the group."""
     v = vectors(spark, sf_dir)
-    s = ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_acctbal").alias("level"))
+    s = ad.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_acctbal").cast("decimal(12,2)").alias("level"))
     rows = v.select("grp", "player_id", (F.col("player_id") % 4).alias("role")).join(s, "player_id")
     near = models.nearest(v, ["grp"], "player_id", ["goals", "npxg", "passes"], 5)
     q = evaluation.neighbour_quality(near, rows, ["grp"], "player_id", "role", "level", 5)
     return q.select("player_id", *R4("same_role", "chance"), *[F.round(c, 1).alias(c) for c in ("gap", "random_gap")])
 
 
-@query()
-def a33_backtest_summary(spark, sf_dir):
-    """The backtest's counts over all cutoffs, with Wilson's interval of the share found."""
-    d = d17_decision_backtest(spark, sf_dir).agg(*[F.sum(c).alias(c) for c in ("players", "flagged", "caught_up", "hits")])
-    low, high = evaluation.wilson(F.col("hits"), F.col("caught_up"))
-    return d.select("players", "flagged", "caught_up", "hits", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
-
-
 # --- baselines, nets ------------------------------------------------------------------------
 
 

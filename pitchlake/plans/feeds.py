@@ -150,25 +150,6 @@ def a7_team_totals(spark, sf_dir):
     return feed.team_totals(match_results(spark, sf_dir))
 
 
-CUTS = ("1997-01-01", "1998-01-01", "1999-01-01")
-
-
-@query(f"""WITH {Z_SQL}, c AS (SELECT unnest([{', '.join(f"DATE '{d}'" for d in CUTS)}]) AS cutoff),
-f AS (SELECT cutoff, player_id, avg(z) <= -0.9 AND count(*) >= 3 AS flagged, arg_max(z, (measured_at, value)) AS z0 FROM z JOIN c ON measured_at <= cutoff GROUP BY ALL),
-l AS (SELECT cutoff, player_id, arg_max(z, (measured_at, value)) AS z1 FROM z JOIN c ON measured_at >= cutoff + 365 GROUP BY ALL)
-SELECT cutoff, count(*) AS players, count(*) FILTER (flagged) AS flagged, count(*) FILTER (z1 - z0 >= 0.5) AS caught_up, count(*) FILTER (flagged AND z1 - z0 >= 0.5) AS hits FROM f JOIN l USING (cutoff, player_id) GROUP BY 1""")
-def d17_decision_backtest(spark, sf_dir):
-    """At each cutoff: who would have been flagged, and whose size caught up a year on."""
-    cutoffs = spark.sql("SELECT explode(array({})) AS cutoff".format(", ".join(f"DATE'{d}'" for d in CUTS)))
-    z = cohorts.z_scores(ad.readings(spark, sf_dir), height_reference(spark, sf_dir), ["sex"], "age", "value").select("player_id", "measured_at", "value", "z")
-    at = F.struct("measured_at", "value")
-    seen = temporal.as_of(z, cutoffs, "measured_at").groupBy("cutoff", "player_id").agg(((F.avg("z") <= -0.9) & (F.count("*") >= 3)).alias("flagged"), F.max_by("z", at).alias("z0"))
-    later = z.join(F.broadcast(cutoffs), F.col("measured_at") >= F.date_add("cutoff", 365)).groupBy("cutoff", "player_id").agg(F.max_by("z", at).alias("z1"))
-    up = F.col("z1") - F.col("z0") >= 0.5
-    n = lambda c: F.count(F.when(c, 1))
-    return seen.join(later, ["cutoff", "player_id"]).groupBy("cutoff").agg(F.count("*").alias("players"), n(F.col("flagged")).alias("flagged"), n(up).alias("caught_up"), n(F.col("flagged") & up).alias("hits"))
-
-
 @query()
 def m1d_tree_forecast(spark, sf_dir):
     """Errors of a boosted forecast learnt from the cases known by the last origin."""

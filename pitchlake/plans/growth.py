@@ -24,15 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
+HEIGHT_FLOOR = 0.5  # of the spread of heights within a cohort
 REFERENCE_SQL = f"""{ad.READINGS},
 bucket AS (SELECT sex, CAST(round_even(age, 0) AS INTEGER) AS age, value FROM readings),
 own AS (SELECT DISTINCT sex, age FROM bucket),
 near AS (SELECT sex, unnest([age - 1, age, age + 1]) AS age, value FROM bucket),
-reference AS (SELECT sex, age, median(value) AS median, greatest(stddev_pop(value), 0.5) AS sd, count(*) AS members FROM near SEMI JOIN own USING (sex, age) GROUP BY sex, age HAVING count(*) >= 5)"""
+reference AS (SELECT sex, age, median(value) AS median, greatest(stddev_pop(value), {HEIGHT_FLOOR}) AS sd, count(*) AS members FROM near SEMI JOIN own USING (sex, age) GROUP BY sex, age HAVING count(*) >= 5)"""
 
 
 def height_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohorts.cohort_reference(ad.readings(spark, sf_dir), ["sex"], "age", "value", 0.5)
+    return cohorts.cohort_reference(ad.readings(spark, sf_dir), ["sex"], "age", "value", HEIGHT_FLOOR)
 
 
 @query(f"WITH {REFERENCE_SQL} SELECT sex, age, round(median, 4) AS median, round(sd, 4) AS sd, members FROM reference")

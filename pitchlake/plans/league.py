@@ -327,14 +327,6 @@ def a27_bcubed(spark, sf_dir):
     return linkage.bcubed(*clusters(spark, sf_dir), "record_id", "c").select(*R4("precision", "recall"))
 
 
-@query(f"""WITH {ad.SPELLS}, m AS (SELECT spell_id, CASE WHEN player_id % 10 = 0 THEN player_id + 1 ELSE player_id END AS player_id, player_id % 10 = 0 AS moved, organization_id FROM spells),
-r AS (SELECT *, row_number() OVER (PARTITION BY player_id, organization_id ORDER BY moved, spell_id) AS k FROM m) SELECT spell_id, player_id, organization_id, moved FROM r WHERE NOT moved OR k = 1""")
-def d13_merge_records(spark, sf_dir):
-    s = ad.spells(spark, sf_dir).select("spell_id", "player_id", "organization_id")
-    to = s.select("player_id").distinct().where("player_id % 10 = 0").select(F.col("player_id").alias("key"), (F.col("player_id") + 1).alias("survivor"))
-    return linkage.merge_records(s, to, "player_id", ["organization_id"], "spell_id")
-
-
 @query("""WITH RECURSIVE p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN c_custkey // 2 ELSE c_custkey END AS m FROM customer), r AS (SELECT k, m, 0 AS d FROM p UNION ALL SELECT r.k, p.m, d + 1 FROM r JOIN p ON r.m = p.k AND p.m <> p.k WHERE d < 30)
 SELECT k AS player_id, arg_max(m, d) AS survivor FROM r GROUP BY 1""")
 def j15_survivors(spark, sf_dir):
@@ -527,13 +519,31 @@ def a29_poisson_deviance(spark, sf_dir):
     return d.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg(evaluation.poisson_deviance(F.col("y"), F.col("m"))), 4).alias("deviance"))
 
 
-@query()
+def _draws(times: int, seed: int, key: str) -> str:
+    """SQL: (key, t, w), the weight of a cluster in each resampling."""
+    steps = " + ".join(f"CAST(u > {b!r} AS INT)" for b in evaluation.POISSON_STEPS)
+    return f"""dr AS (SELECT *, {steps} AS w FROM (SELECT *, (CAST('0x' || left(md5('{seed}|' || {key} || '|' || t), 7) AS BIGINT) + 0.5) / 268435456.0 AS u FROM cl, (SELECT unnest(range(1, {times} + 1)) AS t)))"""
+
+
+@query(f"""WITH {ad.SEASONS}, cl AS (SELECT player_id, sum(goals) AS g, sum(shots) AS s FROM seasons GROUP BY 1), {_draws(200, 3, 'player_id')}, r AS (SELECT t, sum(g * w) * 1.0 / nullif(sum(s * w), 0) AS r FROM dr GROUP BY 1)
+SELECT round(quantile_cont(r, 0.025), 4) AS low, round(quantile_cont(r, 0.975), 4) AS high FROM r""")
 def a22_bootstrap_interval(spark, sf_dir):
     """Interval of the goals-per-shot ratio over resampled players."""
     s = ad.seasons(spark, sf_dir).groupBy("player_id").agg(F.sum("goals").alias("g"), F.sum("shots").alias("s"))
     return evaluation.bootstrap(s, "player_id", "g", "s").select(*R4("low", "high"))
 
 
+@query(f"""WITH {ad.SEASONS}, x AS (SELECT player_id, goals AS y, greatest(shots * 0.33, 0.1) AS a, greatest(minutes * 0.33 / 90.0 * (1 + (player_id % 3) / 10.0), 0.1) AS b FROM seasons),
+d AS (SELECT player_id, 2 * (CASE WHEN y > 0 THEN y * ln(y / a) ELSE 0 END - (y - a)) - 2 * (CASE WHEN y > 0 THEN y * ln(y / b) ELSE 0 END - (y - b)) AS d FROM x),
+cl AS (SELECT player_id, CAST(sum(CAST(round(d, 9) AS DECIMAL(28, 9))) AS DOUBLE) AS d, count(*) AS n FROM d GROUP BY 1), {_draws(500, 5, 'player_id')}, r AS (SELECT t, sum(d * w) / nullif(sum(n * w), 0) AS r FROM dr GROUP BY 1)
+SELECT round((SELECT sum(d) / sum(n) FROM cl), 4) + 0.0 AS difference, round(quantile_cont(r, 0.025), 4) + 0.0 AS low, round(quantile_cont(r, 0.975), 4) + 0.0 AS high FROM r""")
+def a22_paired_difference(spark, sf_dir):
+    """Deviance of one estimate of goals less that of another, both on the same resampled players."""
+    x = ad.seasons(spark, sf_dir).select("player_id", F.col("goals").cast("double").alias("y"), F.greatest(F.col("shots") * 0.33, F.lit(0.1)).alias("a"), F.greatest(F.col("minutes") * 0.33 / 90.0 * (1 + (F.col("player_id") % 3) / 10.0), F.lit(0.1)).alias("b"))
+    rows = x.select("player_id", evaluation.poisson_deviance(F.col("y"), F.col("a")).alias("first"), evaluation.poisson_deviance(F.col("y"), F.col("b")).alias("second"))
+    return evaluation.paired_bootstrap(rows, "player_id", "first", "second", 500, 5).select(*R4("difference", "low", "high"))
+
+
 @query(f"""WITH {LAST_SQL} SELECT player_id, {_pct_sql('npxg', 'grp')} AS percentile FROM last""")
 def w4_estimate_percentile(spark, sf_dir):
     return midrank(last(spark, sf_dir), ["grp"], "npxg", include_self=False).select("player_id", "percentile")
