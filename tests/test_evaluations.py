@@ -133,9 +133,9 @@ def test_running_sums_and_tails(spark):
 
 
 def test_names_and_evidence(spark):
-    df = spark.createDataFrame([("same", "none", "unknown"), ("close", "unknown", "same")], "name string, dob string, sport string")
+    df = spark.createDataFrame([("all", "conflict", "unknown"), ("most", "unknown", "same")], "name string, dob string, sport string")
     got = [r[0] for r in df.select(names.evidence({c: F.col(c) for c in ("name", "dob", "sport")})).collect()]
-    assert got == [["All words of both names match", "Dates of birth disagree"], ["Half of the words or more match", "A date of birth is missing", "Same sport"]]
+    assert got == [["Every word of the shorter name after the given one is in the other", "Dates of birth disagree"], ["Most words after the given name match", "A date of birth is missing", "Same sport"]]
     assert spark.range(1).select(names.exact_form(F.lit("  Al \t Ahly SC "))).first()[0] == "al ahly sc"
 
 
