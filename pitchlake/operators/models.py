@@ -351,24 +351,6 @@ def isolation_scores(df: DataFrame, key: str, columns: Sequence[str], trees: int
     return df.select(key, *columns).na.drop().mapInPandas(scored, f"{key} {kind}, score double")
 
 
-def shot_model(shots: DataFrame, match: str, features: Sequence[str], goal: str, folds: int = 5):
-    """(out-of-fold chances by fold of the match, the model of all): logistic regression."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.feature import VectorAssembler
-
-    v = VectorAssembler(inputCols=list(features), outputCol="_v").transform(shots.withColumn("_y", F.col(goal).cast("double")).withColumn("_fold", F.pmod(F.xxhash64(match), F.lit(folds)).cast("int")))
-    fit = partial(LogisticRegression, featuresCol="_v", labelCol="_y", regParam=1e-3, maxIter=50)
-    parts = []
-    for k in range(folds):
-        model = fit().fit(v.where(F.col("_fold") != k))
-        parts.append(model.transform(v.where(F.col("_fold") == k)).withColumn("xg", vector_to_array("probability")[1]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_v", "_y", "rawPrediction", "probability", "prediction"), fit().fit(v)
-
-
 def timing_shift(readings: DataFrame, points: DataFrame, group: str, player: str, age: str, value: str, penalty: float = 4.0, steps: int = 60, width: float = 3.0) -> DataFrame:
     """(player, shift, size, loss): the shift of age at which a player's readings fit the curve.
 

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.match import goal_angle, goal_distance
 from ..functions.people import age_range, birth_relation, name_tokens, normal_name, token_containment
 from ..operators import cohorts, evaluation, models, seasons
 from ..session import cut
@@ -136,14 +135,6 @@ def d16_finishing(spark, sf_dir):
     return s.select("player_id", "goals", F.round("chances", 4).alias("chances"), "r.low", "r.high", models.finishing(F.col("goals"), F.col("r")).alias("verdict"))
 
 
-@query()
-def m9_shot_chances(spark, sf_dir):
-    """Out-of-fold chances of tagged events to be shots that count, by match folds."""
-    t = ad.tags(spark, sf_dir).select("event_id", F.concat_ws("|", F.col("match_date").cast("string"), "event_type").alias("match"), goal_distance(F.col("x"), F.col("y")).alias("distance"), goal_angle(F.col("x"), F.col("y")).alias("angle"), (F.col("outcome") == "won").alias("goal"))
-    out, _ = models.shot_model(t, "match", ["distance", "angle"], "goal")
-    return out.select("event_id", "goal", F.round("xg", 6).alias("xg"))
-
-
 @query()
 def m10_isolation_forest(spark, sf_dir):
     """How odd each player's latest card is."""
