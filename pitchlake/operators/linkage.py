@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.people import birth_relation, token_containment
-from ..session import cut
+from ..session import cut, written
 from .names import hits, same_word
 
 
@@ -198,20 +198,20 @@ def random_pairs(records: DataFrame, key: str, pairs: int, seed: int = 7) -> Dat
     return ahead.select("a", F.explode("m").alias("b")).where("b is not null")
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, component): least id by links (a, b), by propagating minima, cut each round."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    now = cut(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): least id by links (a, b), by propagating minima until none moves; each
+    round is written, as its size has to be known to the next one's joins."""
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    now = written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
+    while True:
         near = both.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         step = now.join(near, "id").select("id", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
         jump = now.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        step = cut(step.join(jump, "component", "left").select("id", F.least("component", "root").alias("component"), "moved"))
+        step = written(step.join(jump, "component", "left").select("id", F.least("component", "root").alias("component"), "moved"))
         moved = step.where("moved").limit(1).count()
         now = step.select("id", "component")
         if not moved:
             return now
-    raise RuntimeError("the components have not settled")
 
 
 def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, most: int = 100_000) -> DataFrame:
@@ -228,25 +228,25 @@ def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, most: in
     A group is its least id. Records without a link that counts have no row.
     """
     pairs = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "probability", F.col(conflict).alias("conflict"))
-    bad = cut(pairs.where("conflict").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
+    bad = written(pairs.where("conflict").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
     links = pairs.where((F.col("probability") >= least) & ~F.col("conflict")).groupBy("a", "b").agg(F.max("probability").alias("p"))
-    return _settled(cut(links.select("a", "b", "p", F.col("a").alias("x"), F.col("b").alias("y"))), bad, most).select(F.col("node").alias("id"), "group")
+    return _settled(written(links.select("a", "b", "p", F.col("a").alias("x"), F.col("b").alias("y"))), bad, most).select(F.col("node").alias("id"), "group")
 
 
 def _settled(links: DataFrame, bad: DataFrame, most: int) -> DataFrame:
     """(node, group) of the ends x, y of ``links`` (a, b, p, x, y) that are taken by (-p, a, b)."""
     parts = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
-    clashes = cut(bad.join(of("x"), "x").join(of("y"), "y").where("part_x = part_y").select(F.col("part_x").alias("part"), "x", "y"))
+    clashes = written(bad.join(of("x"), "x").join(of("y"), "y").where("part_x = part_y").select(F.col("part_x").alias("part"), "x", "y"))
     whole = parts.join(clashes.select(F.col("part").alias("component")).distinct(), "component", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("group"))
     if clashes.isEmpty():
-        return cut(whole)
-    inside = cut(links.join(of("x"), "x").withColumnRenamed("part_x", "part").join(clashes.select("part").distinct(), "part", "left_semi"))
+        return written(whole)
+    inside = written(links.join(of("x"), "x").withColumnRenamed("part_x", "part").join(clashes.select("part").distinct(), "part", "left_semi"))
     sizes = inside.groupBy("part").agg(F.count("*").alias("links")).join(clashes.groupBy("part").agg(F.count("*").alias("clashes")), "part")
-    sizes = cut(sizes.select("part", ((F.col("links") + F.col("clashes") > most) & (F.col("links") > 1)).alias("large")))
+    sizes = written(sizes.select("part", ((F.col("links") + F.col("clashes") > most) & (F.col("links") > 1)).alias("large")))
     small = sizes.where("not large").select("part")
     ordered = inside.join(small, "part", "left_semi").groupBy("part").cogroup(clashes.join(small, "part", "left_semi").groupBy("part"))
-    done = cut(whole.union(ordered.applyInPandas(_in_order, "node long, group long").select(F.col("node").cast(whole.schema["node"].dataType), F.col("group").cast(whole.schema["group"].dataType))))
+    done = written(whole.union(ordered.applyInPandas(_in_order, "node long, group long").select(F.col("node").cast(whole.schema["node"].dataType), F.col("group").cast(whole.schema["group"].dataType))))
     if sizes.where("large").isEmpty():
         return done
     large = inside.join(sizes.where("large").select("part"), "part", "left_semi")
@@ -258,13 +258,13 @@ def _settled(links: DataFrame, bad: DataFrame, most: int) -> DataFrame:
             df = df.join(first.select(F.col("node").alias(c), "group"), c, "left").withColumn(c, F.coalesce("group", c)).drop("group")
         return df.where("x <> y").withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
 
-    bad = cut(moved(bad).select("x", "y").distinct())
-    weak = cut(moved(weak).join(bad, ["x", "y"], "left_anti").select("a", "b", "p", "x", "y"))
+    bad = written(moved(bad).select("x", "y").distinct())
+    weak = written(moved(weak).join(bad, ["x", "y"], "left_anti").select("a", "b", "p", "x", "y"))
     nodes = large.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(first, "node", "left").withColumn("group", F.coalesce("group", "node"))
     if not weak.isEmpty():
         second = _settled(weak, bad, most).select(F.col("node").alias("group"), F.col("group").alias("last"))
         nodes = nodes.join(second, "group", "left").withColumn("group", F.coalesce("last", "group"))
-    return cut(done.union(nodes.select("node", "group")))
+    return written(done.union(nodes.select("node", "group")))
 
 
 def _bands(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +280,7 @@ def _bands(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_b = tops.join(by_a, "part").where("a = first_a and ma = first_a").groupBy("part").agg(middle("b").alias("mb"))
     cuts = at.join(by_a, "part", "left").join(by_b, "part", "left")
     strong = F.when(F.col("mp") < F.col("top"), F.col("p") > F.col("mp")).when(F.col("p") < F.col("top"), False).when(F.col("ma") > F.col("first_a"), F.col("a") < F.col("ma")).otherwise((F.col("a") == F.col("first_a")) & (F.col("b") <= F.col("mb")))
-    split = cut(links.join(cuts, "part").withColumn("strong", strong).select("a", "b", "p", "x", "y", "strong"))
+    split = written(links.join(cuts, "part").withColumn("strong", strong).select("a", "b", "p", "x", "y", "strong"))
     return split.where("strong").drop("strong"), split.where("not strong").drop("strong")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 
 
 def in_force(df: DataFrame, on: Column, start: str, end: str) -> DataFrame:
@@ -106,7 +106,7 @@ def follow_pointers(records: DataFrame, key: str, pointer: str, most: int = 20)
     now = records.select(F.col(key).alias("key"), F.coalesce(F.col(pointer), F.col(key)).alias("survivor"))
     for _ in range(most):
         step = now.select(F.col("key").alias("survivor"), F.col("survivor").alias("_next"))
-        doubled = cut(now.join(step, "survivor", "left").select("key", F.coalesce("_next", "survivor").alias("next"), "survivor"))
+        doubled = written(now.join(step, "survivor", "left").select("key", F.coalesce("_next", "survivor").alias("next"), "survivor"))
         moved = doubled.where("next <> survivor").limit(1).count()
         now = doubled.select("key", F.col("next").alias("survivor"))
         if not moved:

@@ -218,10 +218,17 @@ def shapes():
     star = lambda n: {(0, i): (chance(True), False) for i in range(1, n)} | {(i, i + 1): (0.9, True) for i in range(1, 40, 2)}
     chain = lambda n: {(i, i + 1): (chance(False), False) for i in range(n)} | {(i, i + n // 2): (0.9, True) for i in range(0, n // 2, 10)}
     clique = {(a, b): (chance(True), a % 20 == 0 and b % 20 == 7) for a, b in itertools.combinations(range(120), 2)}
-    return {"star": star(1000), "small star": star(60), "chain": chain(1000), "clique": clique}
+    return {"star": star(1000), "small star": star(60), "chain": chain(1000), "small chain": chain(60), "clique": clique}
 
 
-@pytest.mark.parametrize("shape, most", [("star", 100_000), ("small star", 50), ("clique", 100_000)])
+def test_a_long_path_is_one_component(spark):
+    ids = list(range(3000))
+    random.Random(5).shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {tuple(r) for r in linkage.components(df).collect()} == {(i, 0) for i in ids}
+
+
+@pytest.mark.parametrize("shape, most", [("star", 100_000), ("star", 600), ("small star", 50), ("small chain", 40), ("clique", 100_000)])
 def test_groups_of_any_shape_equal_links_in_order(spark, shape, most):
     pairs = shapes()[shape]
     df = spark.createDataFrame([(a, b, p, c) for (a, b), (p, c) in pairs.items()], "a long, b long, probability double, conflict boolean")
