@@ -199,19 +199,30 @@ def random_pairs(records: DataFrame, key: str, pairs: int, seed: int = 7) -> Dat
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): least id by links (a, b), by propagating minima until none moves; each
-    round is written, as its size has to be known to the next one's joins."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    now = written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
+    """(id, component) of each node of links (a, b): the least id that links reach.
+
+    Large-star and small-star steps in turn (Kiveris et al., 2014): rows never exceed the number
+    of links, a node of very many links is only aggregated by a minimum or joined, and the rounds
+    grow with the logarithm of the longest path. Nulls and links of a node with itself are left
+    out. Each round is written as a table: a checkpoint would pass on the product of its inputs'
+    estimated sizes, which gains digits with every round.
+    """
+    ends = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = written(ends.distinct())
+    files, before = 1 + edges.count() // 100_000, None
     while True:
-        near = both.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = now.join(near, "id").select("id", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        jump = now.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        step = written(step.join(jump, "component", "left").select("id", F.least("component", "root").alias("component"), "moved"))
-        moved = step.where("moved").limit(1).count()
-        now = step.select("id", "component")
-        if not moved:
-            return now
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        edges = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct().coalesce(files))
+        now = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("v").alias("id")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
 def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, most: int = 100_000) -> DataFrame:
@@ -235,7 +246,7 @@ def greedy_groups(scored: DataFrame, conflict: str, least: float = 0.5, most: in
 
 def _settled(links: DataFrame, bad: DataFrame, most: int) -> DataFrame:
     """(node, group) of the ends x, y of ``links`` (a, b, p, x, y) that are taken by (-p, a, b)."""
-    parts = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    parts = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     of = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
     clashes = written(bad.join(of("x"), "x").join(of("y"), "y").where("part_x = part_y").select(F.col("part_x").alias("part"), "x", "y"))
     whole = parts.join(clashes.select(F.col("part").alias("component")).distinct(), "component", "left_anti").select(F.col("id").alias("node"), F.col("component").alias("group"))
