@@ -1,41 +1,19 @@
-"""Connected components of a link table by alternating star steps."""
+"""Connected components of a link table, and of links within a block."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import cut
+from ..operators.linkage import components
 
 
-def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (columns a, b); component: its least node.
 
-    Large-star and small-star steps in turn (Kiveris et al., 2014): the rows never exceed the
-    number of links, a node of very many links is only ever aggregated by a minimum or joined,
-    and the number of rounds grows with the logarithm of the longest path. Nulls and links of
-    a node with itself are left out. Each round is cut by a checkpoint.
+    Nulls and links of a node with itself are left out.
     """
-    hi, lo = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    edges = cut(links.where("a <> b").select(hi, lo).distinct())
-    most, before = edges.count(), None
-    for _ in range(rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), most)
-        now = edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components have not settled")
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    return components(links).withColumnRenamed("id", "node")
 
 
 def forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.llm import decontaminate, embeddings, mixing, ngram_join, pii, quality, secrets, substrings, tokens, toxicity
+from pitchlake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -767,3 +768,10 @@ def test_rows_without_an_id_come_last(spark):
     got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(frame(spark, [(None, t), (5, t)])).collect()}
     assert got == {5: 0, None: 30}
     assert substrings.remove_repeats(frame(spark, [(5, t)]).limit(0)).count() == 0
+
+
+def test_a_long_path_is_one_component(spark):
+    ids = list(range(3000))
+    random.Random(5).shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    assert {tuple(r) for r in connected_components(df).collect()} == {(i, 0) for i in ids}
