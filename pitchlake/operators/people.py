@@ -30,9 +30,41 @@ def check_person(age: Column, guardian: Column, allowed: Column) -> Column:
 
 
 def visible(players: DataFrame, scope: str, own: DataFrame | None, key: str, merged: Column) -> DataFrame:
-    """Players that a role sees: 'all', or those in ``own`` (of its organisation or itself)."""
+    """Players that a role sees: 'all', or those in ``own`` (of its organisation or itself).
+    Without ``own`` (no organisation, no linked record) or with an unknown scope it sees nobody."""
     kept = players.where(~merged)
-    return kept if scope == "all" else kept.join(own.select(key).distinct(), key, "left_semi")
+    if scope == "all":
+        return kept
+    return kept.join(own.select(key).distinct(), key, "left_semi") if scope == "own" and own is not None else kept.where(F.lit(False))
+
+
+def shortlist(saved: DataFrame, seen: DataFrame, scout: str, player: str) -> DataFrame:
+    """(scout, shown, withheld): of the players that a scout saved, how many may be seen now."""
+    marks = seen.select(player).distinct().withColumn("_seen", F.lit(True))
+    j = saved.select(scout, player).distinct().join(marks, player, "left")
+    return j.groupBy(scout).agg(F.count("_seen").alias("shown"), (F.count("*") - F.count("_seen")).alias("withheld"))
+
+
+def tier_totals(players: DataFrame, tier: str, age: str, since: Column, stale: Column, minor: Column) -> DataFrame:
+    """By tier: all, those under 21, those new within 30 days, and the per cent of minors whose
+    last reading is stale (0 without minors)."""
+    minors = F.count(F.when(minor, 1))
+    return players.groupBy(tier).agg(
+        F.count("*").alias("total"), F.count(F.when(F.col(age) < 21, 1)).alias("under_21"), F.count(F.when(since < 30, 1)).alias("new_this_month"),
+        F.when(minors > 0, F.round(100.0 * F.count(F.when(minor & stale, 1)) / minors, 1)).otherwise(0.0).alias("stale_pct"),
+    )
+
+
+def organization_state(current: DataFrame, complete: DataFrame, flags: DataFrame, organization: str, player: str) -> DataFrame:
+    """By organisation: players, the per cent whose consent is complete, and its live flags.
+
+    ``complete`` and ``flags`` hold players, the latter once for each flag; they are counted by
+    player before they meet the organisations.
+    """
+    agreed = complete.select(player).distinct().withColumn("_c", F.lit(1))
+    live = flags.groupBy(player).agg(F.count("*").alias("_f"))
+    j = current.select(organization, player).distinct().join(agreed, player, "left").join(live, player, "left")
+    return j.groupBy(organization).agg(F.count("*").alias("players"), F.round(100.0 * F.count("_c") / F.count("*"), 1).alias("consent_pct"), F.coalesce(F.sum("_f"), F.lit(0)).alias("open_flags"))
 
 
 def lowest(df: DataFrame, key: str, value: str, n: int) -> DataFrame:

@@ -101,6 +101,26 @@ def candidates(players: DataFrame, group: Sequence[str], player: str, attributes
     return mean.where("mean is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
+def club_candidates(players: DataFrame, needs: DataFrame, league: Sequence[str], group: str, club: str, player: str, attributes: Sequence[str], minutes: str, top: int) -> DataFrame:
+    """For each need (league, group, club) the first ``top`` players of the club's league and
+    group who are with other clubs, by the mean of all their percentiles, rounded to a tenth.
+
+    Percentiles are among the league's whole group, the club's own players included; players
+    without one of them are unranked. A club's list lies within the league's first ``top`` and as
+    many more as the largest club has in the group, so no club meets all players of its league.
+    """
+    keys = [*league, group]
+    long = melt(players, [*keys, club, player, minutes], attributes)
+    ranked = midrank(long, [*keys, "metric"], "value", include_self=False)
+    mean = ranked.groupBy(*keys, club, player, minutes).agg(F.bround(F.avg("percentile"), 1).alias("mean"), F.count("percentile").alias("_known")).where(F.col("_known") == len(attributes)).drop("_known")
+    most = mean.groupBy(*keys, club).agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.max("_n").alias("_most"))
+    order = [F.desc("mean"), F.desc(minutes), F.col(player)]
+    first = mean.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(most, keys).where(F.col("_r") <= top + F.col("_most"))
+    j = needs.select(*keys, F.col(club).alias("for_club")).distinct().join(first, keys).where(F.col(club) != F.col("for_club"))
+    w = Window.partitionBy(*keys, "for_club").orderBy(*order)
+    return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("_r", "_most")
+
+
 def grade(score: Column) -> Column:
     """A from 85, B from 70, C from 50, else D."""
     return F.when(score >= 85, "A").when(score >= 70, "B").when(score >= 50, "C").when(score.isNotNull(), "D")

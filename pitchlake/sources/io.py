@@ -26,28 +26,49 @@ def read_table_over_jdbc(spark: SparkSession, url: str, name: str, column: str,
     return spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
+def write_pages(df: DataFrame, folder: str, by: str, key: str, payload: str | None = None, page: int = 1000) -> None:
+    """Rows as a provider's JSON files: arrays of about ``page`` rows, a file each, in folders
+    ``<by>=<value>``; with ``payload`` an object that holds the array under that name.
+
+    Rows are dealt to a value's pages by a hash of ``key``, so no task holds more than a page.
+    """
+    pages = df.groupBy(by).agg(F.ceil(F.count("*") / page).alias("_pages"))
+    j = df.join(pages, by).withColumn("_page", F.pmod(F.xxhash64(key), F.col("_pages")))
+    rows = F.collect_list(F.struct(*[c for c in df.columns if c != by]))
+    whole = F.to_json(F.struct(rows.alias(payload)) if payload else rows)
+    j.groupBy(by, "_page").agg(whole.alias("value")).select(by, "value").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(by).text(folder)
+
+
 def read_event_tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Matches, lineups and events of a provider's tree, with the match id of a file's name.
+    """Matches, lineups and events of a provider's tree, with the match id of a file's name or
+    of its folder ``match_id=<id>``, as ``write_pages`` makes them.
 
     Multi-line JSON files aren't split; there are many of them, and the events are dealt by
     match afterwards, so later aggregations by match need no further shuffle.
     """
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.json$", 1).cast("long").alias("match_id")
+    path = F.col("_metadata.file_path")
+    name = F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in (r"match_id=(\d+)/[^/]+$", r"(\d+)\.json$")]).cast("long").alias("match_id")
 
     def read(part: str, schema: str) -> DataFrame:
-        df = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/{part}")
+        df = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(f"{folder}/{part}")
         return df.select("*", name)
 
     matches = spark.read.option("multiLine", True).json(f"{folder}/matches/*")
     return {"matches": matches, "lineups": read("lineups", LINEUP), "events": read("events", EVENT).repartition("match_id")}
 
 
-def read_provider_cache(spark: SparkSession, folder: str, parts: Sequence[str] = ("players", "matches", "teams")) -> dict[str, DataFrame]:
+def read_provider_cache(spark: SparkSession, folder: str, parts: Sequence[str] = ("players", "matches", "teams"), paged: bool = False) -> dict[str, DataFrame]:
     """Rows under ``data`` of each season's files, for seasons that have all parts.
 
-    A season is a folder ``season=<id>``.
+    A season is a folder ``season=<id>``; its part is a file ``<part>.json``, or a folder
+    ``<part>/season=<id>`` of pages.
     """
-    tables = {p: spark.read.option("multiLine", True).json(f"{folder}/*/{p}.json").select(F.explode("data").alias("row"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("season")).select("season", "row.*") for p in parts}
+
+    def read(part: str, paged: bool) -> DataFrame:
+        df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(f"{folder}/{part}" if paged else f"{folder}/*/{part}.json")
+        return df.select(F.explode("data").alias("row"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("season")).select("season", "row.*")
+
+    tables = {p: read(p, paged) for p in parts}
     whole = None
     for df in tables.values():
         s = df.select("season").distinct()

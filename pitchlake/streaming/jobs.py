@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +62,44 @@ def check_arrivals(last: str, out: str, drop: float = 1.5, monthly: float = 2.5)
         j.withColumn("warnings", warnings).drop("_d", "_v").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return check
+
+
+CHECKED = "reading_id long, player_id long, measured_at date, value double, warnings array<string>"
+
+
+def check_player(key: tuple, frames: Iterator[pd.DataFrame], state, low: float, high: float, drop: float, monthly: float) -> Iterator[pd.DataFrame]:
+    """A player's arriving readings against the last one in ``state``: (day, reading_id, value)."""
+    new = pd.concat(list(frames)).sort_values(["measured_at", "reading_id"], kind="stable", ignore_index=True)
+    day = pd.to_datetime(new["measured_at"]).to_numpy().astype("datetime64[D]").astype("int64")
+    number, value = new["reading_id"].to_numpy(), new["value"].to_numpy(dtype=float)
+    absent = new["measured_at"].isna().to_numpy() | np.isnan(value)
+    held = state.get if state.exists else None
+    late = again = np.zeros(len(new), dtype=bool)
+    if held:
+        again = (day == held[0]) & (number == held[1])
+        late = (day < held[0]) | ((day == held[0]) & (number < held[1]))
+    again = ~absent & (again | new.duplicated(["measured_at", "reading_id"]).to_numpy())
+    fresh = ~absent & ~again & ~late
+    before_day, before = np.full(len(new), np.nan), np.full(len(new), np.nan)
+    if fresh.any():
+        first_day, first = (held[0], held[2]) if held else (np.nan, np.nan)
+        before_day[fresh] = np.concatenate([[first_day], day[fresh][:-1]])
+        before[fresh] = np.concatenate([[first], value[fresh][:-1]])
+        last = np.flatnonzero(fresh)[-1]
+        state.update((int(day[last]), int(number[last]), float(value[last])))
+    change, months = value - before, np.maximum((day - before_day) / 30.44, 1.0)
+    marks = {"absent": absent, "repeated": again, "late": ~absent & ~again & late, "unusual": fresh & ~((value >= low) & (value <= high)), "drop": change < -drop, "fast gain": change / months > monthly}
+    yield new.assign(warnings=[[n for n, m in marks.items() if m[i]] for i in range(len(new))])
+
+
+def checked_readings(readings: DataFrame, low: float, high: float, drop: float = 1.5, monthly: float = 2.5) -> DataFrame:
+    """Arriving readings (reading_id, player_id, measured_at, value) with their ``warnings``.
+
+    The state of a player is the last reading alone. A batch's readings are taken in order of day
+    and id; one that is older than the last is 'late', one that is the last itself or comes twice
+    in a batch 'repeated', one without a day or value 'absent'. These are compared with nothing
+    and leave the state as it is. A player's readings of one batch are held together in a task.
+    """
+    check = partial(check_player, low=low, high=high, drop=drop, monthly=monthly)
+    rows = readings.select("reading_id", "player_id", "measured_at", F.col("value").cast("double").alias("value"))
+    return rows.groupBy("player_id").applyInPandasWithState(check, CHECKED, "day long, reading_id long, value double", "append", "NoTimeout")
