@@ -149,7 +149,7 @@ def m3b_ratings_by_gender(spark, sf_dir):
 def m3c_walk_forward(spark, sf_dir):
     """Scores of predictions by strengths fitted anew before each month."""
     m = folded(spark, sf_dir).where("confirmed")
-    t = matches.bradley_terry(matches.before_each_month(m), rounds=12, by=["month"])
+    t = matches.bradley_terry(matches.before_each_month(m), by=["month"])
     a, b = F.least("winner", "loser"), F.greatest("winner", "loser")
     played = m.select(F.trunc("played", "MM").cast("date").alias("month"), a.alias("a"), b.alias("b"), (F.col("winner") < F.col("loser")).alias("won"))
     of = lambda side: t.select("month", F.col("player_id").alias(side), F.col("theta").alias(f"theta_{side}"))

@@ -1,13 +1,15 @@
 """Pages of trees and caches, keyed state of arriving readings, candidates of clubs, staff pages."""
 
+import math
 import random
 from datetime import date as D
 from types import SimpleNamespace
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from pitchlake.operators import people, seasons
+from pitchlake.operators import matches, people, seasons
 from pitchlake.sources import io
 from pitchlake.streaming import jobs
 
@@ -119,3 +121,19 @@ def test_totals_by_tier_and_organisation(spark):
     complete, flags = spark.createDataFrame([(1,), (1,), (9,)], "id long"), spark.createDataFrame([(2,), (2,), (9,)], "id long")
     got = {r["org"]: tuple(r)[1:] for r in people.organization_state(current, complete, flags, "org", "id").collect()}
     assert got == {7: (2, 50.0, 2), 8: (1, 0.0, 0)}
+
+
+def test_strengths_settle_or_raise(spark):
+    rows = [(a, b, 40 + (a * 7 + b) % 25, 45) for a in range(12) for b in range(a)] + [(20, 21, 11, 3)]
+    m = spark.createDataFrame(rows, "winner long, loser long, high long, low long")
+    got = {r["player_id"]: r["theta"] for r in matches.bradley_terry(m).collect()}
+    x = dict.fromkeys(got, 0.0)
+    for _ in range(4000):
+        slope = {p: -x[p] / 0.15**2 for p in x}
+        for a, b, f, g in rows:
+            d = f - (f + g) / (1 + math.exp(x[b] - x[a]))
+            slope[a], slope[b] = slope[a] + d, slope[b] - d
+        x = {p: x[p] + 0.001 * slope[p] for p in x}
+    assert all(abs(got[p] - x[p]) < 1e-5 for p in x)
+    with pytest.raises(RuntimeError):
+        matches.bradley_terry(m, rounds=2)
