@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitchlake.functions.people import name_tokens
-from pitchlake.operators import merging, models, people
+from pitchlake.operators import linkage, matches, merging, models, people
 
 
 def test_a_players_readings_meet_all_shifts_without_a_row_for_each(spark):
@@ -58,3 +59,23 @@ def test_changed_rows_are_counted_on_both_sides(spark):
     count = lambda a, b: merging.changed_rows(a, b, "id").first()["changed"]
     assert count(rows((1, 1), (2, None)), rows((1, 1), (2, None))) == 0
     assert count(rows((1, 1), (2, None), (3, 3)), rows((1, 1), (2, 2), (4, 4))) == 4
+
+
+def test_sides_of_matches_are_told_without_a_distinct_count(spark):
+    rows = [(1, 7, 8, 5, 3, False), (1, 8, 7, 3, 5, False), (1, 7, 8, 5, 3, True), (2, 7, 8, 5, 3, False), (3, 7, 7, 5, 3, False), (4, None, 8, 5, 3, False), (5, 8, None, 5, 3, True)]
+    df = spark.createDataFrame(rows, "match_id long, player_id long, opponent_id long, won long, lost long, verified boolean").selectExpr("*", "date'2020-01-01' as played")
+    folded = matches.fold(df)
+    assert {(r["match_id"], r["sides"], r["confirmed"]) for r in folded.collect()} == {(1, 2, True), (2, 1, False), (3, 1, False), (4, 0, False), (5, 1, True)}
+    assert "count(distinct" not in folded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_come_once_without_a_shuffle_of_pairs(spark):
+    keys = [["a"], ["a", "b"], ["b", "a", "c"], ["c", "b", "d", "a"], ["d"], ["a"], [], None, ["b", "c"]]
+    rows = [(i, "MF"[i % 5 == 0] if i % 7 else None, f"{2000 + i % 3}-05-05" if i % 4 else None, keys[i % 9]) for i in range(54)]
+    df = spark.createDataFrame(rows, "id long, sex string, born string, keys array<string>").withColumn("born", F.col("born").cast("date"))
+    found = linkage.name_candidates(df, "id", "keys", "sex", "born")
+    got = [tuple(r) for r in found.collect()]
+    agree = lambda a, b: (a[1] is None or b[1] is None or a[1] == b[1]) and (a[2] is None or b[2] is None or abs(int(a[2][:4]) - int(b[2][:4])) <= 1)
+    true = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] and b[3] and agree(a, b) and len(set(a[3]) & set(b[3])) >= min(2, len(a[3]), len(b[3]))]
+    assert sorted(got) == true
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
