@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.people import evidence, normal_name
 from ..operators import linkage, names
-from ..session import cut
+from ..session import cut, written
 from . import adapters as ad
 
 QUERIES, ORACLE = {}, {}
@@ -53,8 +53,13 @@ def prepared(spark, sf_dir):
     return cut(r.join(words, "record_id", "left").withColumn("given", F.when(F.length(F.trim("full_name")) > 0, F.col("words")[0])).withColumn("tokens", tokens))
 
 
-def candidates(r):
-    return linkage.name_candidates(r, "record_id", "keys", "sex", "date_of_birth")
+def candidates(r, carried=(), within=None):
+    return linkage.name_candidates(r, "record_id", "keys", "sex", "date_of_birth", carried, within)
+
+
+def compared(r, within=None):
+    """The levels of candidate pairs, worked out where the two records meet."""
+    return linkage.pair_levels(candidates(r, linkage.COMPARED, within))
 
 
 @query()
@@ -70,44 +75,55 @@ def true_pairs(r, half: int):
 
 
 def model(spark, sf_dir):
-    """(records, compared candidates, m, u, share): m from half of the known pairs, u from random
-    pairs, the share of true pairs from all pairs."""
-    r = prepared(spark, sf_dir)
-    compared = cut(linkage.seven_levels(candidates(r), r, "record_id"))
-    m = linkage.level_shares(linkage.seven_levels(true_pairs(r, 0), r, "record_id"))
-    u = linkage.level_shares(linkage.seven_levels(linkage.random_pairs(r, "record_id", RANDOM_PAIRS), r, "record_id"))
+    """(records, counts of compared candidates by their levels, m, u, share): m from half of the
+    known pairs, u from random pairs, the share of true pairs from all pairs.
+
+    Candidates grow with the square of the records, their patterns don't: what needs the pairs
+    themselves compares them again rather than keep them.
+    """
+    r, fields = prepared(spark, sf_dir), list(linkage.LEVELS)
+    levels = lambda pairs: linkage.seven_levels(pairs, r, "record_id")
+    m = linkage.level_shares(levels(true_pairs(r, 0)))
+    u = linkage.level_shares(levels(linkage.random_pairs(r, "record_id", RANDOM_PAIRS)))
     n = r.count()
     every = max(1, n * (n - 1) // 2)
-    patterns = linkage.pattern_counts(compared, list(linkage.LEVELS))
-    share = linkage.fit_share(patterns, m, u, list(linkage.LEVELS), every, min(0.5, max(1e-12, 0.1 * n / every)))
-    return r, compared, m, u, share
+    patterns = linkage.pattern_counts(compared(r), fields)
+    share = linkage.fit_share(patterns, m, u, fields, every, min(0.5, max(1e-12, 0.1 * n / every)))
+    return r, patterns, m, u, share
 
 
 def scored(spark, sf_dir):
-    r, compared, m, u, share = model(spark, sf_dir)
-    return r, linkage.score(compared, m, u, list(linkage.LEVELS), share)
+    r, _, m, u, share = model(spark, sf_dir)
+    return r, lambda pairs: linkage.score(pairs, m, u, list(linkage.LEVELS), share)
 
 
 @query()
 def m6_match_probabilities(spark, sf_dir):
     """Candidate pairs by their seven levels, with the probability that they are one person."""
-    return scored(spark, sf_dir)[1].select("a", "b", *linkage.LEVELS, F.round("probability", 6).alias("probability"))
+    r, score = scored(spark, sf_dir)
+    return score(compared(r)).select("a", "b", *linkage.LEVELS, F.round("probability", 6).alias("probability"))
 
 
 @query()
 def m6_evidence_weights(spark, sf_dir):
     """What each level of each field says, in log odds."""
-    _, compared, m, u, _ = model(spark, sf_dir)
-    rows = [(f, lv, m[f][lv], u[f][lv], linkage.level_weight(m, u, f, lv)) for f in linkage.LEVELS for lv in linkage.LEVELS[f]]
-    weights = spark.createDataFrame(rows, "field string, level string, m double, u double, weight double")
-    seen = compared.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("level")) for f in linkage.LEVELS])).alias("x")).groupBy("x.field", "x.level").agg(F.count("*").alias("pairs"))
-    return weights.join(seen, ["field", "level"], "left").select("field", "level", *[F.round(c, 6).alias(c) for c in ("m", "u", "weight")], F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    _, patterns, m, u, _ = model(spark, sf_dir)
+    seen = {f: patterns.groupby(f)["n"].sum() for f in linkage.LEVELS}
+    rows = [(f, lv, m[f][lv], u[f][lv], linkage.level_weight(m, u, f, lv), int(seen[f].get(lv, 0))) for f in linkage.LEVELS for lv in linkage.LEVELS[f]]
+    weights = spark.createDataFrame(rows, "field string, level string, m double, u double, weight double, pairs long")
+    return weights.select("field", "level", *[F.round(c, 6).alias(c) for c in ("m", "u", "weight")], "pairs")
 
 
 def grouped(spark, sf_dir):
-    r, s = scored(spark, sf_dir)
+    """(records, candidates of LINK and more, groups). Conflicts tell groups apart only among
+    records that links connect, so only those are looked for among the candidates again."""
+    r, score = scored(spark, sf_dir)
     clash = (F.col("dob") == "conflict") | (F.col("sex") == "different")
-    return r, cut(s), linkage.greedy_groups(s.withColumn("conflict", clash), "conflict", LINK)
+    strong = written(score(compared(r)).where(F.col("probability") >= LINK).select("a", "b", "probability", clash.alias("conflict")))
+    parts = linkage.components(strong.where("not conflict").select("a", "b"))
+    near = r.join(parts.select(F.col("id").alias("record_id"), "component"), "record_id")
+    bad = compared(near, "component").where(clash).select("a", "b", F.lit(0.0).alias("probability"), F.lit(True).alias("conflict"))
+    return r, strong, linkage.greedy_groups(strong.where("not conflict").union(bad), "conflict", LINK)
 
 
 @query()
@@ -126,12 +142,11 @@ def m6_evaluation(spark, sf_dir):
     g = groups.join(r.select(F.col("record_id").alias("id"), "person_id"), "id").where(F.floor(F.col("person_id") / 4) % 2 == 1)
     joined = true.join(g.select(F.col("id").alias("a"), F.col("group").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("group").alias("gb")), "b").where("ga = gb")
     row = lambda what, df: df.agg(F.count("*").alias("pairs")).select(F.lit(what).alias("what"), "pairs")
-    return row("known", true).union(row("candidates", true.join(s, ["a", "b"], "left_semi"))).union(row("linked", found)).union(row("linked and right", found.where("pa = pb"))).union(row("grouped and right", joined))
+    return row("known", true).union(row("candidates", true.join(candidates(r, within="person_id"), ["a", "b"], "left_semi"))).union(row("linked", found)).union(row("linked and right", found.where("pa = pb"))).union(row("grouped and right", joined))
 
 
 @query()
 def f22_identity_evidence(spark, sf_dir):
     """What candidate pairs agree and disagree on, in words."""
     r = prepared(spark, sf_dir)
-    levels = linkage.seven_levels(candidates(r), r, "record_id")
-    return levels.select("a", "b", F.array_join(evidence({f: F.col(f) for f in linkage.LEVELS}), "; ").alias("evidence"))
+    return compared(r).select("a", "b", F.array_join(evidence({f: F.col(f) for f in linkage.LEVELS}), "; ").alias("evidence"))

@@ -79,3 +79,23 @@ def test_candidates_come_once_without_a_shuffle_of_pairs(spark):
     true = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] and b[3] and agree(a, b) and len(set(a[3]) & set(b[3])) >= min(2, len(a[3]), len(b[3]))]
     assert sorted(got) == true
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_bring_what_is_compared_and_stay_within_a_group(spark):
+    rows = [(i, "M", None if i % 5 == 0 else f"{2000 + i % 2}-05-05", [["a", "b"], ["b", "a", "c"], ["a"]][i % 3], f"n{i}", i % 4) for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, sex string, born string, keys array<string>, note string, part int").withColumn("born", F.col("born").cast("date"))
+    args = ("id", "keys", "sex", "born")
+    plain = {tuple(r) for r in linkage.name_candidates(df, *args).collect()}
+    found = linkage.name_candidates(df, *args, carried=["note", "part"])
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted((a, b, f"n{a}", a % 4, f"n{b}", b % 4) for a, b in plain) and any(a % 3 == 2 for a, _ in plain)
+    inside = [tuple(r) for r in linkage.name_candidates(df, *args, within="part").collect()]
+    assert sorted(inside) == sorted((a, b) for a, b in plain if a % 4 == b % 4)
+
+
+def test_words_of_a_pair_are_matched_once(spark):
+    word = "array<struct<arabic:boolean,own:array<string>,across:array<string>>>"
+    kinds = f"a long, b long, words {word}, given struct<arabic:boolean,own:array<string>,across:array<string>>, tokens array<string>, date_of_birth date, nationality array<string>, clubs array<string>, sport string, sex string"
+    r = spark.createDataFrame([], kinds)
+    pairs = r.select("a", "b", *[F.col(c).alias(f"{c}_{s}") for c in linkage.COMPARED for s in ("a", "b")])
+    assert linkage.pair_levels(pairs)._jdf.queryExecution().optimizedPlan().toString().count("filter(") <= 2
