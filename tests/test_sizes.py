@@ -99,3 +99,15 @@ def test_words_of_a_pair_are_matched_once(spark):
     r = spark.createDataFrame([], kinds)
     pairs = r.select("a", "b", *[F.col(c).alias(f"{c}_{s}") for c in linkage.COMPARED for s in ("a", "b")])
     assert linkage.pair_levels(pairs)._jdf.queryExecution().optimizedPlan().toString().count("filter(") <= 2
+
+
+def test_contradictions_and_folded_matches_stay_where_their_rows_are(spark):
+    from pitchlake.plans import adapters
+
+    rows = [(1, 7, 8, 5, 3, True), (2, 8, 7, 3, 5, None), (3, 7, 8, 6, 3, None), (4, 8, 7, 3, 4, False), (5, 8, 7, 3, 5, True), (6, 7, 8, 9, 9, False)]
+    df = spark.createDataFrame([(*r, d) for r in rows for d in ("2020-01-01", None)], "row_id long, player_id long, opponent_id long, won long, lost long, verified boolean, day string").withColumn("played", F.col("day").cast("date"))
+    found = matches.contradictions(df)
+    assert [tuple(r)[1:] for r in found.orderBy("a").collect()] == [(7, 8, 3, 4, None, False), (7, 8, 6, 5, False, True)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    folded = matches.fold(adapters.sides(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert not any("winner" in line for line in folded.splitlines() if "Exchange hashpartitioning" in line)
