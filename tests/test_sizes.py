@@ -111,3 +111,23 @@ def test_contradictions_and_folded_matches_stay_where_their_rows_are(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     folded = matches.fold(adapters.sides(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert not any("winner" in line for line in folded.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_nearest_rows_are_found_over_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(160, 3)), 1)
+    v[:12] = v[0]
+    unit = v / np.maximum(np.sqrt((v**2).sum(1)), 1e-9)[:, None]
+    asked, kept = [], models.written
+    monkeypatch.setattr(models, "written", lambda df: asked.append(kept(df)) or asked[-1])
+    for rows, cosine in ((v, False), (unit, True)):
+        df = spark.createDataFrame([(i, i // 150, *map(float, x)) for i, x in enumerate(rows)], "id long, g int, x double, y double, z double")
+        got = {(r["id"], r["place"]): r["other"] for r in models.nearest(df, ["g"], "id", ["x", "y", "z"], 3, side=10, cosine=cosine).collect()}
+        true = {}
+        for i, x in enumerate(rows):
+            d = np.round(1 - rows @ x, 9) if cosine else np.sqrt(sum((rows[:, c] - x[c]) ** 2 for c in range(3)))
+            near = sorted((d[j], j) for j in range(160) if j != i and j // 150 == i // 150)[:3]
+            true |= {(i, p + 1): j for p, (_, j) in enumerate(near)}
+        assert not {(x, got.get(x), true.get(x)) for x in {*got, *true} if got.get(x) != true.get(x)}, cosine
+    cells, asking = asked[0].select("g", "_cell").distinct().count(), asked[3].count()
+    assert cells > 10 and 0 < asking < 160 * (cells - 2) / 2
