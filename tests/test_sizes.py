@@ -131,3 +131,28 @@ def test_nearest_rows_are_found_over_cells(spark, monkeypatch):
         assert not {(x, got.get(x), true.get(x)) for x in {*got, *true} if got.get(x) != true.get(x)}, cosine
     cells, asking = asked[0].select("g", "_cell").distinct().count(), asked[3].count()
     assert cells > 10 and 0 < asking < 160 * (cells - 2) / 2
+
+
+def test_refits_take_a_pair_once_and_equal_fits_of_their_own(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(11)
+    rows = [(dt.date(2020, 1 + i // 15, 5), *(int(x) for x in rng.permutation(7)[:2]), int(rng.integers(22, 40)), int(rng.integers(5, 21))) for i in range(45)]
+    m = spark.createDataFrame(rows, "played date, winner long, loser long, high long, low long")
+    got = {(r["month"], r["player_id"]): (r["theta"], r["se"], r["points"]) for r in matches.refits(m).collect()}
+    assert {k[0] for k in got} == {dt.date(2020, 2, 1), dt.date(2020, 3, 1)}
+    for month in (2, 3):
+        alone = matches.bradley_terry(m.where(f"played < '2020-0{month}-01'")).collect()
+        assert len(alone) == sum(k[0].month == month for k in got)
+        assert all(got[dt.date(2020, month, 1), r["player_id"]] == pytest.approx((r["theta"], r["se"], r["points"]), abs=1e-7) for r in alone)
+    assert matches.refits(m.where("played < '2020-02-01'")).count() == 0
+
+
+def test_parts_that_never_met_settle_each_by_themselves(spark):
+    rng = np.random.default_rng(4)
+    one = [(*(int(x) for x in rng.permutation(4 + i % 5)[:2]), 3000 + i, 2500) for i in range(120)]
+    rows = one + [(a + 100, b + 100, f * 3, g * 2) for a, b, f, g in one]
+    fit = lambda x: {r["player_id"]: r["theta"] for r in matches.bradley_terry(spark.createDataFrame(x, "winner long, loser long, high long, low long")).collect()}
+    both = fit(rows)
+    assert abs(sum(t for k, t in both.items() if k < 100)) < 1e-5
+    assert both == pytest.approx({**fit(one), **fit(rows[120:])}, abs=1e-5)
