@@ -95,16 +95,24 @@ def find_names(queries: DataFrame, people: DataFrame, key: str, names: Sequence[
     """(query, id): people with a match, in some name of theirs, for every word of a query.
 
     Words are compared once each, however many names hold them. A query without words finds
-    nobody. Words that match very many people cost as many rows as they have bearers.
+    nobody. A query and a person meet by the query's two words with the fewest bearers, and the
+    others are looked for where they meet, so common words cost no row for each bearer.
     """
     asked = queries.select(query).distinct().withColumn("words", F.array_distinct(name_words(F.coalesce(F.col(query), F.lit("")))))
     asked = cut(asked.select(query, F.size("words").alias("needed"), F.explode("words").alias("word")))
     held = cut(words_of(people, key, names).select("id", "word"))
     forms = vocabulary(asked.select("word").union(held.select("word")))
-    pairs = matching_words(forms).join(asked.select(F.col("word").alias("a")).distinct(), "a").withColumnRenamed("b", "held")
-    reached = asked.join(pairs.withColumnRenamed("a", "word"), "word").join(held.withColumnRenamed("word", "held"), "held")
-    found = reached.groupBy(query, "needed", "id").agg(F.count_distinct("word").alias("met"))
-    return found.where("met = needed").select(query, "id")
+    bearers = held.groupBy(F.col("word").alias("b")).agg(F.count("*").alias("n"))
+    options = matching_words(forms).join(bearers, "b").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), F.collect_list("b").alias("held"))
+    sought = asked.join(options, "word").groupBy(query, "needed").agg(F.sort_array(F.collect_list(F.struct("n", "word", "held"))).alias("l")).where("size(l) = needed")
+    pair = lambda x, y: (F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
+    sought = sought.select(query, F.col("l.held").alias("options"), F.explode(F.col("l")[0]["held"]).alias("x"))
+    sought = sought.withColumn("y", F.explode(F.when(F.size("options") > 1, F.get("options", F.lit(1))).otherwise(F.array("x"))))
+    sought = sought.select(query, "options", *pair(F.col("x"), F.col("y")))
+    borne = held.groupBy("id").agg(F.collect_list("word").alias("words"))
+    borne = borne.select("id", "words", F.explode("words").alias("x")).select("id", "words", "x", F.explode("words").alias("y")).where("x <= y")
+    reached = sought.join(borne.select("id", "words", F.col("x").alias("p"), F.col("y").alias("q")), ["p", "q"])
+    return reached.where(F.forall("options", lambda o: F.arrays_overlap(o, F.col("words")))).select(query, "id").distinct()
 
 
 def sound_key_index(people: DataFrame, key: str, names: Sequence[str]) -> DataFrame:

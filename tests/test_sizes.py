@@ -156,3 +156,47 @@ def test_parts_that_never_met_settle_each_by_themselves(spark):
     both = fit(rows)
     assert abs(sum(t for k, t in both.items() if k < 100)) < 1e-5
     assert both == pytest.approx({**fit(one), **fit(rows[120:])}, abs=1e-5)
+
+
+def test_a_match_is_kept_once_for_both_its_players_ratings(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    monkeypatch.setattr(matches, "shared_folder", lambda s: str(tmp_path))
+    m = spark.createDataFrame([(dt.date(2024, 1, 5), 1, 2), (dt.date(2024, 1, 6), 1, 2), (dt.date(2024, 2, 5), 2, 3)], "played date, winner long, loser long")
+    got = {(r["player_id"], r["month"].month): r["rating"] for r in matches.glicko(m).collect()}
+    assert len(got) == 6 and got[1, 2] - 1500 == pytest.approx(1500 - got[2, 2]) and got[1, 2] > 1500 == got[3, 2]
+    assert spark.read.parquet(f"{next(tmp_path.glob('glicko-*'))}/games").count() == 3
+
+
+def test_names_meet_by_their_two_rarest_words(spark):
+    from pitchlake.operators import names
+
+    people_ = spark.createDataFrame([(i, f"Karim Nasir {w}", None) for i, w in enumerate(["Badran", "Salim", "Badran", "Karim"])] + [(9, "Karim", "Badran")], "id long, a string, b string")
+    asked = spark.createDataFrame([("Karim Badran",), ("Badran",), ("Karim Karim",), ("Karim Nasir Badran",), ("Zzz Karim",), ("",)], "query string")
+    found = names.find_names(asked, people_, "id", ["a", "b"])
+    got = sorted(tuple(r) for r in found.collect())
+    want = {"Karim Badran": [0, 2, 9], "Badran": [0, 2, 9], "Karim Karim": [0, 1, 2, 3, 9], "Karim Nasir Badran": [0, 2]}
+    assert got == sorted((q, i) for q, ids in want.items() for i in ids)
+    assert "met" not in found._jdf.queryExecution().analyzed().toString()  # no row for each bearer of each word
+
+
+def test_arriving_readings_are_checked_by_tables_as_by_keyed_state(spark, tmp_path):
+    import datetime as dt
+
+    from pitchlake.streaming import jobs
+
+    kind = "reading_id long, player_id long, measured_at date, value double"
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    first = [(1, 1, d(0), 150.0), (2, 1, d(40), 148.0), (3, 1, d(50), 160.0), (4, 2, d(3), 90.0), (5, 2, None, 120.0), (6, 2, d(4), None), (4, 2, d(3), 90.0)]
+    second = [(3, 1, d(50), 160.0), (2, 1, d(40), 148.0), (7, 1, d(60), 155.0), (8, 3, d(1), 130.0), (9, 2, d(9), float("nan"))]
+    for name in ("state", "tables"):
+        for rows in (first, second):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            arriving = spark.readStream.schema(kind).parquet(f"{tmp_path}/{name}/in")
+            if name == "state":
+                w = jobs.checked_readings(arriving, 110, 210).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/{name}/out")
+            else:
+                w = arriving.writeStream.foreachBatch(jobs.reading_sink(f"{tmp_path}/{name}", 110, 210))
+            w.option("checkpointLocation", f"{tmp_path}/{name}/log").trigger(availableNow=True).start().awaitTermination()
+    got = [sorted((r["reading_id"], list(r["warnings"])) for r in spark.read.parquet(f"{tmp_path}/{n}/out").collect()) for n in ("state", "tables")]
+    assert got[0] == got[1] and len(got[1]) == 12
