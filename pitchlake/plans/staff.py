@@ -124,8 +124,8 @@ def st3_arriving_readings(spark, sf_dir):
     for rows in (r.where(early), r.where(~early | (F.col("reading_id") % 50 == 0))):
         rows.write.mode("append").parquet(f"{folder}/in")
         arriving = spark.readStream.schema(r.schema).parquet(f"{folder}/in")
-        writer = jobs.checked_readings(arriving, 110, 210).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state")
-        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+        writer = arriving.writeStream.foreachBatch(jobs.reading_sink(folder, 110, 210)).option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("reading_id", F.concat_ws(",", "warnings").alias("warnings"))
 
 

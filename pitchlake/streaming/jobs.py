@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.flags import OPEN
@@ -103,3 +103,37 @@ def checked_readings(readings: DataFrame, low: float, high: float, drop: float =
     check = partial(check_player, low=low, high=high, drop=drop, monthly=monthly)
     rows = readings.select("reading_id", "player_id", "measured_at", F.col("value").cast("double").alias("value"))
     return rows.groupBy("player_id").applyInPandasWithState(check, CHECKED, "day long, reading_id long, value double", "append", "NoTimeout")
+
+
+def reading_sink(folder: str, low: float, high: float, drop: float = 1.5, monthly: float = 2.5) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function with the warnings of ``checked_readings``, by joins and windows.
+
+    The state is a table of each player's last reading, by generations of ``folder``, so a batch
+    that is repeated after a failure gives the same table; the checked rows go to ``folder``/out.
+    """
+
+    def check(batch: DataFrame, number: int) -> None:
+        rows = batch.select("reading_id", "player_id", "measured_at", F.col("value").cast("double").alias("value"))
+        absent = F.col("measured_at").isNull() | F.col("value").isNull() | F.isnan("value")
+        last = F.struct(F.col("measured_at").alias("d"), F.col("reading_id").alias("n"), F.col("value").alias("v"))
+        held = batch.sparkSession.createDataFrame([], "player_id long, last struct<d: date, n: long, v: double>")
+        if number:
+            held = batch.sparkSession.read.schema(held.schema).parquet(f"{folder}/last/generation={number - 1}")
+        new = rows.where(~absent).select("player_id", last.alias("last"))
+        held.union(new).groupBy("player_id").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{folder}/last/generation={number}")
+
+        j = rows.withColumn("absent", absent).join(held.withColumnRenamed("player_id", "_p"), F.col("player_id").eqNullSafe(F.col("_p")), "left")
+        once = F.row_number().over(Window.partitionBy("player_id", "measured_at", "reading_id", "absent").orderBy("value")) == 1
+        known = F.col("last").isNotNull()
+        j = j.withColumn("again", ~F.col("absent") & (~once | F.coalesce(F.col("measured_at").eqNullSafe(F.col("last.d")) & F.col("reading_id").eqNullSafe(F.col("last.n")) & known, F.lit(False))))
+        older = (F.col("measured_at") < F.col("last.d")) | ((F.col("measured_at") == F.col("last.d")) & (F.col("reading_id") < F.col("last.n")))
+        j = j.withColumn("late", ~F.col("absent") & ~F.col("again") & known & F.coalesce(older, F.lit(False)))
+        j = j.withColumn("fresh", ~F.col("absent") & ~F.col("again") & ~F.col("late"))
+        previous = F.coalesce(F.lag(last).over(Window.partitionBy("player_id", "fresh").orderBy("measured_at", "reading_id")), F.col("last"))
+        j = j.withColumn("_b", F.when(F.col("fresh"), previous))
+        change, months = F.col("value") - F.col("_b.v"), F.greatest(F.datediff("measured_at", "_b.d") / 30.44, F.lit(1.0))
+        marks = {"absent": F.col("absent"), "repeated": F.col("again"), "late": F.col("late"), "unusual": F.col("fresh") & ~F.col("value").between(low, high), "drop": change < -drop, "fast gain": change / months > monthly}
+        warnings = F.array_compact(F.array(*[F.when(c, n) for n, c in marks.items()]))
+        j.select("reading_id", "player_id", "measured_at", "value", warnings.alias("warnings")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return check
