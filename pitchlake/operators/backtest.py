@@ -30,7 +30,8 @@ def snapshots(readings: DataFrame, cutoff: DataFrame, groups: Sequence[str], pla
     velocity, and the day that counts as today (the last one with a reading). All cutoffs are in
     one plan, with the cutoff as one more key. ``readings`` has the age at each reading in ``age``.
     """
-    seen = temporal.as_of(readings, cutoff, date)
+    # dealt out by player before the cutoffs multiply them: all steps by cutoff and player stay there
+    seen = temporal.as_of(readings.repartition(player), F.broadcast(cutoff), date)
     keys = ["cutoff", *groups]
     z = cohorts.z_scores(seen, cohorts.cohort_reference(seen, keys, "age", value, floor), keys, "age", value)
     at = F.struct(F.col(date).alias("d"), F.col(value).alias("v"))
