@@ -53,13 +53,13 @@ def prepared(spark, sf_dir):
     return cut(r.join(words, "record_id", "left").withColumn("given", F.when(F.length(F.trim("full_name")) > 0, F.col("words")[0])).withColumn("tokens", tokens))
 
 
-def candidates(r, carried=(), within=None):
-    return linkage.name_candidates(r, "record_id", "keys", "sex", "date_of_birth", carried, within)
+def candidates(r, within=None):
+    return linkage.name_candidates(r, "record_id", "keys", "sex", "date_of_birth", within=within)
 
 
-def compared(r, within=None):
-    """The levels of candidate pairs, worked out where the two records meet."""
-    return linkage.pair_levels(candidates(r, linkage.COMPARED, within))
+def compared(r, told):
+    """Candidate pairs with what ``told`` (a row for each pattern of levels) says of their pattern."""
+    return linkage.candidate_patterns(r, "record_id", "keys").join(F.broadcast(told), "pattern").drop("pattern")
 
 
 @query()
@@ -87,21 +87,23 @@ def model(spark, sf_dir):
     u = linkage.level_shares(levels(linkage.random_pairs(r, "record_id", RANDOM_PAIRS)))
     n = r.count()
     every = max(1, n * (n - 1) // 2)
-    patterns = linkage.pattern_counts(compared(r), fields)
+    counts = linkage.candidate_patterns(r, "record_id", "keys").groupBy("pattern").agg(F.count("*").alias("n"))
+    patterns = counts.join(F.broadcast(linkage.patterns(spark)), "pattern").select(*fields, "n").toPandas()
     share = linkage.fit_share(patterns, m, u, fields, every, min(0.5, max(1e-12, 0.1 * n / every)))
     return r, patterns, m, u, share
 
 
 def scored(spark, sf_dir):
+    """(records, patterns of levels with their probability)."""
     r, _, m, u, share = model(spark, sf_dir)
-    return r, lambda pairs: linkage.score(pairs, m, u, list(linkage.LEVELS), share)
+    return r, linkage.score(linkage.patterns(spark), m, u, list(linkage.LEVELS), share)
 
 
 @query()
 def m6_match_probabilities(spark, sf_dir):
     """Candidate pairs by their seven levels, with the probability that they are one person."""
-    r, score = scored(spark, sf_dir)
-    return score(compared(r)).select("a", "b", *linkage.LEVELS, F.round("probability", 6).alias("probability"))
+    r, told = scored(spark, sf_dir)
+    return compared(r, told.withColumn("probability", F.round("probability", 6))).select("a", "b", *linkage.LEVELS, "probability")
 
 
 @query()
@@ -116,14 +118,15 @@ def m6_evidence_weights(spark, sf_dir):
 
 def grouped(spark, sf_dir):
     """(records, candidates of LINK and more, groups). Conflicts tell groups apart only among
-    records that links connect, so only those are looked for among the candidates again."""
-    r, score = scored(spark, sf_dir)
+    records that links connect; there all pairs are looked at, as candidates leave out the very
+    pairs whose sexes differ or who were born years apart."""
+    r, told = scored(spark, sf_dir)
     clash = (F.col("dob") == "conflict") | (F.col("sex") == "different")
-    strong = written(score(compared(r)).where(F.col("probability") >= LINK).select("a", "b", "probability", clash.alias("conflict")))
-    parts = linkage.components(strong.where("not conflict").select("a", "b"))
-    near = r.join(parts.select(F.col("id").alias("record_id"), "component"), "record_id")
-    bad = compared(near, "component").where(clash).select("a", "b", F.lit(0.0).alias("probability"), F.lit(True).alias("conflict"))
-    return r, strong, linkage.greedy_groups(strong.where("not conflict").union(bad), "conflict", LINK)
+    strong = written(compared(r, told.where(F.col("probability") >= LINK).select("pattern", "probability", clash.alias("conflict"))))
+    links = strong.where("not conflict")  # a link in conflict is refused whatever the groups
+    near = r.join(linkage.components(links.select("a", "b")).withColumnRenamed("id", "record_id"), "record_id")
+    bad = linkage.conflicts(near, "record_id", "sex", "date_of_birth", "component").select("a", "b", F.lit(0.0).alias("probability"), F.lit(True).alias("conflict"))
+    return r, strong, linkage.greedy_groups(links.union(bad), "conflict", LINK)
 
 
 @query()
@@ -148,5 +151,5 @@ def m6_evaluation(spark, sf_dir):
 @query()
 def f22_identity_evidence(spark, sf_dir):
     """What candidate pairs agree and disagree on, in words."""
-    r = prepared(spark, sf_dir)
-    return compared(r).select("a", "b", F.array_join(evidence({f: F.col(f) for f in linkage.LEVELS}), "; ").alias("evidence"))
+    r, told = prepared(spark, sf_dir), linkage.patterns(spark)
+    return compared(r, told.select("pattern", F.array_join(evidence({f: F.col(f) for f in linkage.LEVELS}), "; ").alias("evidence"))).select("a", "b", "evidence")

@@ -236,6 +236,41 @@ def test_groups_of_any_shape_equal_links_in_order(spark, shape, most):
     assert got == in_order(pairs)
 
 
+def many_people(spark):
+    """Records with few names, in both scripts, and all that a comparison can lack."""
+    named = ["محمد صلاح حامد", "Mohammed Salah Hamed", "Mohamed Salah", "محمد صلاح", "Kaká", "Kaká Leite", "Ahmed Bilal Shalaby", "Salah Hamed Mohamed", "Bilal Belal Bilal", ""]
+    born = [D(2010, 6, 5), D(2010, 5, 6), D(2010, 6, 9), D(2011, 1, 1), None, D(2005, 1, 1)]
+    rng = random.Random(8)
+    return comparable_people(spark, [(i, rng.choice(named), rng.choice(born), rng.choice("MFM") if i % 9 else None, rng.choice(("football", "judo", None)), rng.choice(([], ["EG"], ["EG", "FR"], ["FR"], None, [None])), rng.choice((["a"], ["b", "a"], ["b"], None))) for i in range(150)])
+
+
+def test_patterns_of_candidates_tell_their_levels_and_names_are_compared_by_classes(spark):
+    r, fields = many_people(spark), list(linkage.LEVELS)
+    pairs = linkage.name_candidates(r, "id", "keys", "sex", "date_of_birth")
+    want = sorted(map(tuple, linkage.seven_levels(pairs, r, "id").select("a", "b", *fields).collect()))
+    told = linkage.candidate_patterns(r, "id", "keys").join(linkage.patterns(spark), "pattern")
+    assert sorted(map(tuple, told.select("a", "b", *fields).collect())) == want and len(want) > 300
+    classes = linkage.name_classes(r, "id", "keys", "sex", "date_of_birth", ("words", "given", "tokens"))
+    met = linkage.classes_met(classes)
+    assert classes.count() <= 27 and met.count() < len(want)  # nine names, three sexes
+    parts = linkage.name_classes(r, "id", "keys", "sex", "date_of_birth", most=4)
+    assert parts.select(F.max(F.aggregate("years", F.lit(0), lambda n, y: n + F.size(y["members"])))).first()[0] == 4
+    found = linkage.class_members(linkage.classes_met(parts)).select(F.least("x.id", "y.id"), F.greatest("x.id", "y.id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_groups_hold_no_conflict_that_the_candidates_leave_out(spark, monkeypatch):
+    from pitchlake.plans import identity
+
+    rows = [(1, D(2001, 5, 5), "M"), (2, None, "M"), (3, D(2005, 9, 9), "M"), (4, D(2001, 5, 5), None), (5, D(2001, 5, 6), "F")]
+    r = comparable_people(spark, [(i, "Karim Nasir Badran", born, sex, "judo", ["EG"], ["a"]) for i, born, sex in rows]).withColumnRenamed("id", "record_id")
+    told = linkage.patterns(spark).withColumn("probability", F.when(F.col("name") == "all", 0.9).otherwise(0.1))
+    monkeypatch.setattr(identity, "scored", lambda *_: (r, told))
+    _, strong, groups = identity.grouped(spark, "")
+    assert sorted((x["a"], x["b"]) for x in strong.collect()) == [(1, 2), (1, 4), (2, 3), (2, 4), (4, 5)]
+    assert {x["id"]: x["group"] for x in groups.collect()} == {1: 1, 2: 1, 4: 1, 3: 3, 5: 5}
+
+
 # --- merges -----------------------------------------------------------------------------------
 
 
