@@ -312,6 +312,19 @@ def test_merges_move_what_the_survivor_lacks_and_an_undo_takes_them_back(spark):
     assert none[1].count() == 0 and all(rows_of(none[0][n]) == rows_of(before[n]) for n in before)
 
 
+def test_merges_look_no_row_up_by_its_id(spark, monkeypatch):
+    before = tables(spark)
+    pointers = spark.createDataFrame([(2, 1), (3, 2), (7, 8)], "gone long, keep long")
+    got = []
+    for most in (merging.BROADCAST, 0):
+        monkeypatch.setattr(merging, "BROADCAST", most)
+        after, journal = merging.merge(before, pointers, MOVES, flags="flags")
+        assert not [n for n, df in after.items() if "row_id" in df._jdf.queryExecution().optimizedPlan().toString()]
+        got.append(({n: rows_of(df) for n, df in after.items()}, rows_of(journal)))
+        assert all(rows_of(merging.undo(after, journal, IDS)[n]) == rows_of(before[n]) for n in before)
+    assert got[0] == got[1] and len(got[0][1]) > 10 and ("d", 7, 8, "dismissed") in got[0][0]["flags"]
+
+
 def test_kept_is_the_record_with_more_readings_then_the_older(spark):
     r = spark.createDataFrame([(1, 3, 5, "M"), (2, 3, 4, "M"), (3, 9, 9, "M"), (4, None, 1, "F"), (5, None, 1, "M")], "k long, n long, created long, sex string")
     pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (5, 1), (5, 5)], "a long, b long")
