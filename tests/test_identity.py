@@ -325,6 +325,14 @@ def test_merges_look_no_row_up_by_its_id(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0][1]) > 10 and ("d", 7, 8, "dismissed") in got[0][0]["flags"]
 
 
+def test_changed_rows_are_told_with_their_ids_shuffled_once(spark):
+    x = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "id string, n int")
+    y = spark.createDataFrame([("a", 1), ("b", 3), ("d", None)], "id string, n int")
+    found = merging.changed_rows(x, y, "id")
+    assert found.first()["changed"] == 4 and "named_struct(id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert merging.changed_rows(x.select("id"), y.select("id"), "id").first()["changed"] == 2
+
+
 def test_kept_is_the_record_with_more_readings_then_the_older(spark):
     r = spark.createDataFrame([(1, 3, 5, "M"), (2, 3, 4, "M"), (3, 9, 9, "M"), (4, None, 1, "F"), (5, None, 1, "M")], "k long, n long, created long, sex string")
     pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (5, 1), (5, 5)], "a long, b long")
